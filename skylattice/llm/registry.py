@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, wavelet
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
 }
 
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE}

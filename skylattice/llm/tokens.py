@@ -12,14 +12,12 @@ import zlib
 import numpy as np
 
 from .common import segments
+from .hashing import BLOCK, hash_block
 
 #: Fixed values. Byte classes for cutting; lead bytes that may begin a white-space character.
 SPACE, NEWLINE, LETTER, MARK, OTHER, HIGH, UNSAFE = 1, 2, 3, 4, 5, 6, 7
 LEADS_OF_SPACES = (0xC2, 0xE1, 0xE2, 0xE3)
 
-#: Bytes that are hashed at once.
-BLOCK = 1 << 20
-
 
 def _classes() -> np.ndarray:
     out = np.full(256, UNSAFE, np.uint8)
@@ -65,15 +63,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        rng = np.random.default_rng(20)
-        self.values = rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers = []
-        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            p = np.full(BLOCK + 1, base, np.uint64)
-            p[0] = 1
-            inverse = np.full(BLOCK + 1, pow(base, -1, 1 << 64), np.uint64)
-            inverse[0] = 1
-            self.powers.append((np.multiply.accumulate(p), np.multiply.accumulate(inverse)))
         self.mask, self.room = np.uint64(slots - 1), arena
         self._clear(slots)
 
@@ -82,17 +71,6 @@ class Encoder:
         self.at, self.n = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
         self.ids, self.used = np.zeros(min(self.room, 1 << 20), np.uint32), 0
 
-    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit polynomial hashes of each piece; data has at most BLOCK bytes."""
-        out = []
-        for values, (power, inverse) in zip(self.values, self.powers, strict=True):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(values[data] * power[: len(data)], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * inverse[starts]
-            h ^= h >> np.uint64(31)
-            out.append(h * np.uint64(0xD6E8FEB86659FD93))
-        return out[0] | np.uint64(1), out[1]  # 0 marks an empty slot
-
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, ids by piece). Pieces without a line end or outer white space share calls, with line ends between."""
         from itertools import chain
@@ -127,7 +105,7 @@ class Encoder:
     def _block(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids by piece) of consecutive pieces that cover ``data``."""
         ends = np.append(starts[1:], len(data))
-        h, g = self._hash(data, starts, ends)
+        h, g = hash_block(data, starts, ends)  # 0 marks an empty slot
         first, second = (h >> np.uint64(20)) & self.mask, (g >> np.uint64(20)) & self.mask
         slot = np.where((self.key[0, first] == h) & (self.key[1, first] == g), first, second).astype(np.int64)
         missed = np.flatnonzero((self.key[0, slot] != h) | (self.key[1, slot] != g))
