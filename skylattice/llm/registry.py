@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, warc, wavelet
+from . import decontaminate, exact_dedup, jaccard, packing, warc, wavelet
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
     "op8_warc_zip": warc.op8_warc_zip,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
