@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard, packing, warc, wavelet
+from . import decontaminate, exact_dedup, jaccard, packing, toxicity, warc, wavelet
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
     "op8_warc_zip": warc.op8_warc_zip,
