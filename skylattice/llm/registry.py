@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard, packing, toxicity, warc, wavelet
+from . import decontaminate, exact_dedup, jaccard, packing, secrets, toxicity, warc, wavelet
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op7_wavelet_tokens": wavelet.op7_wavelet_tokens,
     "op8_warc_zip": warc.op8_warc_zip,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
