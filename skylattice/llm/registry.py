@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard, packing, secrets, toxicity, warc, wavelet
+from . import decontaminate, exact_dedup, jaccard, packing, pii, secrets, toxicity, warc, wavelet
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
