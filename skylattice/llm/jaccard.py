@@ -3,16 +3,16 @@
 Two documents whose shingle sets have Jaccard similarity t or more share a token among the first
 ``n - ceil(t n) + 1`` tokens of each set, under any order of all tokens. Candidates must do so under three orders:
 
-1. half of all tokens, chosen by hash, first, by how many documents hold them, then by hash; the others after them;
+1. by how many documents hold the token, then by hash;
 2. and 3. two further hash orders.
 
 The first order makes candidates; the second and third are intersected with it before sets are compared. Document
 frequencies for the first order come from one exchange of sorted token arrays between chunks of documents and ranges
-of tokens. A token in one document alone makes no candidate, and a document with too many of those links to nothing,
-so texts of their own move no tokens.
+of tokens. A token in one document alone makes no candidate, and takes one from what its document can share with any
+other: a document with too many of those links to nothing, and a pair needs enough others on both sides.
 
-Documents with equal sets are one node. Nodes that share a prefix token are compared with the smallest node of the
-token first, in as many pairs as there are nodes. The components of these links are found; where a token's nodes still
+Documents with equal sets are one node. Nodes that share a prefix token are compared with one node of the token
+first, that with the fewest tokens of its own, in as many pairs as there are nodes. The components of these links are found; where a token's nodes still
 lie in several components, all pairs across components are compared. Pairs inside a component can't change it, so no
 link between components is lost and none is counted.
 
@@ -151,20 +151,16 @@ class Orders:
         self.block_bits = max(5, keep - 32)
         self.low_bits = min(32, keep - self.block_bits)
 
-    def counted(self, tokens: np.ndarray) -> np.ndarray:
-        """The half of all tokens whose frequency is counted."""
-        return tokens & np.uint64(1) == 0
-
     def key(self, tokens: np.ndarray) -> np.ndarray:
         return tokens >> np.uint64(TOKEN_BITS - self.block_bits - self.low_bits)
 
     def distinct(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of counted tokens in ascending order, documents with each)."""
-        return np.unique(self.key(tokens[self.counted(tokens)]), return_counts=True)
+        """(keys of tokens in ascending order, documents with each)."""
+        return np.unique(self.key(tokens), return_counts=True)
 
 
 def frequencies(nodes: DataFrame, orders: Orders, size: int) -> DataFrame:
-    """(chunk, block, df): for the chunk's counted keys of a block in order, in how many nodes each is, 255 at most."""
+    """(chunk, block, df): for the chunk's keys of a block in order, in how many nodes each is, 255 at most."""
     low = np.uint64((1 << orders.low_bits) - 1)
 
     def send(key, table):
@@ -188,7 +184,7 @@ def frequencies(nodes: DataFrame, orders: Orders, size: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, percent: int) -> DataFrame:
-    """(token, node, n, most): prefix tokens under the first order that other nodes may share; most: shared at most."""
+    """(token, node, n, most, place): prefix tokens under the first order that other nodes may share, and their places in it; most: shared at most."""
 
     def run(key, table):
         rows = np.asarray(table.column("row").is_valid())
@@ -198,30 +194,27 @@ def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, per
         tokens, offsets = Chunk.sets(key[0].as_py(), at, size)
         keys, _ = orders.distinct(tokens)
         df = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_py(), np.uint8) for x in back.column("df"))])
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for lo in range(0, len(at), (1 << DOC_BITS) - 1):
             hi = min(len(at), lo + (1 << DOC_BITS) - 1)
             mine = tokens[offsets[lo] : offsets[hi]]
             n = np.diff(offsets[lo : hi + 1])
             doc = np.repeat(np.arange(hi - lo), n)
-            counted = orders.counted(mine)
-            rank = np.zeros(len(mine), np.uint64)
-            rank[counted] = df[np.searchsorted(keys, orders.key(mine[counted]))]
-            rank[~counted] = 256
-            single = counted & (rank == 1)
-            order = np.argsort((doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (rank << np.uint64(TOKEN_BITS - 9)) | (mix(mine, 3) >> np.uint64(DOC_BITS + 9)))
+            rank = df[np.searchsorted(keys, orders.key(mine))].astype(np.uint64)
+            single = rank == 1
+            order = np.argsort((doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (rank << np.uint64(TOKEN_BITS - 8)) | (mix(mine, 3) >> np.uint64(DOC_BITS + 8)))
             place = np.empty(len(mine), np.int64)
             place[order] = np.arange(len(mine))
             place -= (offsets[lo:hi] - offsets[lo])[doc]
             most = n - np.bincount(doc[single], minlength=hi - lo)
             take = ~single & (place < (n - need(n, percent) + 1)[doc]) & (most >= need(n, percent))[doc]
-            for column, value in zip(out, (mine[take].view(np.int64), node[lo:hi][doc[take]], n[doc[take]], most[doc[take]]), strict=True):
+            for column, value in zip(out, (mine[take].view(np.int64), node[lo:hi][doc[take]], n[doc[take]], most[doc[take]], place[take]), strict=True):
                 column.append(value)
-        return pa.table(dict(zip(("token", "node", "n", "most"), (pa.array(np.concatenate(c)) for c in out), strict=True)))
+        return pa.table(dict(zip(("token", "node", "n", "most", "place"), (pa.array(np.concatenate(c)) for c in out), strict=True)))
 
     rows = nodes.select("chunk", "row", "node", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("df"))
     more = counts.select("chunk", F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("node"), "block", "df")
-    return rows.union(more).groupBy("chunk").applyInArrow(run, "token long, node long, n long, most long")
+    return rows.union(more).groupBy("chunk").applyInArrow(run, "token long, node long, n long, most long, place long")
 
 
 def fetch(nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -269,6 +262,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", *(f"{c}_{k}" for c in ("whole", "second", "third") for k in ("a", "b"))).mapInArrow(run, "a long, b long")
 
 
+def possible(n, most, place, m, most_of_m, place_of_m, percent: int):
+    """Whether sets of n and m tokens, that share at most ``most`` with any other, may be found similar enough at a token.
+
+    Such sets share ``least`` tokens or more, so some shared token is among the first n - least + 1 of one and among
+    the first m - least + 1 of the other.
+    """
+    least = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most >= least) & (most_of_m >= least) & (n - least >= place) & (m - least >= place_of_m)
+
+
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, component_id; links: a, b between the smallest doc_ids of equal sets, enough to connect all that are connected)."""
     spark = docs.sparkSession
@@ -278,11 +281,13 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     nodes = materialise(nodes.select("s1", "s2", "n", F.col("one.doc_id").alias("node"), "one.chunk", "one.row"), "jaccard-nodes")
     orders = Orders(int(nodes.agg(F.sum("n")).first()[0] or 0))
     grams = materialise(prefixes(nodes, frequencies(nodes, orders, size), orders, size, percent), "jaccard-prefixes")
-    lead = grams.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
+    # the node with the fewest tokens of its own is the likeliest to link to the token's others
+    lead = grams.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "node", "n", "most", "place")).alias("lead"), F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
     near = materialise(grams.join(lead.select("token", "lead"), "token"), "jaccard-buckets")
     sets = nodes.join(near.select("node").distinct(), "node", "left_semi")
     sets = materialise(fetch(sets, size, percent), "jaccard-fetched")
-    first = near.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    first = near.filter("node <> lead.node").filter(possible(*(F.col(f"{x}{c}") for x in ("", "lead.") for c in ("n", "most", "place")), percent))
+    first = first.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
     links = materialise(verify(first, sets, percent), "jaccard-links")
 
     whole = found.filter("doc_id IS NOT NULL").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"], "left")
@@ -291,12 +296,12 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     again = whole.join(again, "doc_id", "left_semi").filter("node IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     part = components(links.union(again))
-    labelled = near.join(part, "node", "left").select("token", "node", "n", "most", "lead", F.coalesce("component", "node").alias("component"))
+    labelled = near.join(part, "node", "left").select("token", "node", "n", "most", "place", F.col("lead.node").alias("lead"), F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
     open_ = materialise(labelled.join(mixed, "token", "left_semi"), "jaccard-open")
     a, b = open_.alias("a"), open_.alias("b")
-    least = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") != F.col("a.lead")) & (F.col("b.node") != F.col("b.lead")) & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent) & (F.col("a.most") >= least) & (F.col("b.most") >= least))
+    may = possible(*(F.col(f"{x}.{c}") for x in "ab" for c in ("n", "most", "place")), percent)
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") != F.col("a.lead")) & (F.col("b.node") != F.col("a.lead")) & may)
     more = materialise(verify(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets, percent), "jaccard-links")
     links = links.union(more)
     part = components(links.union(again)) if not more.isEmpty() else part
