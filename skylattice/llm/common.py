@@ -53,6 +53,18 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         _remove(spark, name)
 
 
+def kept_rows(docs: DataFrame, judge, condition: str) -> DataFrame:
+    """Rows of docs, with their columns as they were, for which judge's added columns meet a condition.
+
+    judge gets doc_id, text, and all other columns in one, so that its own columns clash with none.
+    """
+    from pyspark.sql import functions as F
+
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", *([F.struct(*(f"`{c}`" for c in rest)).alias("__rest")] if rest else []))
+    return judge(packed).filter(condition).select(*(F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns))
+
+
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a path or URI in the shared folder, on the driver or an executor."""
     from pyarrow import fs

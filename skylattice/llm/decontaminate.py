@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_rows
+from .common import byte_rows, kept_rows
 from .hashing import hash_pieces, lower_ascii, words
 
 WINDOW, LEAST_ITEMS = 8, 2
@@ -189,8 +189,8 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with windows of at least two benchmark items go."""
-    found = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter("NOT contaminated").select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return kept_rows(docs, lambda d: scan(d, benchmark), "NOT contaminated")
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import kept_rows, materialise
 
 #: Fingerprints a merged filter holds on average.
 BLOCK_ROWS = 200_000
@@ -171,7 +171,7 @@ def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of equal texts stays."""
-    return annotate(docs).filter("kept").select(*docs.columns)
+    return kept_rows(docs, annotate, "kept")
 
 
 ORACLE = """
