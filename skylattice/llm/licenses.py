@@ -1,7 +1,7 @@
 """Licence scan: a paragraph classifier of sparse word n-grams, confirmed by templates.
 
 A multinomial logistic regression over hashed words and pairs of words is trained on the driver from template notices
-and varied copies of them, beside paragraphs that are no licence. Its weights enter the query as literal arrays, so a
+and varied copies of them, beside copies whose own words are made-up ones (unknown licences) and paragraphs that are no licence. Its weights enter the query as literal arrays, so a
 scan is one projection of DataFrame functions without a shuffle. A paragraph is of a known family if the
 best family's calibrated probability reaches a threshold, an unknown licence if it looks like a licence but none does,
 and no licence otherwise. Templates confirm a prediction: the share of the shorter one's words that both have.
@@ -44,10 +44,11 @@ TEMPLATES = {
     "lgpl": ("This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"),
     "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "proprietary": ("All rights reserved.", "Copyright of the company. All rights reserved. This software is proprietary and confidential."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
 }
 #: Licences of no family here, for the unknown class, and paragraphs that are no licence.
-OTHER = ("Licensed under the Foobar Community License, version 7.", "This work is licensed under the Artistic Terms of Example Corp.", "Released under the Zephyr Shared Source License.", "Use of this software is governed by the Business Source License 1.1", "Licensed under the European Space Data License.", "All rights reserved; distributed under the Quill Font License.")
+OTHER = ("Licensed under the Foobar Community License, version 7.", "This work is licensed under the Artistic Terms of Example Corp.", "Released under the Zephyr Shared Source License.", "Use of this software is governed by the Business Source License 1.1", "Licensed under the European Space Data License.", "Distributed under the Quill Font License.")
 NONE = ("She renewed the driving license at the office of the town on Monday.", "The version of the story that the author told was free of errors.", "The general public liked the work, and it was released in spring.", "Copies of the source were distributed at the meeting.", "The apache helicopter landed near the river and the crew left.", "They study at MIT and met the software foundation of the city.", "The terms of the agreement were discussed and permission was asked.", "The common people created a domain of their own under the hill.", "Any person may use the library without charge on sunday.", "It is a license to dream, the poet said in public.", "The product is sold as is with the name of the shop.", "He wrote software and documentation for the department.")
 #: Words too common in prose to be the model's own vocabulary.
 COMMON = frozenset("a all an and any are as at author be basis by can charge city common copies copy copying created deal discussed do dream errors except fee files following for form forms free general he hill holder in is it law may met name names near neither no nor not of office on or own people person poet product products program promote provided purpose required river said she shop sold source spring story sunday terms that the their these they this to town under unless use used version was were with without work writing you".split())
@@ -63,7 +64,7 @@ def grams(text: str) -> list[str]:
 
 
 class Model:
-    """families: sorted; the class after them is no licence. weights[class][feature], bias[class], temperature and threshold."""
+    """families: sorted; the classes after them are unknown licences and no licence. weights[class][feature], bias[class], temperature and threshold."""
 
     def __init__(self, families, vocabulary, weights, bias, temperature, threshold):
         self.families, self.vocabulary, self.weights, self.bias = families, vocabulary, weights, bias
@@ -98,22 +99,35 @@ def train(seed: int = 6) -> Model:
         around = lambda: [filler[int(rng.integers(len(filler)))] for _ in range(int(rng.integers(0, 6)))]
         return " ".join(around() + w + around())
 
+    generic = {w for w in vocabulary if sum(any(w in words(t) for t in ts) for ts in TEMPLATES.values()) >= 3} | {"license", "licensed", "licence"}
+    letters = [*"abcdefghijklmnopqrstuvwxyz"]
+
+    def renamed(text: str) -> str:
+        """The notice of a licence that nobody knows: words of its own give way to made-up ones, numbers to others."""
+        new = lambda: "".join(letters[int(i)] for i in rng.integers(0, 26, int(rng.integers(3, 10))))
+        return " ".join(new() if w in vocabulary and w not in generic else str(rng.integers(0, 20)) if w.isdigit() else w for w in words(text))
+
     def sample(copies: int):
         texts, y = [], []
         for k, f in enumerate(families):
             for t in TEMPLATES[f]:
                 texts += [t, *(vary(t) for _ in range(copies))]
                 y += [k] * (copies + 1)
+                texts += [vary(renamed(t)) for _ in range(copies // 3)]
+                y += [len(families)] * (copies // 3)
+        for t in OTHER:
+            texts += [vary(t) for _ in range(copies)]
+            y += [len(families)] * copies
         for t in NONE:
             texts += [t, *(vary(t) for _ in range(copies))]
-            y += [len(families)] * (copies + 1)
+            y += [len(families) + 1] * (copies + 1)
         for w in sorted(vocabulary):  # one such word in prose is no licence
             texts += [vary(w) for _ in range(3)]
-            y += [len(families)] * 3
+            y += [len(families) + 1] * 3
         return texts, np.array(y)
 
     texts, y = sample(COPIES)
-    x, n = features(texts, vocabulary), len(families) + 1
+    x, n = features(texts, vocabulary), len(families) + 2
     target = np.eye(n, dtype=np.float32)[y]
     w, b = np.zeros((FEATURES, n), np.float32), np.zeros(n, np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -130,7 +144,7 @@ def train(seed: int = 6) -> Model:
     heat = float(heats[int(np.argmin(loss))])
     other = features([*OTHER, *(vary(t) for t in OTHER for _ in range(8))], vocabulary) @ w + b
     p = softmax(z / heat)[np.arange(len(y)), y][y < len(families)]
-    q = softmax(other / heat)[:, :-1].max(1)
+    q = softmax(other / heat)[:, :-2].max(1)
     # as high as the unknown licences need, unless that costs known families more than allowed; one half at least
     threshold = float(max(0.5, min(np.quantile(q, 0.95), np.quantile(p, UNKNOWN_COST))))
     return Model(families, vocabulary, w.T, b, heat, threshold)
@@ -172,12 +186,12 @@ def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAP
 
     rows = rows.select("doc_id", F.transform("p", probabilities).alias("p"))
     k = len(model.families)
-    names = F.array(*(F.lit(f) for f in model.families))
+    names = F.array(*(F.lit(f) for f in (*model.families, "unknown")))
 
     def judge(p):
-        best = F.array_max(F.slice(p["e"], 1, k))
+        best = F.array_max(F.slice(p["e"], 1, k + 1))
         family = F.element_at(names, F.array_position(p["e"], best).cast("int"))
-        none = F.element_at(p["e"], k + 1) / p["total"]
+        none = F.element_at(p["e"], k + 2) / p["total"]
         return F.struct(p["place"].alias("place"), p["w"].alias("w"), family.alias("family"), (best / p["total"]).alias("probability"), none.alias("none"))
 
     rows = rows.select("doc_id", F.filter(F.transform("p", judge), lambda p: p["none"] < 0.5).alias("p"))
@@ -187,7 +201,7 @@ def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAP
         overlap = F.lit(0.0)
         for f in model.families:
             overlap = F.when(p["family"] == f, F.greatest(*(shared(p["w"], t) for t in TEMPLATES[f]))).otherwise(overlap)
-        known = p["probability"] >= model.threshold
+        known = (p["probability"] >= model.threshold) & (p["family"] != "unknown")
         return F.struct(p["place"].alias("place"), F.when(known, p["family"]).otherwise("unknown").alias("family"), p["probability"].alias("probability"), overlap.alias("overlap"), (known & (overlap >= CONFIRM)).alias("confirmed"))
 
     return rows.select("doc_id", F.transform("p", confirm).alias("paragraphs"))
