@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed features, varied copies of each template, and steps of training.
-FEATURES, COPIES, STEPS = 2048, 24, 120
+FEATURES, COPIES, STEPS = 4096, 24, 120
 #: Share of known families' varied copies that the unknown class may cost, and the overlap that confirms.
 UNKNOWN_COST, CONFIRM = 0.02, 0.6
 PARAGRAPHS = r"\n+"
@@ -102,10 +102,11 @@ def train(seed: int = 6) -> Model:
     generic = {w for w in vocabulary if sum(any(w in words(t) for t in ts) for ts in TEMPLATES.values()) >= 3} | {"license", "licensed", "licence"}
     letters = [*"abcdefghijklmnopqrstuvwxyz"]
 
+    made_up = lambda: "".join(letters[int(i)] for i in rng.integers(0, 26, int(rng.integers(3, 10))))
+
     def renamed(text: str) -> str:
         """The notice of a licence that nobody knows: words of its own give way to made-up ones, numbers to others."""
-        new = lambda: "".join(letters[int(i)] for i in rng.integers(0, 26, int(rng.integers(3, 10))))
-        return " ".join(new() if w in vocabulary and w not in generic else str(rng.integers(0, 20)) if w.isdigit() else w for w in words(text))
+        return " ".join(made_up() if w in vocabulary and w not in generic else str(rng.integers(0, 20)) if w.isdigit() else w for w in words(text))
 
     def sample(copies: int):
         texts, y = [], []
@@ -121,9 +122,9 @@ def train(seed: int = 6) -> Model:
         for t in NONE:
             texts += [t, *(vary(t) for _ in range(copies))]
             y += [len(families) + 1] * (copies + 1)
-        for w in sorted(vocabulary):  # one such word in prose is no licence
-            texts += [vary(w) for _ in range(3)]
-            y += [len(families) + 1] * 3
+        for w in sorted(vocabulary):  # such a word in prose of any language, once or often, is no licence
+            texts += [vary(w), *(" ".join(w if rng.random() < 0.1 else made_up() for _ in range(40)) for _ in range(3))]
+            y += [len(families) + 1] * 4
         return texts, np.array(y)
 
     texts, y = sample(COPIES)
