@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_rows
+from .common import byte_rows, kept_rows
 from .hashing import hash_pieces, lower_ascii, words
 
 #: Labelled rows of each label that training and calibration take at most; features that training keeps at most.
@@ -83,8 +83,18 @@ def swap(text: str) -> list[str]:
     return out
 
 
+def features_of(texts: list[str], keep: np.ndarray | None = None, lot: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """features() of texts, some at a time, so that the driver's memory holds the results alone."""
+    rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+    for i in range(0, len(texts), lot):
+        r, c = features(*byte_rows(pa.array(texts[i : i + lot], pa.string())), keep)
+        rows.append((r + i).astype(np.int32))
+        cols.append(c.astype(np.uint32))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def matrix(texts: list[str], keep: np.ndarray) -> np.ndarray:
-    rows, cols = features(*byte_rows(pa.array(texts, pa.string())), keep)
+    rows, cols = features_of(texts, keep)
     x = np.zeros((len(texts), len(keep)), np.float32)
     x[rows, cols] = 1
     return x
@@ -161,15 +171,19 @@ def train_model(texts: list[str], y: np.ndarray, weight: np.ndarray, holdback: n
     learn = np.flatnonzero(~holdback)
     if not len(learn) or len(np.unique(y[learn])) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
-    rows, values = features(*byte_rows(pa.array([texts[i] for i in learn], pa.string())))
-    found, place = np.unique(values, return_inverse=True)
-    pos = np.bincount(place, y[learn][rows], len(found))
-    neg = np.bincount(place, 1 - y[learn][rows], len(found))
+    rows, values = features_of([texts[i] for i in learn])
+    toxic = y[learn][rows] == 1
+    found, total = np.unique(values, return_counts=True)
+    some, hits = np.unique(values[toxic], return_counts=True)
+    del rows, values, toxic
+    pos = np.zeros(len(found))
+    pos[np.searchsorted(found, some)] = hits
+    neg = total - pos
     gain = likelihood_ratio(pos, neg, y[learn].sum(), (1 - y[learn]).sum())
     gain[pos + neg < 3] = 0
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     terms = features(*byte_rows(pa.array([" ".join(g) for g in IDENTITY_GROUPS])))[1]
-    keep = np.unique(np.concatenate([found[best[gain[best] > 6.6]], terms]))
+    keep = np.unique(np.concatenate([found[best[gain[best] > 6.6]].astype(np.int64), terms]))
     x = matrix([texts[i] for i in learn], keep)
     copies = [(t, c) for t in (texts[i] for i in learn) for c in swap(t)][: 2 * SAMPLE]
     probes = [(p.format(g[0]), p.format(t)) for p in NEUTRAL for g in IDENTITY_GROUPS for t in g[1:]]
@@ -178,7 +192,8 @@ def train_model(texts: list[str], y: np.ndarray, weight: np.ndarray, holdback: n
     model = Model(keep, *fit(x, y[learn], weight[learn], pairs))
     rest = np.flatnonzero(holdback)
     if len(rest) and len(np.unique(y[rest])) == 2:
-        z = model.logits(*byte_rows(pa.array([texts[i] for i in rest], pa.string())))
+        at, cols = features_of([texts[i] for i in rest], keep)
+        z = model.bias + np.bincount(at, model.weights[cols], len(rest))
         model.slope, model.shift = calibrate(z, y[rest], weight[rest])
     return model
 
@@ -191,13 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * sample short rows
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic", "fold")
-    got = rows.toArrow().to_pylist()
-    y = np.array([r["toxic"] for r in got], np.float64)
+    got = rows.toArrow()
+    y = got.column("toxic").to_numpy().astype(np.float64)
     seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([total.get(k, 1) / seen[k] for k in (0, 1)])[y.astype(int)] if len(y) else y
     weight = weight / max(1e-9, weight.mean()) if len(y) else weight
-    got_folds = np.array([r["fold"] == 3 for r in got], bool)
-    return train_model([r["text"] for r in got], y, weight, got_folds)
+    return train_model(got.column("text").to_pylist(), y, weight, got.column("fold").to_numpy() == 3)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -225,4 +239,4 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier predicts as toxic go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return kept_rows(docs, lambda d: score(d, model), "predicted = 0")
