@@ -12,7 +12,10 @@ from . import quantize as Q
 from .cards import Header
 from .codecs import Codec, decode_many, encode, gunzip
 
-#: Bytes that codecs work on for quantised floats, and BITPIX of numpy types.
+#: Pixels of tiles that are decoded together.
+BATCH_PIXELS = 500_000
+
+#: BITPIX of numpy types.
 BITPIX = {"u1": 8, "i2": 16, "i4": 32, "i8": 64, "f4": -32, "f8": -64}
 
 
@@ -129,10 +132,13 @@ def lines(f, unit: L.Unit, lo: int, hi: int):
     tiled = parse_tiles(unit)
     across = prod(tiled.grid[1:])
     step = tiled.tile[0]
-    for row in range(lo // step, -(-hi // step)):
-        top, bottom = row * step, min(tiled.shape[0], (row + 1) * step)
+    last = -(-hi // step)
+    together = max(1, BATCH_PIXELS // (step * prod(tiled.shape[1:])))
+    for row in range(lo // step, last, together):
+        end = min(last, row + together)
+        top, bottom = row * step, min(tiled.shape[0], end * step)
         block = np.empty((bottom - top, *tiled.shape[1:]), tiled.pixel)
-        for k, values in zip(range(row * across, (row + 1) * across), decode_tiles(f, tiled, row * across, (row + 1) * across), strict=True):
+        for k, values in zip(range(row * across, end * across), decode_tiles(f, tiled, row * across, end * across), strict=True):
             box = tiled.box(k)
             block[(slice(box[0].start - top, box[0].stop - top), *box[1:])] = values
         a, b = max(lo, top), min(hi, bottom)

@@ -8,11 +8,14 @@ import pyarrow as pa
 from ..sources import layout as L
 from . import rows as R
 from .cards import Header
-from .codecs import Codec, decode, encode, gunzip
+from .codecs import Codec, decode, decode_many, encode, gunzip
 
 #: Codecs of letters where none is asked for, and those allowed.
 DEFAULT = {"J": "RICE_1", "I": "GZIP_2", "K": "GZIP_2", "E": "GZIP_2", "D": "GZIP_2"}
 ALLOWED = {"B": ("GZIP_1", "GZIP_2", "RICE_1"), "I": ("GZIP_1", "GZIP_2", "RICE_1"), "J": ("GZIP_1", "GZIP_2", "RICE_1"), "K": ("GZIP_1", "GZIP_2"), "E": ("GZIP_1", "GZIP_2"), "D": ("GZIP_1", "GZIP_2")}
+#: Rows of tiles that are decoded together.
+BATCH_ROWS = 100_000
+
 NATIVE = {"B": "u1", "I": "i2", "J": "i4", "K": "i8", "E": "f4", "D": "f8"}
 
 
@@ -27,15 +30,16 @@ def default_tile(rows: int, width: int) -> int:
     return max(1, min(rows, 10_000_000 // max(1, width)))
 
 
-def unpack_column(c: L.Column, blob: bytes, n: int) -> np.ndarray:
-    """The column's stored bytes of n rows: (rows, bytes of the cell)."""
+def unpack_tiles(c: L.Column, packed: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The column's stored bytes of consecutive tiles: (rows, bytes of the cell)."""
+    n = sum(sizes)
     if not c.width or not n:
         return np.zeros((n, c.width), np.uint8)
     codec = Codec(str(c.codec or "GZIP_1").strip())
     if c.letter not in NATIVE or codec.name == "GZIP_1":
-        raw = np.frombuffer(gunzip(blob), np.uint8)
+        raw = np.concatenate([np.frombuffer(gunzip(b), np.uint8) for b in packed])
     else:
-        native = decode(blob, codec, np.dtype(NATIVE[c.letter]), n * c.repeat)
+        native = np.concatenate(decode_many(packed, codec, np.dtype(NATIVE[c.letter]), np.array(sizes) * c.repeat))
         raw = native.astype(L.STORED[c.letter]).view(np.uint8)
     return raw.reshape(n, c.width)
 
@@ -58,16 +62,21 @@ def batches(f, unit: L.Unit, lo: int, hi: int, base: int, names, scale: bool, ma
     if mask:
         raise NotImplementedError("nulls of compressed tables aren't masked")
     columns = table.chosen(names)
-    for t in range(lo // table.tile, -(-hi // table.tile)):
-        first, last = t * table.tile, min(table.rows, (t + 1) * table.tile)
-        a, b = max(lo, first), min(hi, last)
-        got = blobs(f, table, t, columns)
+    last_tile = -(-hi // table.tile)
+    together = max(1, BATCH_ROWS // table.tile)
+    for t in range(lo // table.tile, last_tile, together):
+        tiles = range(t, min(last_tile, t + together))
+        ends = [min(table.rows, (k + 1) * table.tile) for k in tiles]
+        sizes = [e - k * table.tile for k, e in zip(tiles, ends, strict=True)]
+        first, a, b = t * table.tile, max(lo, t * table.tile), min(hi, ends[-1])
+        got = [blobs(f, table, k, columns) for k in tiles]
         out = [pa.array(np.arange(base + a, base + b))]
         for c in columns:
             if c.inner:
-                out.append(variable_column(f, table, c, got[c.name], last - first, scale).slice(a - first, b - a))
+                parts = [variable_column(f, table, c, g[c.name], n, scale) for g, n in zip(got, sizes, strict=True)]
+                out.append(pa.concat_arrays(parts).slice(a - first, b - a))
             else:
-                raw = unpack_column(c, got[c.name], last - first)[a - first : b - first]
+                raw = unpack_tiles(c, [g[c.name] for g in got], sizes)[a - first : b - first]
                 out.append(R.fixed(np.ascontiguousarray(raw), c, scale, False, False))
         yield pa.RecordBatch.from_arrays(out, names=["_row", *(c.name for c in columns)])
 

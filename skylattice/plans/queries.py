@@ -372,10 +372,10 @@ def ztable_scan(spark, sf_dir):
     return tables.read(spark, ztable(spark, sf_dir, tile_rows=1000), 1).drop("_row")
 
 
-@query("ztable_slice", f"SELECT rn AS _row, o_totalprice FROM {R_ORDERS} WHERE rn >= 2500 AND rn < 2600")
+@query("ztable_slice", f"SELECT rn AS _row, o_totalprice FROM {R_ORDERS} WHERE rn >= 1100 AND rn < 1200")
 def ztable_slice(spark, sf_dir):
     path = ztable(spark, sf_dir, tile_rows=1000)
-    return select.slice_rows(tables.read(spark, path, 1, ["o_totalprice"]), slice(2500, 2600), orders(spark, sf_dir).count())
+    return select.slice_rows(tables.read(spark, path, 1, ["o_totalprice"]), slice(1100, 1200), orders(spark, sf_dir).count())
 
 
 @query("ztable_variable", "SELECT vec_id, j::INTEGER AS j, embedding[j + 1] AS value FROM embeddings, range(64) AS t(j) WHERE j < vec_id % 64")

@@ -28,8 +28,8 @@ from ..functions.cards import BLOCK
 from . import layout as L
 from . import storage
 
-#: Bytes of rows that an input partition holds, and that a batch decodes at once.
-PARTITION_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Bytes of rows that an input partition holds, plain and where tiles have to be decoded, and that a batch decodes at once.
+PARTITION_BYTES, PACKED_BYTES, BATCH_BYTES = 32 << 20, 4 << 20, 4 << 20
 
 
 def flag(options, name: str, default: bool) -> bool:
@@ -96,7 +96,8 @@ class FitsReader(DataSourceReader):
             with storage.open_read(path, self.options.get("remote")) as f:
                 unit = unit_of(L.walk(f, flag(self.options, "lenient", False)), self.options)
             count, size, step = extent(unit)
-            lots = int(self.options.get("rowsperpartition", 0)) or max(1, PARTITION_BYTES // max(1, size))
+            room = PACKED_BYTES if unit.kind in ("zimage", "ztable") else PARTITION_BYTES
+            lots = int(self.options.get("rowsperpartition", 0)) or max(1, room // max(1, size))
             lots = max(step, lots // step * step)
             for lo in range(0, count, lots):
                 hi = min(count, lo + lots)
