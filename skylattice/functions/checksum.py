@@ -19,6 +19,17 @@ def word_sum(data: bytes) -> int:
     return folded(int(np.frombuffer(data, ">u4").sum(dtype=np.uint64)) if len(data) < 1 << 33 else sum(int(np.frombuffer(data[i : i + (1 << 30)], ">u4").sum(dtype=np.uint64)) for i in range(0, len(data), 1 << 30)))
 
 
+def stream_sum(chunks) -> int:
+    """The sum of chunks of any lengths as one run of bytes, padded with zeros."""
+    total, rest = 0, b""
+    for chunk in chunks:
+        data = rest + bytes(chunk)
+        whole = len(data) & ~3
+        total = folded(total + word_sum(data[:whole]))
+        rest = data[whole:]
+    return folded(total + word_sum(rest + bytes(-len(rest) % 4)))
+
+
 def encode_checksum(total: int) -> str:
     """16 characters, digits and letters, whose words sum to the complement of ``total``."""
     value = ONES - total

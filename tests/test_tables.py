@@ -159,6 +159,24 @@ def test_compressed_rows_of_all_letters(spark, tmp_path):
         write_compressed_table(df, path, "k", {"k": "RICE_1"})
 
 
+def test_sums_of_what_compressed_units_stand_for(spark, tmp_path):
+    from skylattice.functions.codecs import Codec
+    from skylattice.operators.images import write_compressed, write_image
+
+    df = spark.range(130).selectExpr("id as k", "cast(id as int) * -7 as j", "id % 2 = 0 as l")
+    pixels = spark.range(77).select(F.expr("id div 11").alias("i0"), (F.col("id") % 11).alias("i1"), F.expr("cast(id * 301 as smallint)").alias("value"))
+    z, plain = str(tmp_path / "z.fits"), str(tmp_path / "p.fits")
+    write_compressed_table(df, z, "k", tile_rows=50)
+    tables.write_table(df, plain, "k", checksum=True)
+    assert catalog.verify_plain_sum(z, 1) is None
+    catalog.add_plain_sum(z, 1)
+    assert catalog.verify_plain_sum(z, 1) and read_header(z, 1)["ZDATASUM"] == read_header(plain, 1)["DATASUM"]
+    write_compressed(pixels, z, (7, 11), "i2", Codec("RICE_1", tile_shape=(2, 5)))
+    write_image(pixels, plain, (7, 11), "i2")
+    catalog.with_checksums(plain, 0)
+    assert str(catalog.plain_sum(z, 1)) == read_header(plain, 0)["DATASUM"]
+
+
 def test_fancy_changes(spark):
     df = spark.range(5).select(F.col("id").alias("_row"), F.lit("a").alias("s"))
     with pytest.raises(ValueError):
