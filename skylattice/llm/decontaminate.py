@@ -188,9 +188,12 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with windows of at least two benchmark items go."""
+    """Pipeline stage: documents with a window of any benchmark item go; one item's passage is enough.
+
+    The column ``contaminated`` of op10_decontamination asks for LEAST_ITEMS different items.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return kept_rows(docs, lambda d: scan(d, benchmark), "NOT contaminated")
+    return kept_rows(docs, lambda d: scan(d, benchmark, least_items=1), "NOT contaminated")
 
 
 ORACLE = r"""

@@ -108,3 +108,13 @@ def test_decontamination_without_items_or_rows(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.scan(table, none).filter("n_hit > 0 OR contaminated").count() == 0
     assert decontaminate.scan(table.limit(0), spark.createDataFrame(items, none.schema)).count() == 0
+
+
+def test_stage_drops_a_document_with_one_whole_item(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog near a quiet river bank"
+    spark.createDataFrame([("b1", item), ("b2", "nine other words that no document here holds at all")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seven = " ".join(item.split()[:7])
+    docs = [(1, f"Before. {item.upper()}! After."), (2, "clean prose about a river and a dog"), (3, f"{seven} and then something else"), (4, None), (5, "")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert not decontaminate.scan(table, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).filter("contaminated").count()  # op10's column: two items
+    assert sorted(tuple(r) for r in decontaminate.decontaminate_stage(spark, table, str(tmp_path)).collect()) == docs[1:]
