@@ -6,6 +6,7 @@ mention of a group alone moves no score. Features are kept by a likelihood-ratio
 score is calibrated on rows that neither the test nor the training saw. Scoring reads whole texts in array operations.
 
 Training takes at most ``SAMPLE`` labelled rows of each label (those with the smallest hashes); every count of labels covers all rows.
+All counterfactual copies of the texts that training learns from count, whatever the order of rows.
 
 Defined cases: null and empty texts have the score of a text without known words. Null labels and labels without a
 document are left out; a document labelled twice trains twice. Rows with a null doc_id are scored and not held out.
@@ -14,6 +15,9 @@ Repeated rows are scored alike. Without labels of both kinds the score is 0. An
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import batched, chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,6 +104,17 @@ def matrix(texts: list[str], keep: np.ndarray) -> np.ndarray:
     return x
 
 
+def mean_change(pairs: Iterable[tuple[str, str]], keep: np.ndarray, lot: int = 300) -> np.ndarray:
+    """Mean of d dᵀ over all (origin, copy), d the change of features: summed some pairs at a time, so that memory holds the sum alone."""
+    total, n = np.zeros((len(keep), len(keep)), np.float32), 0
+    for part in batched(pairs, lot):
+        d = matrix([c for _, c in part], keep) - matrix([t for t, _ in part], keep)
+        some = np.flatnonzero(d.any(0))
+        total[np.ix_(some, some)] += d[:, some].T @ d[:, some]
+        n += len(part)
+    return total / np.float32(max(1, n))
+
+
 class Model:
     """keep: feature hashes in ascending order; weights, bias and the calibration's two numbers."""
 
@@ -132,7 +147,7 @@ def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: floa
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, penalty: float = COUNTERFACTUAL, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias: weighted log loss, squared weights, and the mean squared score change over ``pairs``.
 
-    pairs: for each counterfactual, its features minus those of its origin. Steps are Adam's on the whole sample.
+    pairs: mean_change() of the counterfactuals, or empty for no penalty. Steps are Adam's on the whole sample.
     """
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -141,7 +156,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: np.ndarray, pen
         error = (sigmoid(x @ w + b) - y).astype(np.float32) * share
         grad = x.T @ error + np.float32(DECAY) * w
         if len(pairs):
-            grad += np.float32(2 * penalty / len(pairs)) * (pairs.T @ (pairs @ w))
+            grad += np.float32(2 * penalty) * (pairs @ w)
         gb = float(error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -185,10 +200,9 @@ def train_model(texts: list[str], y: np.ndarray, weight: np.ndarray, holdback: n
     terms = features(*byte_rows(pa.array([" ".join(g) for g in IDENTITY_GROUPS])))[1]
     keep = np.unique(np.concatenate([found[best[gain[best] > 6.6]].astype(np.int64), terms]))
     x = matrix([texts[i] for i in learn], keep)
-    copies = [(t, c) for t in (texts[i] for i in learn) for c in swap(t)][: 2 * SAMPLE]
+    copies = ((texts[i], c) for i in learn for c in swap(texts[i]))
     probes = [(p.format(g[0]), p.format(t)) for p in NEUTRAL for g in IDENTITY_GROUPS for t in g[1:]]
-    both = copies + probes
-    pairs = matrix([c for _, c in both], keep) - matrix([t for t, _ in both], keep)
+    pairs = mean_change(chain(copies, probes), keep)
     model = Model(keep, *fit(x, y[learn], weight[learn], pairs))
     rest = np.flatnonzero(holdback)
     if len(rest) and len(np.unique(y[rest])) == 2:

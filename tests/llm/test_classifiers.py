@@ -42,6 +42,21 @@ def test_counterfactual_penalty_lowers_the_weight_of_a_mention(monkeypatch):
     assert abs(a[0] - a[1]) < 0.3 * abs(b[0] - b[1]) and a[2] > 0.8 and a[0] < 0.3
 
 
+def test_all_counterfactual_copies_count(monkeypatch):
+    texts, y = labelled()
+    back = np.arange(len(y)) % 4 == 3
+    whole = toxicity.train_model(texts, y, np.ones(len(y)), back)
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)  # bounds the labelled rows that train() takes, not the copies of given texts
+    assert np.array_equal(toxicity.train_model(texts, y, np.ones(len(y)), back).weights, whole.weights)
+
+
+def test_mean_change_sums_over_lots():
+    pairs = [(t, c) for t in labelled()[0] for c in toxicity.swap(t)]
+    keep = np.unique(toxicity.features(*byte_rows(pa.array(["muslim jewish hindu w1 w2"])))[1])
+    d = toxicity.matrix([c for _, c in pairs], keep) - toxicity.matrix([t for t, _ in pairs], keep)
+    assert np.allclose(toxicity.mean_change(iter(pairs), keep, lot=7), d.T @ d / len(pairs)) and d.any()
+
+
 def test_swaps_stay_in_a_group():
     assert toxicity.swap("A Muslim man") == ["A jewish women", "A hindu men"]
     assert toxicity.swap("nobody") == []
