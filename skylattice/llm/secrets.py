@@ -1,7 +1,7 @@
 """Secret scan: rules give base findings, and a character convolutional network judges every candidate.
 
 Base findings are matches of three fixed patterns. Candidates are the base findings and every run of at least 16
-characters of secrets' alphabet that no base finding overlaps. Each candidate, whole and with its surroundings, is cut into
+characters of secrets' alphabet that no base finding overlaps; of a run that some overlap, see candidates(). Each candidate, whole and with its surroundings, is cut into
 windows that overlap; a network in numpy (character embedding, a convolution, maximum over places) scores windows, and
 a candidate has its best window's score. It is trained on labelled findings that are made here by seeded rules: keys
 and tokens of many forms in code and prose, and words, paths, rulers, numbers and names that are none. Scores are
@@ -232,6 +232,22 @@ def base_spans(texts: list[str], raw: list[bytes], data: np.ndarray, offsets: np
     return found
 
 
+def candidates(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the network judges of a run that base findings (start, end, kind's number) overlap: the parts between them
+    that are long enough; the run whole where they are hex alone and leave a shorter part, as a key may hold hex digits."""
+    rests, at = [], start
+    for a, b, _ in sorted(spans):
+        if a > at:
+            rests.append((at, a))
+        at = max(at, b)
+    if at < end:
+        rests.append((at, end))
+    long = [(a, b) for a, b in rests if b - a >= LEAST["cnn"]]
+    if len(long) < len(rests) and all(k == 2 for *_, k in spans):
+        return [(start, end), *long]
+    return long
+
+
 def scan(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
     """(doc_id, spans: kind, start, end, probability), findings in order of start, then kind; kind cnn is the network's own."""
     shared = docs.sparkSession.sparkContext.broadcast(judge or train())
@@ -253,13 +269,13 @@ def scan(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
                 ends.append(at + len(texts[i][a:b].encode()))
                 kinds.append(k)
         taken: dict[int, list] = {}
-        for i, a, b in zip(rows, starts, ends, strict=True):
-            taken.setdefault(i, []).append((a, b))
+        for i, a, b, k in zip(rows, starts, ends, kinds, strict=True):
+            taken.setdefault(i, []).append((a, b, k))
         for i, a, b in zip(*(x.tolist() for x in runs(data, offsets, _RUN, LEAST["cnn"])), strict=True):
-            if not any(a < y and x < b for x, y in taken.get(i, ())):
+            for x, y in candidates(a, b, [t for t in taken.get(i, ()) if a < t[1] and t[0] < b]):
                 rows.append(i)
-                starts.append(a)
-                ends.append(b)
+                starts.append(x)
+                ends.append(y)
                 kinds.append(3)
         p = judge.probabilities(data, offsets, np.array(rows, np.int64), np.array(starts, np.int64), np.array(ends, np.int64))
         out: list[list] = [[] for _ in texts]
