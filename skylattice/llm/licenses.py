@@ -6,6 +6,11 @@ scan is one projection of DataFrame functions without a shuffle. A paragraph is
 best family's calibrated probability reaches a threshold, an unknown licence if it looks like a licence but none does,
 and no licence otherwise. Templates confirm a prediction: the share of the shorter one's words that both have.
 
+A paragraph is a line, and also a block: several lines without a blank one or a sentence's end between them, as in wrapped
+notices. A confirmed block takes the place of its lines, unless one of the same family is their only licence, or one is
+confirmed for a family whose name is no part of the block's (as gpl is of agpl). A block that is not confirmed counts only
+where none of its lines is a licence. Its place is that of its first line.
+
 Texts without any word of the model's own vocabulary can't score as a licence: features without such a word have no
 weight. They are passed over by one set comparison, which drops nothing.
 
@@ -30,6 +35,8 @@ FEATURES, COPIES, STEPS = 4096, 24, 120
 #: Share of known families' varied copies that the unknown class may cost, and the overlap that confirms.
 UNKNOWN_COST, CONFIRM = 0.02, 0.6
 PARAGRAPHS = r"\n+"
+#: What ends a block of lines: a sentence that ends with its line, or lines without a letter or digit. And a mark between blocks.
+BREAK, MARK = r"(?:(?<=[.!?])[^\p{L}\p{N}\n]*\n|\n(?=[^\p{L}\p{N}\n]*\n))(?:[^\p{L}\p{N}\n]*\n)*", "\u0001"
 
 #: Template notices by family.
 TEMPLATES = {
@@ -159,33 +166,38 @@ def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAP
     own = F.array(*(F.lit(w) for w in sorted(model.vocabulary)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("seen", F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), own))
-    parts = F.transform(F.split("text", paragraphs), lambda p, i: F.struct(i.alias("place"), tokens(p).alias("w")))
-    none = F.array().cast("array<struct<place:int,w:array<string>>>")
-    rows = rows.select("doc_id", F.when(F.col("seen"), F.filter(parts, lambda p: F.arrays_overlap(p["w"], own))).otherwise(none).alias("p"))
+    parts = F.transform(F.split("text", paragraphs), lambda p, i: F.struct(i.alias("place"), F.lit(False).alias("block"), tokens(p).alias("w")))
+    rows = rows.withColumn("b", F.when(F.col("seen"), F.split(F.regexp_replace(F.translate("text", MARK, " "), BREAK, f"$0{MARK}"), MARK)).otherwise(F.array().cast("array<string>")))
+    wrapped = lambda b: F.size(F.filter(F.split(b, paragraphs), lambda x: x.rlike(r"[\p{L}\p{N}]"))) > 1
+    blocks = F.transform("b", lambda b, i: F.struct(i.alias("place"), F.lit(True).alias("block"), F.when(wrapped(b), tokens(b)).otherwise(F.array().cast("array<string>")).alias("w")))
+    # lines of each block; every block but the last ends in a line end, so its pieces are one more
+    n = F.transform("b", lambda b, i: F.size(F.split(b, paragraphs)) - F.when(i < F.size("b") - 1, 1).otherwise(0))
+    none = F.array().cast("array<struct<place:int,block:boolean,w:array<string>>>")
+    rows = rows.select("doc_id", n.alias("n"), F.when(F.col("seen"), F.filter(F.concat(parts, blocks), lambda p: F.arrays_overlap(p["w"], own))).otherwise(none).alias("p"))
 
     def index(p):
         pairs = F.when(F.size(p["w"]) > 1, F.zip_with(F.slice(p["w"], F.lit(1), F.size(p["w"]) - 1), F.slice(p["w"], F.lit(2), F.size(p["w"]) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
         known = F.filter(F.array_distinct(F.concat(p["w"], pairs)), lambda g: F.arrays_overlap(F.split(g, " "), own))
         places = F.array_distinct(F.transform(known, lambda g: F.pmod(F.crc32(g), F.lit(FEATURES)).cast("int") + 1))
-        return F.struct(p["place"].alias("place"), F.array_distinct(p["w"]).alias("w"), places.alias("f"))
+        return F.struct(p["place"].alias("place"), p["block"].alias("block"), F.array_distinct(p["w"]).alias("w"), places.alias("f"))
 
-    rows = rows.select("doc_id", F.transform("p", index).alias("p"))
+    rows = rows.select("doc_id", "n", F.transform("p", index).alias("p"))
 
     def logits(p):
         each = []
         for weights, b in zip(model.weights, model.bias, strict=True):
             table = array([round(float(x), 5) for x in weights])
             each.append((F.lit(float(b)) + F.aggregate(p["f"], F.lit(0.0), _adder(table))) / F.lit(model.temperature))
-        return F.struct(p["place"].alias("place"), p["w"].alias("w"), F.array(*each).alias("z"))
+        return F.struct(p["place"].alias("place"), p["block"].alias("block"), p["w"].alias("w"), F.array(*each).alias("z"))
 
-    rows = rows.select("doc_id", F.transform("p", logits).alias("p"))
+    rows = rows.select("doc_id", "n", F.transform("p", logits).alias("p"))
 
     def probabilities(p):
         top = F.array_max(p["z"])
         e = F.transform(p["z"], lambda z: F.exp(z - top))
-        return F.struct(p["place"].alias("place"), p["w"].alias("w"), e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("total"))
+        return F.struct(p["place"].alias("place"), p["block"].alias("block"), p["w"].alias("w"), e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
-    rows = rows.select("doc_id", F.transform("p", probabilities).alias("p"))
+    rows = rows.select("doc_id", "n", F.transform("p", probabilities).alias("p"))
     k = len(model.families)
     names = F.array(*(F.lit(f) for f in (*model.families, "unknown")))
 
@@ -193,9 +205,9 @@ def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAP
         best = F.array_max(F.slice(p["e"], 1, k + 1))
         family = F.element_at(names, F.array_position(p["e"], best).cast("int"))
         none = F.element_at(p["e"], k + 2) / p["total"]
-        return F.struct(p["place"].alias("place"), p["w"].alias("w"), family.alias("family"), (best / p["total"]).alias("probability"), none.alias("none"))
+        return F.struct(p["place"].alias("place"), p["block"].alias("block"), p["w"].alias("w"), family.alias("family"), (best / p["total"]).alias("probability"), none.alias("none"))
 
-    rows = rows.select("doc_id", F.filter(F.transform("p", judge), lambda p: p["none"] < 0.5).alias("p"))
+    rows = rows.select("doc_id", "n", F.filter(F.transform("p", judge), lambda p: p["none"] < 0.5).alias("p"))
     shared = lambda w, t: F.size(F.array_intersect(w, F.array(*(F.lit(x) for x in sorted(set(words(t))))))) / F.least(F.size(w), F.lit(len(set(words(t)))))
 
     def confirm(p):
@@ -203,9 +215,25 @@ def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAP
         for f in model.families:
             overlap = F.when(p["family"] == f, F.greatest(*(shared(p["w"], t) for t in TEMPLATES[f]))).otherwise(overlap)
         known = (p["probability"] >= model.threshold) & (p["family"] != "unknown")
-        return F.struct(p["place"].alias("place"), F.when(known, p["family"]).otherwise("unknown").alias("family"), p["probability"].alias("probability"), overlap.alias("overlap"), (known & (overlap >= CONFIRM)).alias("confirmed"))
-
-    return rows.select("doc_id", F.transform("p", confirm).alias("paragraphs"))
+        return F.struct(p["place"].alias("place"), p["block"].alias("block"), F.when(known, p["family"]).otherwise("unknown").alias("family"), p["probability"].alias("probability"), overlap.alias("overlap"), (known & (overlap >= CONFIRM)).alias("confirmed"))
+
+    rows = rows.select("doc_id", "n", F.transform("p", confirm).alias("p"))
+    upto = lambda k: F.aggregate(F.slice(F.col("n"), F.lit(1), k), F.lit(0), lambda a, x: a + x)
+    fields = ("place", "family", "probability", "overlap", "confirmed")
+    placed = lambda b: F.struct(upto(b["place"]).alias("place"), *(b[f].alias(f) for f in fields[1:]), upto(b["place"] + 1).alias("stop"))
+    rows = rows.select("doc_id", F.transform(F.filter("p", lambda p: ~p["block"]), lambda p: F.struct(*(p[f].alias(f) for f in fields))).alias("p"), F.transform(F.filter("p", lambda p: p["block"]), placed).alias("b"))
+    inside = lambda p, b: (p["place"] >= b["place"]) & (p["place"] < b["stop"])
+
+    def counts(b):
+        own = F.filter("p", lambda p: inside(p, b))
+        alone = (F.size(own) == 1) & F.exists(own, lambda p: p["confirmed"] & (p["family"] == b["family"]))
+        other = F.exists(own, lambda p: p["confirmed"] & ~F.contains(b["family"], p["family"]))
+        return (b["confirmed"] & ~alone & ~other) | (F.size(own) == 0)
+
+    rows = rows.select("doc_id", "p", F.filter("b", counts).alias("b"))
+    lines = F.filter("p", lambda p: ~F.exists("b", lambda b: inside(p, b)))
+    whole = F.transform("b", lambda b: F.struct(*(b[f].alias(f) for f in fields)))
+    return rows.select("doc_id", F.array_sort(F.concat(lines, whole)).alias("paragraphs"))
 
 
 def _adder(table):

@@ -189,3 +189,17 @@ def test_licence_families_unknown_and_prose(spark):
     found = sorted(((r["doc_id"], [(p["family"], p["confirmed"], p["place"]) for p in r["paragraphs"]]) for r in got.collect()), key=repr)
     assert found == sorted(((d, want) for d, _, want in cases), key=repr)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_licence_headers(spark):
+    agpl = "# This program is licensed under the GNU Affero\n# General Public License, version 3."
+    apache = " * Licensed under the Apache\n * License, Version 2.0."
+    texts = [
+        (1, f"code = 1\n \n{agpl}\n\nmore code", [("agpl", True, 2)]),
+        (2, f"/*\n{apache}\n */\nint main;", [("apache", True, 0)]),
+        (3, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", [("mit", True, 0), ("apache", True, 1)]),
+        (4, "\n\nprose\nof two lines\n\nReleased under the MIT License.", [("mit", True, 3)]),
+        (5, "This program is free software: you can redistribute it under the terms of the GNU Affero\nGeneral Public License as published by the Free Software Foundation", [("agpl", True, 0)]),
+    ]
+    got = licenses.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(p["family"], p["confirmed"], p["place"]) for p in r["paragraphs"]] for r in got] == [t[2] for t in texts]
