@@ -280,6 +280,7 @@ class FITS:
         else:
             write_table(df, part, "_row", forms=keep, extname=old.extname)
         self._splice(part, index, index + 1)
+        self[index].edit(lambda h: h.update(old.header, copy_commentary=True))
 
     def _splice(self, part: str, lo: int, hi: int) -> None:
         """Units lo .. hi - 1 give way to the last unit of another file."""

@@ -128,6 +128,22 @@ def test_updates_in_a_file(spark, numbers, tmp_path):
         assert f[1].verify_checksum() and f[1].extname == "NUMBERS" and read_header(path, 1)["OBS"] == "you"
 
 
+def test_updates_keep_a_tables_own_cards(spark, tmp_path):
+    path = str(tmp_path / "own.fits")
+    with FITS(spark, path, "w+") as f:
+        for ascii in (False, True):
+            f.write_table(spark.range(5).select(F.col("id").alias("k")), "k", ascii=ascii, extname="T")
+    for unit in (1, 2):
+        with FITS(spark, path, "r+") as f:
+            f[unit].edit(lambda h: (h.__setitem__("OBS", ("you", "who looked")), h.__setitem__("EXPO", 2.5), h.add_comment("first"), h.add_comment("second"), h.add_history("made")))
+            before = f[unit].header.to_dict(skip_protected=True)
+            f[unit].append(spark.createDataFrame([(9,)], "k long"), "k")
+            f[unit][0] = {"k": 7}
+            after = read_header(path, unit)
+            assert after["OBS"] == "you" and after.to_dict(skip_protected=True) == before
+            assert [r["k"] for r in f[unit].read().orderBy("_row").collect()] == [7, 1, 2, 3, 4, 9]
+
+
 def test_new_files_of_many_units(spark, tmp_path):
     path = tmp_path / "m.fits.gz"
     df = spark.range(100).select(F.col("id").alias("k"), F.array(F.col("id").cast("float")).alias("a"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("v"))
