@@ -10,6 +10,9 @@ everywhere, in each mention's own format. Only entities that had to try again ar
 Kinds: email, phone, ip, card (keeps its first digit, and its checksum where it had a valid one), ssn, and names after
 a title, which tells the gender; letters are replaced within their script (Latin, Greek, Cyrillic), other letters stay.
 
+Limits: phones are found with a leading + alone, not in national forms; cards in groups of four alone, not 4-6-5; names
+right after one of the fixed titles alone, so an untitled repeat of a titled name stays as it is in the text.
+
 Defined cases: null text stays null with no entities, empty text stays empty. Null doc_ids, and rows that repeat doc_id
 and text, get the same text as their equals. Any number of mentions in a text is replaced. An empty table gives an
 empty result. Extra columns pass through, but for those named like a result column.
