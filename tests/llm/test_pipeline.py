@@ -20,7 +20,8 @@ def test_pipeline_against_brute_force(spark):
     near = {d: c for d, _, c in jaccard_brute(left, 5, 80)}
     left = [(d, t) for d, t in left if near[d] == d]
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    bad = {r[0] for r in window_brute(left, items) if r[5]}
+    bad = {r[0] for r in window_brute(left, items) if r[3]}  # a window of any one item
+    assert bad  # the table holds passages that no earlier stage removes
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in got} == {d for d, _ in left} - bad
     room = {}
