@@ -44,13 +44,22 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table that ``materialise`` wrote, once nothing reads it any more."""
-    for name in {os.path.dirname(f) for f in df.inputFiles()}:
-        _remove(spark, name)
+    """Remove the files of a table that ``materialise`` gave, once nothing reads it any more."""
+    _remove(spark, df.stored_at)
+
+
+def dealt(df: DataFrame, key: str, keys: int, most: int = 8) -> DataFrame:
+    """df in partitions by ``key``, of which there are ``keys``: as many partitions as keys or as the session shuffles to,
+    and ``most`` keys in one on average. A number that is asked for isn't coalesced, so small rows that stand for much work stay dealt.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(keys, max(usual, -(-keys // most)))), key)
 
 
 def kept_rows(docs: DataFrame, judge, condition: str) -> DataFrame:
