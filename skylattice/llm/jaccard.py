@@ -20,8 +20,9 @@ Texts are copied to the shared folder in chunks once, so later steps fetch what
 
 Defined cases: null and empty texts, or texts without words, have an empty set, link to nothing and are their own
 component. Texts of fewer words than a shingle have one shingle, the whole. Rows with a null doc_id get n_shingles, link
-to nothing, and have a null component_id. Rows that repeat a doc_id are one node of several texts. Ties go to the
-smallest doc_id. Empty tables give empty results. Extra columns are ignored.
+to nothing, and have a null component_id. Rows that repeat a doc_id are one node of several texts. doc_ids are whole
+numbers, or text of them; other text stops the job. Ties go to the smallest doc_id. Texts of any length count whole.
+Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, materialise, open_file, segments, shared_path, write_file
+from .common import byte_rows, dealt, drop_table, materialise, open_file, segments, shared_path, write_file
 from .components import components
 from .hashing import hash_pieces, lower_ascii, words
 
@@ -159,7 +160,7 @@ class Orders:
         return np.unique(self.key(tokens), return_counts=True)
 
 
-def frequencies(nodes: DataFrame, orders: Orders, size: int) -> DataFrame:
+def frequencies(nodes: DataFrame, orders: Orders, size: int, chunks: int) -> DataFrame:
     """(chunk, block, df): for the chunk's keys of a block in order, in how many nodes each is, 255 at most."""
     low = np.uint64((1 << orders.low_bits) - 1)
 
@@ -179,11 +180,11 @@ def frequencies(nodes: DataFrame, orders: Orders, size: int) -> DataFrame:
         parts = np.split(df, np.cumsum([len(x) for x in lows])[:-1])
         return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "df": pa.array([x.tobytes() for x in parts], pa.binary())})
 
-    sent = nodes.select("chunk", "row").groupBy("chunk").applyInArrow(send, "block int, chunk string, lows binary, counts binary")
+    sent = dealt(nodes.select("chunk", "row"), "chunk", chunks).groupBy("chunk").applyInArrow(send, "block int, chunk string, lows binary, counts binary")
     return sent.groupBy("block").applyInArrow(answer, "chunk string, block int, df binary")
 
 
-def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, percent: int) -> DataFrame:
+def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, percent: int, chunks: int) -> DataFrame:
     """(token, node, n, most, place): prefix tokens under the first order that other nodes may share, and their places in it; most: shared at most."""
 
     def run(key, table):
@@ -214,31 +215,62 @@ def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, per
 
     rows = nodes.select("chunk", "row", "node", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("df"))
     more = counts.select("chunk", F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("node"), "block", "df")
-    return rows.union(more).groupBy("chunk").applyInArrow(run, "token long, node long, n long, most long, place long")
+    return dealt(rows.union(more), "chunk", chunks).groupBy("chunk").applyInArrow(run, "token long, node long, n long, most long, place long")
 
 
-def fetch(nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, whole, second, third): the set, and its prefixes under the second and third order, as bytes."""
+def parted(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each document's tokens as bytes."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(tokens))])
 
-    def run(key, table):
-        tokens, offsets = Chunk.sets(key[0].as_py(), table.column("row").to_numpy(), size)
-        whole, second, third = [], [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            own = tokens[a:b]
-            first = len(own) - int(need(np.array(len(own)), percent)) + 1
-            whole.append(own.tobytes())
-            for k, out in ((4, second), (5, third)):
-                out.append(np.sort(own[np.argsort(mix(own, k))[:first]]).tobytes())
-        return pa.table({"node": table.column("node"), "whole": pa.array(whole, pa.binary()), "second": pa.array(second, pa.binary()), "third": pa.array(third, pa.binary())})
 
-    return nodes.select("chunk", "row", "node").groupBy("chunk").applyInArrow(run, "node long, whole binary, second binary, third binary")
+def prefix_mask(tokens: np.ndarray, offsets: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Which tokens of each set are in its prefix under hash order k."""
+    keep = np.zeros(len(tokens), bool)
+    for lo in range(0, len(offsets) - 1, (1 << DOC_BITS) - 1):
+        at = offsets[lo : lo + (1 << DOC_BITS)]
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(n)), n)
+        order = np.argsort((doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (mix(tokens[at[0] : at[-1]], k) >> np.uint64(DOC_BITS)))
+        first = np.arange(len(order)) - (at[:-1] - at[0])[doc] < (n - need(n, percent) + 1)[doc]
+        keep[at[0] + order[first]] = True
+    return keep
 
 
-def shared(a: bytes, b: bytes) -> int:
-    """Tokens in both of two ascending arrays without repeats."""
-    both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+def fetch(nodes: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
+    """(node, whole, second, third): the set, and its prefixes under the second and third order, as bytes."""
+
+    def run(key, table):
+        tokens, offsets = Chunk.sets(key[0].as_py(), table.column("row").to_numpy(), size)
+        n = np.diff(offsets)
+        doc = np.repeat(np.arange(len(n)), n)
+        columns = [parted(tokens, n)]
+        for k in (4, 5):
+            keep = prefix_mask(tokens, offsets, k, percent)
+            columns.append(parted(tokens[keep], np.bincount(doc[keep], minlength=len(n))))
+        return pa.table({"node": table.column("node"), **dict(zip(("whole", "second", "third"), (c.cast(pa.binary()) for c in columns), strict=True))})
+
+    rows = dealt(nodes.select("chunk", "row", "node"), "chunk", chunks)
+    return rows.groupBy("chunk").applyInArrow(run, "node long, whole binary, second binary, third binary")
+
+
+def shared(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Of each pair of rows, the tokens in both. A row is an ascending array without repeats, as bytes."""
+    out, sides = [], []
+    for column in (a, b):
+        data, offsets = byte_rows(column)
+        sides.append((np.frombuffer(data.tobytes(), np.uint64), offsets // 8))
+    most = (1 << DOC_BITS) - 1
+    for lo in range(0, len(a), most):
+        hi, keys = min(len(a), lo + most), []
+        for tokens, offsets in sides:
+            pair = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(offsets[lo : hi + 1]))
+            keys.append((pair << np.uint64(TOKEN_BITS)) | tokens[offsets[lo] : offsets[hi]])
+        both = np.concatenate(keys)
+        both.sort(kind="stable")  # two ascending runs: a merge
+        twice = both[1:][both[1:] == both[:-1]]
+        out.append(np.bincount((twice >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=hi - lo))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,16 +278,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(k) for k in range(2, 8)]
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y, x2, y2, x3, y3 = (c[i].as_buffer() for c in columns)
-                n, m = x.size // 8, y.size // 8
-                if 100 * min(n, m) < percent * max(n, m) or not shared(x2, y2) or not shared(x3, y3):
-                    continue
-                both = shared(x, y)
-                keep[i] = 100 * both >= percent * (n + m - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                for k in (4, 6):  # second, then third
+                    part = part.filter(pa.array(shared(part.column(k), part.column(k + 1)) > 0))
+                n, m = (np.diff(byte_rows(part.column(k))[1]) // 8 for k in (2, 3))
+                both = shared(part.column(2), part.column(3))
+                yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
     side = lambda k: sets.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("whole", "second", "third")))
     rows = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -279,13 +308,14 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     known = found.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("one"))
     nodes = materialise(nodes.select("s1", "s2", "n", F.col("one.doc_id").alias("node"), "one.chunk", "one.row"), "jaccard-nodes")
-    orders = Orders(int(nodes.agg(F.sum("n")).first()[0] or 0))
-    grams = materialise(prefixes(nodes, frequencies(nodes, orders, size), orders, size, percent), "jaccard-prefixes")
+    total, chunks = nodes.agg(F.sum("n"), F.count_distinct("chunk")).first()
+    orders = Orders(int(total or 0))
+    grams = materialise(prefixes(nodes, frequencies(nodes, orders, size, chunks), orders, size, percent, chunks), "jaccard-prefixes")
     # the node with the fewest tokens of its own is the likeliest to link to the token's others
     lead = grams.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "node", "n", "most", "place")).alias("lead"), F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
     near = materialise(grams.join(lead.select("token", "lead"), "token"), "jaccard-buckets")
     sets = nodes.join(near.select("node").distinct(), "node", "left_semi")
-    sets = materialise(fetch(sets, size, percent), "jaccard-fetched")
+    sets = materialise(fetch(sets, size, percent, chunks), "jaccard-fetched")
     first = near.filter("node <> lead.node").filter(possible(*(F.col(f"{x}{c}") for x in ("", "lead.") for c in ("n", "most", "place")), percent))
     first = first.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
     links = materialise(verify(first, sets, percent), "jaccard-links")
@@ -305,6 +335,8 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     more = materialise(verify(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets, percent), "jaccard-links")
     links = links.union(more)
     part = components(links.union(again)) if not more.isEmpty() else part
+    for done in (grams, near, open_, sets):  # results below read none of them
+        drop_table(spark, done)
     rows = found.join(nodes.select("s1", "s2", F.col("n").alias("n"), "node"), ["s1", "s2", "n"], "left")
     rows = rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))).join(part, "node", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")), links
@@ -315,7 +347,10 @@ def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component (five words, similarity 0.8) the smallest doc_id stays; null doc_ids stay."""
+    """Pipeline stage: of each component (five words, similarity 0.8) the smallest doc_id stays; null doc_ids stay.
+
+    Null and empty texts are similar to nothing and stay. Rows that repeat a doc_id stay or go together.
+    """
     rows = join(docs, size=5, percent=80)[0]
     gone = rows.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
