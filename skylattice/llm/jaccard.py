@@ -43,6 +43,8 @@ from .hashing import hash_pieces, lower_ascii, words
 #: Bytes of text in a chunk; documents that one sort takes at most, by the bits left for them above a token's 53.
 CHUNK_BYTES, DOC_BITS = 8 << 20, 11
 TOKEN_BITS = 64 - DOC_BITS
+#: Logarithm of the ranges of tokens that document frequencies are counted in, at most: a chunk sends a message to each.
+BLOCK_BITS = 19
 
 #: Bytes between words: space and tab to carriage return.
 _INSIDE = np.ones(256, bool)
@@ -145,11 +147,15 @@ def describe(docs: DataFrame, size: int, folder: str) -> DataFrame:
 
 
 class Orders:
-    """The first global order: ``bits`` of a token find its document frequency."""
+    """The first global order: the leading bits of a token, its range and a number in it, find its document frequency.
+
+    Ranges hold some 2 million tokens, until there are ``1 << BLOCK_BITS``. Tokens alike in these bits count together, which
+    keeps one order for all documents; a frequency of 1 is then still the token's own.
+    """
 
     def __init__(self, total: int):
         keep = min(TOKEN_BITS - 1, max(32, int(np.ceil(np.log2(max(2, total)))) + 10))
-        self.block_bits = max(5, keep - 32)
+        self.block_bits = min(BLOCK_BITS, max(5, keep - 31))
         self.low_bits = min(32, keep - self.block_bits)
 
     def key(self, tokens: np.ndarray) -> np.ndarray:
@@ -181,7 +187,7 @@ def frequencies(nodes: DataFrame, orders: Orders, size: int, chunks: int) -> Dat
         return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "df": pa.array([x.tobytes() for x in parts], pa.binary())})
 
     sent = dealt(nodes.select("chunk", "row"), "chunk", chunks).groupBy("chunk").applyInArrow(send, "block int, chunk string, lows binary, counts binary")
-    return sent.groupBy("block").applyInArrow(answer, "chunk string, block int, df binary")
+    return dealt(sent, "block", 1 << orders.block_bits).groupBy("block").applyInArrow(answer, "chunk string, block int, df binary")
 
 
 def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, percent: int, chunks: int) -> DataFrame:
