@@ -3,7 +3,9 @@
 Each input partition folds the 64-bit fingerprints of its texts into counting quotient filters, one per range of the
 fingerprint's leading bits. Filters of one range merge without loss: their remainders are sorted within quotients, so
 a merge is a merge of sorted runs that adds counts. Fingerprints counted more than once go to byte verification,
-where rows group by the text itself; all other rows are proven unique by the filter and never move their text.
+where rows group by the text itself. Groups of equal texts then meet all rows by their digest: as a broadcast while there
+are at most ``BROADCAST_ROWS`` of them, and then no row that the filter proves unique ever moves; by one shuffle of the
+rows beyond, where adaptive execution splits a group that holds many.
 
 Defined cases: null text counts as empty, and all empty texts are equal. Of equal texts the largest doc_id stays; a
 null doc_id is smaller than any other, and of rows that repeat doc_id and text exactly one stays. An empty table gives
@@ -23,10 +25,23 @@ from .common import kept_rows, materialise
 
 #: Fingerprints a merged filter holds on average.
 BLOCK_ROWS = 200_000
-#: A table of repeated fingerprints up to this many rows (16 bytes each) is broadcast; beyond it the join shuffles.
+#: Tables of repeated fingerprints, and of groups, up to this many rows (under 100 bytes each) are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
 
+def two_runs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending runs of (values, counts) as one: each value of the second finds its place in the first."""
+    place = np.searchsorted(a[0], b[0]) + np.arange(len(b[0]))
+    own = np.ones(len(a[0]) + len(b[0]), bool)
+    own[place] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        merged = np.empty(len(own), x.dtype)
+        merged[own], merged[place] = x, y
+        out.append(merged)
+    return out[0], out[1]
+
+
 class CountingQuotientFilter:
     """Distinct 64-bit fingerprints and their counts.
 
@@ -43,8 +58,11 @@ class CountingQuotientFilter:
         """From fingerprints in any order; counts as given, or one each."""
         values = np.asarray(fingerprints, np.uint64)
         order = np.argsort(values, kind="stable")
-        values = values[order]
-        weights = np.ones(len(values), np.int64) if counts is None else np.asarray(counts, np.int64)[order]
+        return cls.from_sorted(values[order], np.ones(len(values), np.int64) if counts is None else np.asarray(counts, np.int64)[order], bits)
+
+    @classmethod
+    def from_sorted(cls, values: np.ndarray, weights: np.ndarray, bits: int | None = None) -> CountingQuotientFilter:
+        """From fingerprints in ascending order; counts of equal ones add up."""
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
         values, weights = values[first], np.add.reduceat(weights, first) if len(first) else weights
         if bits is None:
@@ -66,10 +84,10 @@ class CountingQuotientFilter:
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
         """The filter of all fingerprints together: sorted runs merge, counts add up, nothing is lost."""
-        parts = [f.items() for f in filters]
-        if not parts:
-            return cls.of(np.zeros(0, np.uint64))
-        return cls.of(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        runs = [f.items() for f in filters] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        while len(runs) > 1:
+            runs = [two_runs(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        return cls.from_sorted(*runs[0])
 
     def count(self, fingerprint: int) -> int:
         """How often a fingerprint was added: rank in the occupied bits gives the run, a binary search the slot."""
@@ -145,24 +163,38 @@ def repeated_fingerprints(rows: DataFrame, column: str, n_rows: int) -> DataFram
 def annotate(docs: DataFrame) -> DataFrame:
     """The rows of docs with keep_id, group_size, kept and text_sha256."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"__dd_fp": F.xxhash64(text)})
-    found = materialise(repeated_fingerprints(docs.select(F.xxhash64(text).alias("__dd_fp")), "__dd_fp", docs.count()), "dedup-fingerprints")
-    repeated = found.select(F.col("fp").alias("__dd_fp"))
-    if found.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    suspects = rows.select("doc_id", text.alias("__dd_text"), "__dd_fp").join(repeated, "__dd_fp", "left_semi")
+    prints = docs.select("doc_id", text.alias("__dd_text"), F.xxhash64(text).alias("__dd_fp"))
+    found = materialise(repeated_fingerprints(prints.select("__dd_fp"), "__dd_fp", docs.count()), "dedup-fingerprints")
+    repeated, few = found.select(F.col("fp").alias("__dd_fp")), found.count() <= BROADCAST_ROWS
+    suspects = prints.join(F.broadcast(repeated) if few else repeated, "__dd_fp", "left_semi")
     groups = suspects.groupBy("__dd_fp", "__dd_text").agg(F.max("doc_id").alias("__dd_keep"), F.count(F.lit(1)).alias("__dd_size"))
-    groups = groups.filter("__dd_size > 1").select("__dd_fp", F.sha2("__dd_text", 256).alias("__dd_sha"), "__dd_keep", "__dd_size")
-    rows = rows.withColumn("__dd_sha", F.sha2(text, 256)).join(groups, ["__dd_fp", "__dd_sha"], "left")
+    groups = groups.filter("__dd_size > 1").select(F.sha2("__dd_text", 256).alias("__dd_sha"), "__dd_keep", "__dd_size")
+    groups = materialise(groups, "dedup-groups")
+    # a repeated fingerprint is one group or, should prints meet, a few: so the table is as bounded as the fingerprints
+    of = F.broadcast(groups) if few and groups.count() <= BROADCAST_ROWS else groups
+    rows = docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumn("__dd_sha", F.sha2(text, 256)).join(of, "__dd_sha", "left")
     alone = F.col("__dd_size").isNull()
-    again = F.row_number().over(Window.partitionBy("doc_id", "__dd_sha").orderBy(F.lit(1)))
     rows = rows.withColumns({
         "keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("__dd_keep")),
         "group_size": F.when(alone, F.lit(1)).otherwise(F.col("__dd_size")).cast("long"),
-        "kept": alone | (F.col("doc_id").eqNullSafe(F.col("__dd_keep")) & (again == 1)),
+        "kept": alone | F.col("doc_id").eqNullSafe(F.col("__dd_keep")),
         "text_sha256": F.col("__dd_sha"),
     })
-    return rows.drop("__dd_fp", "__dd_sha", "__dd_keep", "__dd_size")
+    rows = rows.drop("__dd_sha", "__dd_keep", "__dd_size")
+    # rows that repeat the doc_id that stays, and its text: one of them stays. Usually there are none, and no row moves
+    last = suspects.select("doc_id", F.sha2("__dd_text", 256).alias("__dd_sha")).join(of, "__dd_sha").filter("doc_id <=> __dd_keep")
+    twins = last.groupBy("__dd_sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__dd_sha").alias("text_sha256"))
+    twins = materialise(twins, "dedup-twins")
+    n_twins = twins.count()
+    if not n_twins:
+        return rows
+    twins = twins.withColumn("__dd_twin", F.lit(True))
+    rows = rows.join(F.broadcast(twins) if n_twins <= BROADCAST_ROWS else twins, "text_sha256", "left")
+    twin = F.coalesce(F.col("kept") & F.col("__dd_twin"), F.lit(False))
+    first = F.row_number().over(Window.partitionBy("text_sha256").orderBy(F.xxhash64(F.to_json(F.struct(*(f"`{c}`" for c in docs.columns))))))
+    names = [F.col(f"`{c}`") for c in rows.columns if c not in ("kept", "__dd_twin")]
+    one = rows.filter(twin).select(*names, (first == 1).alias("kept"))
+    return rows.filter(~twin).select(*names, "kept").unionByName(one)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -170,7 +202,11 @@ def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of equal texts stays."""
+    """Pipeline stage: one document of each group of equal texts stays, that with the largest doc_id.
+
+    Null texts equal empty ones, so one of them all stays. A null doc_id is smaller than any other; of rows that repeat
+    doc_id and text one stays.
+    """
     return kept_rows(docs, annotate, "kept")
 
 
