@@ -8,7 +8,8 @@ the combination is removed as often as the lengths left allow. Pieces then look
 among pieces of that length; ranks come from counts of (length, bucket) pairs, so no length gathers in one task.
 
 Defined cases: null text is empty and gives one piece with the end id alone. Null and repeated doc_ids pack like any
-other row. An empty table gives an empty result. Extra columns are ignored.
+other row; pieces alike in doc_id, number and ids take their places in any order, and the result is the same. Texts of any
+length are packed whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import byte_rows, materialise
 from .tokens import crc, default_vocabulary, encoder
 
 CAPACITY, END = 1024, 2
-#: Pieces that a bucket of ranks holds on average.
+#: Pieces that a bucket of ranks holds on average, at most; there are as many buckets as shuffle partitions, at least.
 BUCKET_ROWS = 100_000
 
 
@@ -129,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAP
 def pack(docs: DataFrame, vocabulary: str | None = None, end: int = END, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset; with ``ids`` the token ids of each piece as well."""
     made = materialise(pieces(docs, vocabulary or default_vocabulary(), end, capacity, ids), "packing-pieces")
-    buckets = max(1, made.count() // BUCKET_ROWS)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), made.count() // BUCKET_ROWS)
     dealt = made.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     counts = materialise(counts, "packing-counts")
@@ -163,5 +164,8 @@ def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every document left, packed."""
+    """Pipeline stage, the last: every document left, packed; null and empty texts are a piece of the end id alone.
+
+    Its columns are op4_best_fit_packing's; all other columns of documents end here.
+    """
     return pack(docs)
