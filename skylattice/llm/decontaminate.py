@@ -6,9 +6,11 @@ jump when the block at the end of its window is not near the end of any pattern;
 shift 0 and lead, by the block as hash, to a bucket of patterns, which are compared word by word. Many places of many
 texts are searched at once by array operations: long texts are cut into stretches that overlap by a window.
 
-Words are compared by 128-bit hashes. Patterns reach tasks in blocks of a fixed number of item bytes, so a broadcast never grows.
+Words are compared by 128-bit hashes. Items go to files in the shared folder, in blocks of a fixed number of bytes (or one
+item); the driver sees the files' names alone. A task searches a lot of texts for one block after another, so its memory is
+that of a lot and a block's tables, however many items there are; where one block holds all, its tables are built once.
 
-Defined cases: null and empty texts have no words, no hits and are clean. Null items and items without words have no
+Defined cases: null and empty texts have no words, no hits and are clean. Texts of any length are searched whole. Null items and items without words have no
 window; a null item_id counts as the empty string. Repeated items with one item_id count once. Null and repeated
 doc_ids are judged row by row. An empty benchmark or empty table gives zero hits or no rows. Extra columns are ignored.
 """
@@ -16,19 +18,24 @@ doc_ids are judged row by row. An empty benchmark or empty table gives zero hits
 from __future__ import annotations
 
 import hashlib
+import io
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import byte_rows, kept_rows
+from .common import byte_rows, kept_rows, materialise, open_file, shared_path, write_file
 from .hashing import hash_pieces, lower_ascii, words
 
 WINDOW, LEAST_ITEMS = 8, 2
 #: Words of a text that one search runs through before the next begins; item bytes in one block of patterns.
 STRETCH, ITEM_BYTES = 256, 16 << 20
+#: Rows that are searched at once, and bytes of text that wait for all blocks of items where there are several.
+ROWS, LOT_BYTES = 2000, 64 << 20
 
 #: Bytes of words: digits, lower-case letters after folding, and all beyond ASCII.
 _INSIDE = np.zeros(256, bool)
@@ -137,18 +144,54 @@ class Patterns:
         return np.cumsum(hit[:-1]) > 0, [divmod(int(x), len(self.items)) for x in both]
 
 
-def benchmark_blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> list[list]:
-    """Items as broadcasts of at most item_bytes each (or one item)."""
-    blocks, now, size = [], ([], []), 0
+def benchmark_blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> list[str]:
+    """Files of items, of at most item_bytes each (or one item), in the shared folder."""
+    spark = benchmark.sparkSession
+    folder = shared_path(spark, "benchmark")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    for row in rows.toLocalIterator():
-        if size and size + len(row["text"]) > item_bytes:
-            blocks.append(now)
-            now, size = ([], []), 0
-        now[0].append(row["item_id"])
-        now[1].append(row["text"])
-        size += len(row["text"])
-    return [benchmark.sparkSession.sparkContext.broadcast(b) for b in [*blocks, now] if b[0]]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def write(batches):
+        context = TaskContext.get()
+        waiting: list[pa.RecordBatch] = []
+        size = files = 0
+
+        def flush():
+            nonlocal waiting, size, files
+            path = f"{folder}/{context.partitionId():08d}-{files:06d}-{context.taskAttemptId()}.items"
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, waiting[0].schema) as stream:
+                for part in waiting:
+                    stream.write_batch(part)
+            write_file(path, out.getvalue())
+            waiting, size, files = [], 0, files + 1
+            return pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+        for batch in batches:
+            lengths = np.diff(byte_rows(batch.column(1))[1])
+            lo = 0
+            for i, n in enumerate(lengths.tolist()):
+                if (waiting or i > lo) and size + n > item_bytes:
+                    if i > lo:
+                        waiting.append(batch.slice(lo, i - lo))
+                    lo = i
+                    yield flush()
+                size += n
+            if lo < batch.num_rows:
+                waiting.append(batch.slice(lo))
+        if waiting:
+            yield flush()
+
+    files = materialise(rows.coalesce(max(1, -(-size // item_bytes))).mapInArrow(write, "path string"), "benchmark-files")
+    return sorted(r["path"] for r in files.collect())  # a name for each block
+
+
+@lru_cache(maxsize=1)
+def patterns(path: str, window: int) -> Patterns:
+    """The tables of a file of items; the last ones stay."""
+    with open_file(path) as f:
+        table = pa.ipc.open_stream(io.BytesIO(f.read())).read_all()
+    return Patterns(table.column("item_id").to_pylist(), table.column("text").to_pylist(), window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = LEAST_ITEMS) -> DataFrame:
@@ -158,23 +201,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_item
     docs = docs.drop(*added)
     names = docs.columns
 
+    def judged(lot: list[pa.RecordBatch]):
+        """The rows of a lot with their results; each block's tables are built once for all of it."""
+        found = [(part, *word_hashes(*byte_rows(part.column(names.index("text"))))) for part in lot]
+        hits = [np.zeros(len(h), bool) for _, h, _, _ in found]
+        items: list[list[set]] = [[set() for _ in range(part.num_rows)] for part in lot]
+        for path in blocks:
+            tool = patterns(path, window)
+            for k, (_, h, g, rows) in enumerate(found):
+                flags, pairs = tool.hits(h, g, rows)
+                hits[k] |= flags
+                for doc, item in pairs:
+                    items[k][doc].add(tool.items[item])
+        for (part, _, _, rows), hit, own in zip(found, hits, items, strict=True):
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            n = np.array([len(x) for x in own], np.int64)
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
+            more = [pa.array(np.diff(rows), pa.int64()), pa.array(upto[rows[1:]] - upto[rows[:-1]], pa.int64()), pa.array(n), pa.array(digest), pa.array(n >= least_items)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, *added])
+
     def run(batches):
-        tools = [Patterns(*b.value, window) for b in blocks] if len(blocks) == 1 else None
+        lot, size = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                h, g, rows = word_hashes(*byte_rows(part.column(names.index("text"))))
-                hit, items = np.zeros(len(h), bool), [set() for _ in range(part.num_rows)]
-                for tool in tools or (Patterns(*b.value, window) for b in blocks):
-                    flags, pairs = tool.hits(h, g, rows)
-                    hit |= flags
-                    for doc, item in pairs:
-                        items[doc].add(tool.items[item])
-                upto = np.concatenate([[0], np.cumsum(hit)])
-                n = np.array([len(x) for x in items], np.int64)
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                more = [pa.array(np.diff(rows), pa.int64()), pa.array(upto[rows[1:]] - upto[rows[:-1]], pa.int64()), pa.array(n), pa.array(digest), pa.array(n >= least_items)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, *added])
+            for lo in range(0, batch.num_rows, ROWS):
+                lot.append(batch.slice(lo, ROWS))
+                size += int(byte_rows(lot[-1].column(names.index("text")))[1][-1])
+                if len(blocks) < 2 or size >= LOT_BYTES:
+                    yield from judged(lot)
+                    lot, size = [], 0
+        if lot:
+            yield from judged(lot)
 
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(added, ("long", "long", "long", "string", "boolean"), strict=True):
@@ -187,13 +243,14 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
 
 
-def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a window of any benchmark item go; one item's passage is enough.
+def decontaminate_stage(spark, docs: DataFrame, sf_dir: str, least_items: int = 1) -> DataFrame:
+    """Pipeline stage: documents with windows of ``least_items`` benchmark items or more go; one item's passage is enough.
 
-    The column ``contaminated`` of op10_decontamination asks for LEAST_ITEMS different items.
+    The column ``contaminated`` of op10_decontamination asks for LEAST_ITEMS different items. Null and empty texts stay, and
+    so do all rows where the benchmark is empty. Null and repeated doc_ids are judged row by row.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return kept_rows(docs, lambda d: scan(d, benchmark, least_items=1), "NOT contaminated")
+    return kept_rows(docs, lambda d: scan(d, benchmark, least_items=least_items), "NOT contaminated")
 
 
 ORACLE = r"""

@@ -172,12 +172,14 @@ def write_archives(pages: DataFrame, folder: str, zip64: bool = True) -> DataFra
     rows = rows.join(first, ["sha", "n"], "left").select("page_id", "url", "html", "first")
 
     def write(batches):
-        task, files = TaskContext.get().partitionId(), 0
+        context, files = TaskContext.get(), 0
+        # two attempts may get the rows in other orders: each has files of its own, and the manifest names the right ones
+        task = f"{context.partitionId():08d}-{context.taskAttemptId()}"
         data, index, size = bytearray(), [], 0
 
         def flush():
             nonlocal data, index, size, files
-            path = f"{folder}/{task:08d}-{files:05d}.wacz"
+            path = f"{folder}/{task}-{files:05d}.wacz"
             index.sort()
             lines = "".join(f"{key} 19700101000000 {json.dumps(entry)}\n" for key, entry in ((k, {"offset": o, "length": n, "filename": DATA}) for k, o, n in index))
             write_file(path, zip_stored([(DATA, bytes(data)), (INDEX, lines.encode())], zip64))

@@ -95,6 +95,7 @@ def cases(seed):
 @pytest.mark.parametrize(("seed", "item_bytes"), [(1, 1 << 20), (2, 20)])
 def test_decontamination_against_brute_force(spark, monkeypatch, seed, item_bytes):
     monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (item_bytes,))
+    monkeypatch.setattr(decontaminate, "LOT_BYTES", 500)
     docs, items = cases(seed)
     table = spark.createDataFrame([(*r, "c") for r in docs], "doc_id long, text string, n_hit string")
     benchmark = spark.createDataFrame(items, "item_id string, text string")
@@ -102,6 +103,14 @@ def test_decontamination_against_brute_force(spark, monkeypatch, seed, item_byte
     assert sorted(map(tuple, got), key=repr) == brute(docs, items)
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota"
+    text = "word " * 300_000 + item + " word" * 300_000
+    benchmark = spark.createDataFrame([("b1", item), ("b2", "word " * 9)], "item_id string, text string")
+    got = decontaminate.scan(spark.createDataFrame([(1, text), (2, item)], "doc_id long, text string"), benchmark).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got] == [(600_009, 600_009, 2, True), (9, 9, 1, False)]
+
+
 def test_decontamination_without_items_or_rows(spark):
     docs, items = cases(3)
     table = spark.createDataFrame(docs, "doc_id long, text string")
