@@ -6,7 +6,8 @@ mention of a group alone moves no score. Features are kept by a likelihood-ratio
 score is calibrated on rows that neither the test nor the training saw. Scoring reads whole texts in array operations.
 
 Training takes at most ``SAMPLE`` labelled rows of each label (those with the smallest hashes); every count of labels covers all rows.
-All counterfactual copies of the texts that training learns from count, whatever the order of rows.
+All counterfactual copies of the texts that training learns from count, whatever the order of rows, and rows are sorted
+before training, so one input gives one model.
 
 Defined cases: null and empty texts have the score of a text without known words. Null labels and labels without a
 document are left out; a document labelled twice trains twice. Rows with a null doc_id are scored and not held out.
@@ -219,8 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * sample short rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "toxic", "fold")
-    got = rows.toArrow()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "toxic", "fold")
+    # in one order, so that one input gives one model
+    got = rows.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "text", "toxic")])
     y = got.column("toxic").to_numpy().astype(np.float64)
     seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([total.get(k, 1) / seen[k] for k in (0, 1)])[y.astype(int)] if len(y) else y
@@ -251,6 +253,10 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier predicts as toxic go."""
+    """Pipeline stage: documents that the classifier predicts as toxic go.
+
+    Null and empty texts are scored as a text without known words; null and repeated doc_ids are judged row by row. Without
+    labels of both kinds nothing goes.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return kept_rows(docs, lambda d: score(d, model), "predicted = 0")
