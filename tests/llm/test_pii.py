@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -71,13 +72,84 @@ def test_the_key_decides(spark, done):
 
 
 def test_surrogates_never_meet(spark):
-    """All 676 two-letter names of a host: a small space, where first attempts must meet."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    values = [f"{a}@q.io" for a in letters[:20]]
+    """All 26 one-letter names of a host: as many as there are, where first attempts must meet and some values grow."""
+    values = [f"{a}@q.io" for a in "abcdefghijklmnopqrstuvwxyz"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
     got = [r["text"] for r in pii.replace(df, "k").collect()]
     assert len(set(got)) == len(values) and not set(got) & set(values)
 
 
+def test_a_space_too_small_stops_the_job(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    df = spark.createDataFrame([(i, f"{i}@q.io") for i in range(10)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="too small"):
+        pii.replace(df, "k").collect()
+
+
+NAMES = [("Anna", "Kowalska", "Mrs."), ("Piotr", "Novak", "Mr"), ("Alex", "O'Neil", "Dr."), ("Kim", "Lee-Hart", "Prof"), ("Νίκη", "Παππά", "Κυρία")]
+
+
+def people(seed):
+    """Texts in which a titled mention of some people is followed by mentions of any form."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(25):
+        some = rng.sample(NAMES, 2)
+        words = []
+        for given, family, title in some:
+            words += [f"{title} {given} {family}", "spoke"]
+        for _ in range(rng.randrange(8)):
+            given, family, title = rng.choice(some)
+            words += [rng.choice([f"{given} {family}", family, given, f"{title} {family}", f"{family}'s", f"Dr. {given} {family}", family.upper(), "anna", "Other Name", "novak's"]), rng.choice(["left.", "and", "met", "with,"])]
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_coreference_by_brute_force(spark):
+    texts = people(3)
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    new: dict[str, set] = {}
+    for i, text in enumerate(texts):
+        known = {w.lower() for g, f, t in NAMES for w in (g, f) if f"{t} {g} {f}" in text}
+        pattern = re.compile(r"(?<!\w)(?:" + "|".join(sorted(known, key=len, reverse=True)) + r")(?!\w)", re.I)
+        old = [m for m in pattern.findall(text) if m[0].isupper()]
+        # what is no name stays, so the texts agree but for the names
+        rest = re.split("|".join(re.escape(x) for x in sorted(set(old), key=len, reverse=True)), text)
+        out = re.fullmatch("(.+?)".join(re.escape(x) for x in rest), got[i]["text"], re.S)
+        assert out, (text, got[i]["text"])
+        for a, b in zip(old, out.groups(), strict=True):
+            new.setdefault(a.lower(), set()).add(b.lower())
+            assert a.isupper() == b.isupper() and b[0].isupper()
+        assert not any(re.search(rf"(?<!\w){re.escape(w.title() if w != "o'neil" else "O'Neil")}(?!\w)", got[i]["text"]) for w in known)
+    assert all(len(v) == 1 for v in new.values()) and len({min(v) for v in new.values()}) == len(new)
+
+
+def test_gender_hosts_and_national_forms(spark):
+    rows = [
+        (1, "Mrs. Anna Kowalska spoke. Anna Kowalska left with Dr. Anna Kowalska. Kowalska's brown hat."),
+        (2, "Dr. Anna Kowalska, and Prof. Sam Hill"),
+        (3, "ann@mail.example.org bob@mail.example.org, (212) 555-0123 or 212-555-0199, 030 1234567, 3782 822463 10005"),
+        (4, "in 2024-01-15 at 10.5, 1000 20, 123-456, room 100-200, and 0 12"),
+    ]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    full = re.match(r"Mrs\. (\S+) (\S+) spoke", got[1]["text"])
+    assert full[1].endswith("na") and got[1]["text"] == rows[0][1].replace("Anna", full[1]).replace("Kowalska", full[2])
+    assert got[2]["text"].startswith(f"Dr. {full[1]} {full[2]}, and Prof. ") and re.search(r"Prof\. \S+lin ", got[2]["text"])
+    a, b, *phones, card = [s["surrogate"] for s in got[3]["surrogates"]]
+    assert a.split("@")[1] == b.split("@")[1] != "mail.example.org" and a != b
+    assert [re.sub("[0-9]", "9", p) for p in phones] == ["(999) 999-9999", "999-999-9999", "999 9999999"] and "555-01" not in str(phones)
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5}", card) and luhn(card)
+    assert got[4]["text"] == rows[3][1] and got[4]["n_entities"] == 0
+
+
+def test_the_query_takes_its_key_from_the_session(spark, tmp_path):
+    spark.createDataFrame([(1, "z@q.io")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = []
+    for key in ("one", "two", "one", None, None):
+        spark.conf.set(pii.KEY_SETTING, key) if key else spark.conf.unset(pii.KEY_SETTING)
+        texts.append(pii.op1_pii_surrogates(spark, str(tmp_path)).first()["text"])
+    assert texts[0] == texts[2] != texts[1] and texts[3] == texts[4] != "z@q.io"
+
+
 def test_nothing(spark):
     assert pii.replace(spark.createDataFrame([], SCHEMA), "k").count() == 0
