@@ -2,9 +2,10 @@
 
 A multinomial logistic regression over hashed words and pairs of words is trained on the driver from template notices
 and varied copies of them, beside copies whose own words are made-up ones (unknown licences) and paragraphs that are no licence. Its weights enter the query as literal arrays, so a
-scan is one projection of DataFrame functions without a shuffle. A paragraph is of a known family if the
-best family's calibrated probability reaches a threshold, an unknown licence if it looks like a licence but none does,
-and no licence otherwise. Templates confirm a prediction: the share of the shorter one's words that both have.
+scan is one projection of DataFrame functions without a shuffle. A paragraph is no licence where
+that is likelier than one half, or than every other class; else of a known family if the best family's calibrated
+probability reaches a threshold, and an unknown licence otherwise. The temperature and the threshold come from phrases
+that training hasn't seen, and from whole families that models trained for this have not. Templates confirm a prediction: the share of the shorter one's words that both have.
 
 A paragraph is a line, and also a block: several lines without a blank one or a sentence's end between them, as in wrapped
 notices. A confirmed block takes the place of its lines, unless one of the same family is their only licence, or one is
@@ -54,6 +55,23 @@ TEMPLATES = {
     "proprietary": ("All rights reserved.", "Copyright of the company. All rights reserved. This software is proprietary and confidential."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
 }
+#: Names of families' licences, and phrases that licences are named in; the last phrases are for calibration alone.
+NAMES = {
+    "agpl": ("GNU Affero General Public License", "AGPL v3", "AGPL-3.0"),
+    "apache": ("Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0"),
+    "bsd": ("BSD 3-Clause License", "BSD License", "BSD-2-Clause"),
+    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY-4.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 License", "CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 License", "CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    "gpl": ("GNU General Public License, version 3", "GPL v2", "GPL-3.0"),
+    "isc": ("ISC License", "ISC licence"),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "LGPL v3", "LGPL-2.1"),
+    "mit": ("MIT License", "MIT licence", "MIT-style license"),
+    "mpl": ("Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"),
+    "public-domain": ("CC0 1.0 Universal", "CC0", "Unlicense"),
+}
+PHRASES = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.", "SPDX-License-Identifier: {}", "Distributed under the terms of the {}, see LICENSE.", "license = {}")
+HELD_PHRASES = ("You may use this software under the {}.", "Code in this folder is available under {}.", "This file is covered by the {}; see COPYING for the terms.")
 #: Licences of no family here, for the unknown class, and paragraphs that are no licence.
 OTHER = ("Licensed under the Foobar Community License, version 7.", "This work is licensed under the Artistic Terms of Example Corp.", "Released under the Zephyr Shared Source License.", "Use of this software is governed by the Business Source License 1.1", "Licensed under the European Space Data License.", "Distributed under the Quill Font License.")
 NONE = ("She renewed the driving license at the office of the town on Monday.", "The version of the story that the author told was free of errors.", "The general public liked the work, and it was released in spring.", "Copies of the source were distributed at the meeting.", "The apache helicopter landed near the river and the crew left.", "They study at MIT and met the software foundation of the city.", "The terms of the agreement were discussed and permission was asked.", "The common people created a domain of their own under the hill.", "Any person may use the library without charge on sunday.", "It is a license to dream, the poet said in public.", "The product is sold as is with the name of the shop.", "He wrote software and documentation for the department.")
@@ -71,11 +89,11 @@ def grams(text: str) -> list[str]:
 
 
 class Model:
-    """families: sorted; the classes after them are unknown licences and no licence. weights[class][feature], bias[class], temperature and threshold."""
+    """families: sorted; the classes after them are unknown licences and no licence. weights[class][feature], bias[class], temperature and threshold; recalls of unseen notices of known families, and of unseen families as unknown."""
 
-    def __init__(self, families, vocabulary, weights, bias, temperature, threshold):
+    def __init__(self, families, vocabulary, weights, bias, temperature, threshold, recalls=None):
         self.families, self.vocabulary, self.weights, self.bias = families, vocabulary, weights, bias
-        self.temperature, self.threshold = temperature, threshold
+        self.temperature, self.threshold, self.recalls = temperature, threshold, recalls or {}
 
 
 def features(texts: list[str], vocabulary: frozenset[str]) -> np.ndarray:
@@ -98,7 +116,7 @@ def train(seed: int = 6) -> Model:
     """From templates, others and prose, each in varied copies: words dropped, doubled, or put between other words."""
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    vocabulary = frozenset(w for t in (*TEMPLATES.values(), OTHER) for x in t for w in words(x) if w not in COMMON and len(w) > 1 and not w.isdigit())
+    vocabulary = frozenset(w for t in (*TEMPLATES.values(), *NAMES.values(), OTHER) for x in t for w in words(x) if w not in COMMON and len(w) > 1 and not w.isdigit())
     filler = [w for t in NONE for w in words(t)]
 
     def vary(text: str) -> str:
@@ -115,47 +133,58 @@ def train(seed: int = 6) -> Model:
         """The notice of a licence that nobody knows: words of its own give way to made-up ones, numbers to others."""
         return " ".join(made_up() if w in vocabulary and w not in generic else str(rng.integers(0, 20)) if w.isdigit() else w for w in words(text))
 
-    def sample(copies: int):
+    def sample(copies: int, notices: dict[str, list[str]], known: list[str]):
+        """Varied copies of families' notices, of unknown licences and of prose, with their classes; families that aren't known are unknown licences."""
         texts, y = [], []
-        for k, f in enumerate(families):
-            for t in TEMPLATES[f]:
+        for f, own in sorted(notices.items()):
+            for t in own:
                 texts += [t, *(vary(t) for _ in range(copies))]
-                y += [k] * (copies + 1)
+                y += [known.index(f) if f in known else len(known)] * (copies + 1)
                 texts += [vary(renamed(t)) for _ in range(copies // 3)]
-                y += [len(families)] * (copies // 3)
+                y += [len(known)] * (copies // 3)
         for t in OTHER:
             texts += [vary(t) for _ in range(copies)]
-            y += [len(families)] * copies
+            y += [len(known)] * copies
         for t in NONE:
-            texts += [t, *(vary(t) for _ in range(copies))]
-            y += [len(families) + 1] * (copies + 1)
+            texts += [t, *(vary(t) for _ in range(5 * copies))]
+            y += [len(known) + 1] * (5 * copies + 1)
         for w in sorted(vocabulary):  # such a word in prose of any language, once or often, is no licence
-            texts += [vary(w), *(" ".join(w if rng.random() < 0.1 else made_up() for _ in range(40)) for _ in range(3))]
-            y += [len(families) + 1] * 4
+            texts += [*(vary(w) for _ in range(4)), *(" ".join([w, *(w if rng.random() < 0.1 else made_up() for _ in range(n))][::-1]) for n in (3, 6, 8, 12, 20, 40, 40, 60, 80))]
+            y += [len(known) + 1] * 13
         return texts, np.array(y)
 
-    texts, y = sample(COPIES)
-    x, n = features(texts, vocabulary), len(families) + 2
-    target = np.eye(n, dtype=np.float32)[y]
-    w, b = np.zeros((FEATURES, n), np.float32), np.zeros(n, np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, STEPS + 1):
-        error = (softmax(x @ w + b) - target) / len(y)
-        g = x.T @ error + np.float32(1e-4) * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= np.float32(0.1) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + np.float32(1e-7))
-        b -= np.float32(2.0) * error.sum(0)
-    texts, y = sample(8)
-    z = features(texts, vocabulary) @ w + b
+    def fitted(texts: list[str], y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        x = features(texts, vocabulary)
+        target = np.eye(n, dtype=np.float32)[y]
+        w, b = np.zeros((FEATURES, n), np.float32), np.zeros(n, np.float32)
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, STEPS + 1):
+            error = (softmax(x @ w + b) - target) / len(y)
+            g = x.T @ error + np.float32(1e-4) * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= np.float32(0.1) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + np.float32(1e-7))
+            b -= np.float32(2.0) * error.sum(0)
+        return w, b
+
+    named = lambda f, phrases: [p.format(n) for p in phrases for n in NAMES.get(f, ())]
+    whole = {f: [*TEMPLATES[f], *named(f, PHRASES)] for f in families}
+    w, b = fitted(*sample(COPIES // 3, whole, families), len(families) + 2)
+    # Calibration: notices in phrases that training has never seen; and models without a third of the families judge those
+    seen = [(k, v) for k, f in enumerate(families) for t in named(f, HELD_PHRASES) for v in (t, *(vary(t) for _ in range(3)))]
+    z, truth, strange = features([v for _, v in seen], vocabulary) @ w + b, np.array([k for k, _ in seen]), []
+    for part in range(3):
+        hidden = families[part::3]
+        known = [f for f in families if f not in hidden]
+        cw, cb = fitted(*sample(COPIES // 3, {f: whole[f] for f in known}, known), len(known) + 2)
+        strange.append(features([v for f in hidden for t in (*TEMPLATES[f], *named(f, HELD_PHRASES)) for v in (t, *(vary(t) for _ in range(3)))], vocabulary) @ cw + cb)
     heats = np.array([0.5, 0.7, 1, 1.5, 2, 3, 4, 6])
-    loss = [-np.log(softmax(z / h)[np.arange(len(y)), y] + 1e-9).mean() for h in heats]
+    loss = [-np.log(softmax(z / h)[np.arange(len(truth)), truth] + 1e-9).mean() for h in heats]
     heat = float(heats[int(np.argmin(loss))])
-    other = features([*OTHER, *(vary(t) for t in OTHER for _ in range(8))], vocabulary) @ w + b
-    p = softmax(z / heat)[np.arange(len(y)), y][y < len(families)]
-    q = softmax(other / heat)[:, :-2].max(1)
-    # as high as the unknown licences need, unless that costs known families more than allowed; one half at least
+    p = softmax(z / heat)[np.arange(len(truth)), truth]
+    q = np.concatenate([softmax(x / heat)[:, :-2].max(1) for x in strange])
+    # as high as licences of unseen families need, unless that costs unseen notices of known ones more than allowed; one half at least
     threshold = float(max(0.5, min(np.quantile(q, 0.95), np.quantile(p, UNKNOWN_COST))))
-    return Model(families, vocabulary, w.T, b, heat, threshold)
+    return Model(families, vocabulary, w.T, b, heat, threshold, {"known": float((p >= threshold).mean()), "unknown": float((q < threshold).mean())})
 
 
 def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAPHS) -> DataFrame:
@@ -207,7 +236,7 @@ def scan(docs: DataFrame, model: Model | None = None, paragraphs: str = PARAGRAP
         none = F.element_at(p["e"], k + 2) / p["total"]
         return F.struct(p["place"].alias("place"), p["block"].alias("block"), p["w"].alias("w"), family.alias("family"), (best / p["total"]).alias("probability"), none.alias("none"))
 
-    rows = rows.select("doc_id", "n", F.filter(F.transform("p", judge), lambda p: p["none"] < 0.5).alias("p"))
+    rows = rows.select("doc_id", "n", F.filter(F.transform("p", judge), lambda p: (p["none"] < 0.5) & (p["probability"] > p["none"])).alias("p"))
     shared = lambda w, t: F.size(F.array_intersect(w, F.array(*(F.lit(x) for x in sorted(set(words(t))))))) / F.least(F.size(w), F.lit(len(set(words(t)))))
 
     def confirm(p):

@@ -117,7 +117,7 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np
 
 
 def findings(n: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Labelled findings: (texts, starts, ends, labels, kinds), half of them secrets."""
+    """Labelled findings: (texts, starts, ends, labels, kinds), half of them secrets; of every kind there are some that are none."""
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     pick = lambda alphabet, k: "".join(np.array([*alphabet])[rng.integers(0, len(alphabet), k)])
     choose = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -149,9 +149,18 @@ def findings(n: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray, n
                 body = choose(("password", "Passwd", "secret", "token", "api_key", "APIKEY")) + choose((" = ", "=", ": ", '": "')) + body
             head = choose(("", "", "Bearer ", "key ", "export X=", "auth: ", '"', "url?sig="))
         else:
-            form = int(rng.integers(9))
+            form = int(rng.integers(13))
             if form < 3:
                 body = ascii_word(int(rng.integers(6, 12)))
+            elif form == 9:  # words in a secret's place
+                value = choose((ascii_word(int(rng.integers(2, 5))), "-".join(ascii_word(2) for _ in range(int(rng.integers(2, 5)))), choose((".", "/", "_")).join(ascii_word(2) for _ in range(3)), ascii_word(2) + str(rng.integers(1, 10))))
+                body, kind = choose(("password", "Passwd", "secret", "token", "api_key", "APIKEY")) + choose((" = ", "=", ": ", '": "')) + (value + "ness" if len(value) < 6 else value), "assign"
+            elif form == 10:  # digests and counters where everybody may read them
+                body, kind = choose((pick(digits + "abcdef", 64), pick(digits + "abcdef", 40), pick("01", int(rng.integers(24, 64))), pick(digits, int(rng.integers(24, 40))), choose(digits + "abcdef") * int(rng.integers(24, 64)))), "hex"
+            elif form == 11:  # words in capitals
+                body, kind = "AKIA" + "".join(ascii_word(2).upper() for _ in range(8))[: int(rng.integers(16, 30))].replace(" ", ""), "access"
+            elif form == 12:  # placeholders
+                body, kind = "AKIA" + choose((choose("X0A") * 16, "".join(choose(("KEY", "YOUR", "HERE", "TEST")) for _ in range(5))[:16].ljust(16, "X"))), "access"
             elif form == 3:
                 body = "/".join(ascii_word(2) for _ in range(int(rng.integers(3, 7))))
             elif form == 4:
@@ -164,8 +173,10 @@ def findings(n: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray, n
                 body = pick(digits, int(rng.integers(16, 24)))
             else:
                 body = f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}-{ascii_word(3)}"
-            body = body if len(body) >= 16 else body * (16 // len(body) + 1)
+            body = body if len(body) >= 16 or kind != "cnn" else body * (16 // len(body) + 1)
             head = choose(("", "", "", "see ", "the ", "| ", '"', "/"))
+            if kind == "hex":
+                head = choose(("sha256:", "sha1 ", "commit ", "md5sum ", "integrity: ", "checksum ", "index ", "etag ", "digest="))
         before = prose() + " " + head
         texts.append(before + body + choose((" ", ".", '"', "\n", ", ")) + prose())
         b = len(before.encode())
@@ -271,8 +282,15 @@ def scan(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
         taken: dict[int, list] = {}
         for i, a, b, k in zip(rows, starts, ends, kinds, strict=True):
             taken.setdefault(i, []).append((a, b, k))
-        for i, a, b in zip(*(x.tolist() for x in runs(data, offsets, _RUN, LEAST["cnn"])), strict=True):
-            for x, y in candidates(a, b, [t for t in taken.get(i, ()) if a < t[1] and t[0] < b]):
+        waiting = {i: sorted(spans, reverse=True) for i, spans in taken.items()}
+        open_spans: dict[int, list] = {}
+        for i, a, b in zip(*(x.tolist() for x in runs(data, offsets, _RUN, LEAST["cnn"])), strict=True):  # in order, apart
+            near, queue = open_spans.get(i, []), waiting.get(i, [])
+            while queue and queue[-1][0] < b:
+                near.append(queue.pop())
+            near = [t for t in near if t[1] > a]
+            open_spans[i] = near
+            for x, y in candidates(a, b, near):
                 rows.append(i)
                 starts.append(x)
                 ends.append(y)
