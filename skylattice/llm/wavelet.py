@@ -2,20 +2,26 @@
 
 A shard holds the ids of consecutive documents as bit-planes, from the highest bit to the lowest. Each plane is stably
 parted by its bit before the next plane is taken, so rank and select in the planes answer access to a token, counts
-and places of a token from the one compressed file, without other indexes. The file, little-endian:
+and places of a token from the one compressed file, without other indexes. Planes are stored in blocks of bits, each on
+its own, with the set bits before each block: rank is a number of the directory and a popcount inside one block, select a
+binary search in the directory and a scan of one block. A lookup reads a block or two of each plane by range, not the
+shard. The file, little-endian:
 
-    "SWM1", u8 planes, u64 ids, u64 documents, u8 null doc_ids follow
-    u64 size and zstandard frame each of: doc_ids (i64), null flags if any, document ends (u64),
-    and per plane: u64 zeros, then u64 size and frame of the bits, most significant first in each byte
+    "SWM2", u8 planes, u8 null doc_ids, u64 ids, u64 documents
+    u64 offset and size of a zstandard frame each of: doc_ids (i64), null flags, document ends (u64); size 0 where there is none
+    per plane: u64 unset bits; per block of it: u64 offset, u64 set bits before it; at last u64 the file's size
+    frames, then blocks: bits, most significant first in each byte, as a zstandard frame where that is smaller
 
 Defined cases: null text is empty and holds the end id alone. Null doc_ids come first. Repeated doc_ids keep all
-their rows, in the order of their texts' hashes. An empty table writes no shard and gives an empty result. Extra columns are ignored.
+their rows, in the order of their texts' hashes. doc_ids are whole numbers, or text of them; other text stops the job. Texts
+of any length are held whole. An empty table writes no shard and gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
 import struct
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -29,62 +35,162 @@ from .tokens import crc, default_vocabulary, encoder
 
 END = 0
 #: Bytes of text in a shard on average, and ids at which a task begins another shard.
-SHARD_BYTES, SHARD_IDS = 8 << 20, 6_000_000
-
-
-class WaveletMatrix:
-    """planes[k] holds bit ``bits - 1 - k`` of the ids, as booleans; zeros[k] counts its unset bits."""
-
-    def __init__(self, bits: int, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.bits, self.n, self.planes, self.zeros = bits, n, planes, zeros
-        self._ranks: dict[int, np.ndarray] = {}
-
-    @classmethod
-    def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        now, planes, zeros = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], []
-        for b in range(bits - 1, -1, -1):
-            bit = (now >> now.dtype.type(b) & now.dtype.type(1)).astype(bool)
-            low, high = now[~bit], now[bit]
-            planes.append(bit)
-            zeros.append(len(low))
-            now = np.concatenate([low, high])
-        return cls(bits, len(ids), planes, zeros)
+SHARD_BYTES, SHARD_IDS = 32 << 20, 16_000_000
+#: Bits of a block: 8 KiB.
+BLOCK_BITS = 1 << 16
+#: Logarithm of the partitions in a run, whose sizes are summed together.
+RUN_BITS = 10
+MAGIC, HEAD = b"SWM2", struct.Struct("<4sBBQQ")
+
+
+def planes_of(ids: np.ndarray, bits: int):
+    """(unset bits, packed bits) of each plane of a wavelet matrix, from the highest bit to the lowest."""
+    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    for b in range(bits - 1, -1, -1):
+        bit = (now >> now.dtype.type(b) & now.dtype.type(1)).astype(bool)
+        low, high = now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))
+        yield len(low), np.packbits(bit)
+        now = np.concatenate([low, high])
+
+
+def to_bytes(ids: np.ndarray, bits: int, doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray) -> bytes:
+    """A shard's file."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    n_blocks = -(-len(ids) // BLOCK_BITS)
+    at = HEAD.size + 48 + bits * (8 + 16 * n_blocks) + 8
+    directory, body = io.BytesIO(), io.BytesIO()
+    for raw in (doc_ids.astype("<i8").tobytes(), np.packbits(missing).tobytes() if missing.any() else b"", ends.astype("<u8").tobytes()):
+        frame = pack(raw) if raw else b""
+        directory.write(struct.pack("<QQ", at, len(frame)))
+        body.write(frame)
+        at += len(frame)
+    for zeros, plane in planes_of(ids, bits):
+        directory.write(struct.pack("<Q", zeros))
+        ones = 0
+        for lo in range(0, len(plane), BLOCK_BITS // 8):
+            block = plane[lo : lo + BLOCK_BITS // 8]
+            frame = pack(block.tobytes())
+            frame = frame if len(frame) < len(block) else block.tobytes()
+            directory.write(struct.pack("<QQ", at, ones))
+            body.write(frame)
+            at += len(frame)
+            ones += int(np.bitwise_count(block).sum())
+    directory.write(struct.pack("<Q", at))
+    return HEAD.pack(MAGIC, bits, bool(missing.any()), len(ids), len(doc_ids)) + directory.getvalue() + body.getvalue()
+
+
+class Shard:
+    """A shard in a seekable file. Opening it reads the directory; a lookup reads the blocks that it needs, by range.
+
+    ``kept`` blocks stay decoded. bits, n and n_docs as in the file's head.
+    """
+
+    def __init__(self, file, kept: int = 256):
+        self.file, self.kept, self.cache = file, kept, OrderedDict()
+        head = self._read(0, HEAD.size)
+        if len(head) < HEAD.size or head[:4] != MAGIC:
+            raise ValueError("not a wavelet matrix file")
+        _, self.bits, self.nulls, self.n, self.n_docs = HEAD.unpack(head)
+        n_blocks = -(-self.n // BLOCK_BITS)
+        words = np.frombuffer(self._read(HEAD.size, 48 + self.bits * (8 + 16 * n_blocks) + 8), "<u8").astype(np.int64)
+        self.frames = words[:6].reshape(3, 2)
+        planes = words[6:-1].reshape(self.bits, 1 + 2 * n_blocks)
+        self.zeros = planes[:, 0]
+        #: Set bits before each block, and at the end; where each block begins in the file, and the last one ends.
+        self.ranks = np.concatenate([planes[:, 2::2], (self.n - self.zeros)[:, None]], axis=1)
+        starts = np.append(planes[:, 1::2].reshape(-1), words[-1])
+        self.starts, self.n_blocks = starts, n_blocks
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def _frame(self, k: int) -> bytes:
+        at, n = self.frames[k].tolist()
+        return zstandard.ZstdDecompressor().decompress(self._read(at, n)) if n else b""
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc_ids, null flags, ends of documents)."""
+        missing = np.unpackbits(np.frombuffer(self._frame(1), np.uint8), count=self.n_docs).astype(bool) if self.nulls else np.zeros(self.n_docs, bool)
+        return np.frombuffer(self._frame(0), "<i8"), missing, np.frombuffer(self._frame(2), "<u8").astype(np.int64)
+
+    def _unpack(self, raw: bytes, b: int) -> np.ndarray:
+        size = min(BLOCK_BITS, self.n - b * BLOCK_BITS) + 7 >> 3
+        return np.frombuffer(raw if len(raw) == size else zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+
+    def block(self, plane: int, b: int) -> np.ndarray:
+        """The packed bits of a block."""
+        k = plane * self.n_blocks + b
+        if k not in self.cache:
+            at, stop = self.starts[k : k + 2].tolist()
+            self.cache[k] = self._unpack(self._read(at, stop - at), b)
+            if len(self.cache) > self.kept:
+                self.cache.popitem(last=False)
+        self.cache.move_to_end(k)
+        return self.cache[k]
+
+    def plane(self, plane: int) -> np.ndarray:
+        """All bits of a plane, by one read."""
+        k = plane * self.n_blocks
+        at = self.starts[k : k + self.n_blocks + 1]
+        raw = self._read(int(at[0]), int(at[-1] - at[0]))
+        at = (at - at[0]).tolist()
+        parts = [self._unpack(raw[at[b] : at[b + 1]], b) for b in range(self.n_blocks)]
+        return np.unpackbits(np.concatenate(parts), count=self.n).astype(bool) if parts else np.zeros(0, bool)
 
     def ids(self) -> np.ndarray:
-        """All ids, from the lowest plane back to the first order."""
+        """All ids, from the lowest plane back to the first order, with one plane unpacked at a time."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, kind)
-        for b, (bit, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
+        for b in range(self.bits):
+            bit, z = self.plane(self.bits - 1 - b), int(self.zeros[self.bits - 1 - b])
             before = np.empty(self.n, kind)
-            before[~bit] = now[:z]
-            before[bit] = now[z:] | kind(1 << b)
+            before[np.flatnonzero(~bit)] = now[:z]
+            before[np.flatnonzero(bit)] = now[z:] | kind(1 << b)
             now = before
         return now
 
     def rank(self, plane: int, i: int) -> int:
-        """Set bits among the first i of a plane: a count for every 1024 bits, and the bits after it."""
-        if plane not in self._ranks:
-            bit = self.planes[plane]
-            whole = np.concatenate([bit, np.zeros(-len(bit) % 1024, bool)]).reshape(-1, 1024).sum(1)
-            self._ranks[plane] = np.concatenate([[0], np.cumsum(whole)])
-        return int(self._ranks[plane][i // 1024]) + int(self.planes[plane][i // 1024 * 1024 : i].sum())
+        """Set bits among the first i of a plane: the directory's count before the block, and a popcount inside it."""
+        b, rest = divmod(i, BLOCK_BITS)
+        found = int(self.ranks[plane, b]) if b < self.n_blocks else self.n - int(self.zeros[plane])
+        if rest:
+            bits = self.block(plane, b)
+            found += int(np.bitwise_count(bits[: rest >> 3]).sum())
+            if rest & 7:
+                found += int(bits[rest >> 3] >> (8 - (rest & 7))).bit_count()
+        return found
+
+    def selected(self, plane: int, one: int, wanted: np.ndarray) -> np.ndarray:
+        """Places of set (or unset) bits number ``wanted`` (ascending, from 0) in a plane, block by block."""
+        before = self.ranks[plane] if one else np.append(np.arange(self.n_blocks) * BLOCK_BITS, self.n) - self.ranks[plane]
+        in_block = np.searchsorted(before, wanted, "right") - 1
+        out = np.empty(len(wanted), np.int64)
+        for b in np.unique(in_block).tolist():
+            here = in_block == b
+            bits = np.unpackbits(self.block(plane, b), count=min(BLOCK_BITS, self.n - b * BLOCK_BITS))
+            out[here] = b * BLOCK_BITS + np.flatnonzero(bits == one)[wanted[here] - before[b]]
+        return out
 
     def access(self, i: int) -> int:
         """The id at place i."""
+        if not 0 <= i < self.n:
+            raise IndexError(f"place {i} of {self.n}")
         value = 0
         for k in range(self.bits):
-            one = bool(self.planes[k][i])
+            one = int(self.block(k, i // BLOCK_BITS)[i % BLOCK_BITS >> 3]) >> (7 - (i & 7)) & 1
             up = self.rank(k, i)
             value = value << 1 | one
-            i = self.zeros[k] + up if one else i - up
+            i = int(self.zeros[k]) + up if one else i - up
         return value
 
     def _span(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token >> self.bits:
+        if token < 0 or token >> self.bits:
             return 0, 0
         for k in range(self.bits):
             a, b = self.rank(k, lo), self.rank(k, hi)
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
+            z = int(self.zeros[k])
+            lo, hi = (z + a, z + b) if token >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
@@ -92,60 +198,21 @@ class WaveletMatrix:
         a, b = self._span(token, lo, self.n if hi is None else hi)
         return b - a
 
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        for k in range(self.bits - 1, -1, -1):
+            one = token >> (self.bits - 1 - k) & 1
+            at = self.selected(k, one, at - int(self.zeros[k]) if one else at)
+        return at
+
     def select(self, token: int, k: int) -> int:
         """The place of a token's occurrence number k, from 0; -1 if there are fewer."""
-        found = self.places(token)
-        return int(found[k]) if 0 <= k < len(found) else -1
+        a, b = self._span(token, 0, self.n)
+        return int(self._up(token, np.array([a + k]))[0]) if 0 <= k < b - a else -1
 
     def places(self, token: int) -> np.ndarray:
         """All places of a token in ascending order: its span in the last plane, selected upwards."""
         a, b = self._span(token, 0, self.n)
-        at = np.arange(a, b)
-        for k in range(self.bits - 1, -1, -1):
-            one = token >> (self.bits - 1 - k) & 1
-            at = np.flatnonzero(self.planes[k])[at - self.zeros[k]] if one else np.flatnonzero(~self.planes[k])[at]
-        return at
-
-    def to_bytes(self, doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        out = io.BytesIO()
-
-        def frame(raw: bytes) -> None:
-            data = pack(raw)
-            out.write(struct.pack("<Q", len(data)) + data)
-
-        out.write(b"SWM1" + struct.pack("<BQQB", self.bits, self.n, len(doc_ids), bool(missing.any())))
-        frame(doc_ids.astype("<i8").tobytes())
-        if missing.any():
-            frame(np.packbits(missing).tobytes())
-        frame(ends.astype("<u8").tobytes())
-        for bit, z in zip(self.planes, self.zeros, strict=True):
-            out.write(struct.pack("<Q", z))
-            frame(np.packbits(bit).tobytes())
-        return out.getvalue()
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
-        """(matrix, doc_ids, null flags, ends of documents)."""
-        if data[:4] != b"SWM1":
-            raise ValueError("not a wavelet matrix file")
-        bits, n, docs, nulls = struct.unpack_from("<BQQB", data, 4)
-        at, unpack = 4 + struct.calcsize("<BQQB"), zstandard.ZstdDecompressor().decompress
-
-        def frame() -> bytes:
-            nonlocal at
-            (size,) = struct.unpack_from("<Q", data, at)
-            at += 8 + size
-            return unpack(data[at - size : at]) if size else b""
-
-        doc_ids = np.frombuffer(frame(), "<i8")
-        missing = np.unpackbits(np.frombuffer(frame(), np.uint8), count=docs).astype(bool) if nulls else np.zeros(docs, bool)
-        ends, planes, zeros = np.frombuffer(frame(), "<u8").astype(np.int64), [], []
-        for _ in range(bits):
-            zeros.append(struct.unpack_from("<Q", data, at)[0])
-            at += 8
-            planes.append(np.unpackbits(np.frombuffer(frame(), np.uint8), count=n).astype(bool))
-        return cls(bits, n, planes, zeros), doc_ids, missing, ends
+        return self._up(token, np.arange(a, b))
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END) -> DataFrame:
@@ -164,7 +231,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             nonlocal kept, n, files
             ids, doc_ids, missing, sizes = (np.concatenate([x[k] for x in kept]) for k in range(4))
             path = f"{folder}/{shard:08d}-{files:05d}.swm"
-            write_file(path, WaveletMatrix.of(ids, bits).to_bytes(doc_ids, missing, np.cumsum(sizes)))
+            write_file(path, to_bytes(ids, bits, doc_ids, missing, np.cumsum(sizes)))
             row = pa.RecordBatch.from_arrays([pa.array([shard << 20 | files]), pa.array([path]), pa.array([len(doc_ids)]), pa.array([len(ids)])], names=["part", "path", "n_docs", "n_ids"])
             kept, n, files = [], 0, files + 1
             return row
@@ -193,8 +260,9 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open_file(path) as f:
-                    matrix, doc_ids, missing, ends = WaveletMatrix.from_bytes(f.read())
-                ids = matrix.ids().astype("<u4")
+                    shard = Shard(f)
+                    doc_ids, missing, ends = shard.documents()
+                    ids = shard.ids().astype("<u4")
                 starts = np.concatenate([[0], ends[:-1]])
                 sums = [crc(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=missing), pa.array(base + starts), pa.array(ends - starts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -206,9 +274,13 @@ def store(docs: DataFrame, vocabulary: str | None = None, end: int = END, folder
     """The manifest of freshly written shards, with ``base``: ids in all shards before."""
     spark = docs.sparkSession
     manifest = materialise(write_shards(docs, folder or shared_path(spark, "wavelet"), vocabulary, end), "wavelet-manifest")
-    # one short row for each shard, so a single ordered pass over them is enough
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return manifest.withColumn("base", F.coalesce(before, F.lit(0)))
+    # sums in two steps: of runs of shards one after another, a short row for each run; then inside each run
+    manifest = manifest.withColumn("run", F.shiftright("part", 20 + RUN_BITS))
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = manifest.groupBy("run").agg(F.sum("n_ids").alias("n_ids"))
+    runs = runs.select("run", upto(Window.orderBy("run")).alias("base"))
+    inside = manifest.withColumn("inside", upto(Window.partitionBy("run").orderBy("part")))
+    return inside.join(runs, "run").select(*(c for c in manifest.columns if c != "run"), (F.col("base") + F.col("inside")).alias("base"))
 
 
 def op7_wavelet_tokens(spark, sf_dir: str) -> DataFrame:

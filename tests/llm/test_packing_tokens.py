@@ -1,3 +1,4 @@
+import io
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from skylattice.llm import packing, wavelet
 from skylattice.llm.common import byte_rows
 from skylattice.llm.tokens import Encoder, default_vocabulary, encoder
-from skylattice.llm.wavelet import WaveletMatrix
+from skylattice.llm.wavelet import Shard
 
 SCHEMA = "doc_id long, text string, piece string, length string, start string, part string"
 ROWS = [(3, "hello there, world"), (1, None), (2, ""), (3, "hello there, world"), (None, "no id"), (5, "long words " * 3000), (4, "<|endoftext|> x")]
@@ -111,24 +112,48 @@ def test_fullest_is_the_best_subset(lengths, room):
     assert all(lengths.count(k) >= n for k, n in got)
 
 
-@given(st.lists(st.integers(0, 300), max_size=200))
+@given(st.lists(st.integers(0, 300), max_size=200), st.sampled_from([8, 64, 1 << 16]))
 @settings(max_examples=60, deadline=None)
-def test_wavelet_matrix(ids):
-    m = WaveletMatrix.of(np.array(ids, np.uint32), 9)
-    raw = m.to_bytes(np.array([7, 8]), np.array([False, True]), np.array([len(ids) // 2, len(ids)]))
-    m, doc_ids, missing, ends = WaveletMatrix.from_bytes(raw)
-    assert m.ids().tolist() == ids and missing.tolist() == [False, True] and ends.tolist() == [len(ids) // 2, len(ids)]
-    for i in range(0, len(ids), 17):
-        assert m.access(i) == ids[i]
-    for t in {*ids[:4], 301, 600}:
-        where = [i for i, x in enumerate(ids) if x == t]
-        assert m.count(t) == len(where) and m.places(t).tolist() == where
-        assert m.count(t, len(ids) // 3, len(ids)) == sum(i >= len(ids) // 3 for i in where)
-        assert m.select(t, 1) == (where[1] if len(where) > 1 else -1)
+def test_wavelet_matrix(ids, block):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(wavelet, "BLOCK_BITS", block)
+        raw = wavelet.to_bytes(np.array(ids, np.uint32), 9, np.array([7, 8]), np.array([False, True]), np.array([len(ids) // 2, len(ids)]))
+        m = Shard(io.BytesIO(raw), kept=3)
+        doc_ids, missing, ends = m.documents()
+        assert m.ids().tolist() == ids and missing.tolist() == [False, True] and ends.tolist() == [len(ids) // 2, len(ids)] and doc_ids.tolist() == [7, 8]
+        for i in range(0, len(ids), 17):
+            assert m.access(i) == ids[i]
+        for t in {*ids[:4], 301, 600}:
+            where = [i for i, x in enumerate(ids) if x == t]
+            assert m.count(t) == len(where) and m.places(t).tolist() == where
+            assert m.count(t, len(ids) // 3, len(ids)) == sum(i >= len(ids) // 3 for i in where)
+            assert m.select(t, 1) == (where[1] if len(where) > 1 else -1)
+        with pytest.raises(IndexError):
+            m.access(len(ids))
+
+
+def test_lookups_read_a_small_part_of_the_file():
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.got += len(data)
+            return data
+
+    ids = np.random.default_rng(4).zipf(1.3, 2_000_000) % 50_000
+    raw = wavelet.to_bytes(ids, 16, np.array([1]), np.array([False]), np.array([len(ids)]))
+    for ask, want in ((lambda m: m.access(1_234_567), int(ids[1_234_567])), (lambda m: m.count(3, 10, 1_000_000), int((ids[10:1_000_000] == 3).sum())), (lambda m: m.select(3, 1000), int(np.flatnonzero(ids == 3)[1000]))):
+        file = Counted(raw)
+        assert ask(Shard(file)) == want and file.got < len(raw) / 10
+    with pytest.raises(ValueError, match="wavelet"):
+        Shard(io.BytesIO(b"SWM1" + bytes(40)))
 
 
 @pytest.mark.parametrize("rows", [ROWS, []])
-def test_shards_read_back(spark, rows):
+def test_shards_read_back(spark, monkeypatch, rows):
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 20)  # many shards
+    monkeypatch.setattr(wavelet, "RUN_BITS", 1)
     manifest = wavelet.store(docs(spark, rows))
     got = wavelet.read_shards(manifest, 2).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
