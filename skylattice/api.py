@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.cards import Header
-from .operators import catalog, mutate, select
+from .operators import catalog, mutate, rewrite, select
 from .operators.tables import read as read_table
 from .operators.tables import write_table
 from .sources import layout as L
@@ -264,48 +264,60 @@ class FITS:
         self.closed = True
 
     def _put_table(self, index: int, df: DataFrame) -> None:
-        """The file with one table's unit replaced."""
+        """The file with one table's unit replaced; columns that stay keep their forms, and the unit its own cards."""
         self._writable()
-        part = f"{self.path}.{uuid.uuid4().hex}.new.fits"
+        part = f"{self._part_base()}.new.fits"
         old = self._units[index]
-        keep = {f.name: f.metadata["tform"] for f in df.schema.fields if str(f.metadata.get("tform", "")).lstrip("1")[:1] in ("P", "Q")} if old.kind == "table" else {}
         if old.kind == "ascii":
+            from .functions import ascii_table as A
             from .operators.ascii import write_ascii
 
-            write_ascii(df, part, "_row", extname=old.extname)
-        elif old.kind == "ztable":
-            from .operators.compressed import write_compressed_table
-
-            write_compressed_table(df, part, tile_rows=old.header["ZTILELEN"], extname=old.extname)
+            own = {f.name: f for f in A.parse(old).fields}
+            same = {f.name: own[f.name] for f in df.schema.fields if f.name in own and f.dataType == own[f.name].spark_type()}
+            write_ascii(df, part, "_row", {n: f.form for n, f in same.items()}, old.extname, {n: f.unit for n, f in same.items() if f.unit})
         else:
-            write_table(df, part, "_row", forms=keep, extname=old.extname)
+            columns = L.parse_table(old).columns
+            df, forms, named = rewrite.kept_forms(df, columns)
+            if old.kind == "ztable":
+                from .operators.compressed import write_compressed_table
+
+                codecs = {c.name: str(c.codec).strip() for c in columns if c.codec and c.name in forms}
+                write_compressed_table(df, part, compress=codecs, tile_rows=old.header["ZTILELEN"], forms=forms, extname=old.extname, units=named)
+            else:
+                write_table(df, part, "_row", forms=forms, units=named, extname=old.extname)
         self._splice(part, index, index + 1)
-        self[index].edit(lambda h: h.update(old.header, copy_commentary=True))
-
-    def _splice(self, part: str, lo: int, hi: int) -> None:
-        """Units lo .. hi - 1 give way to the last unit of another file."""
-        new = catalog.units(part)[-1]
-        with storage.open_read(part) as f:
-            f.seek(new.header_offset)
-            body = f.read(new.data_offset + new.padded - new.header_offset)
+        self[index].edit(lambda h: rewrite.carry(old.header, h))
+
+    def _part_base(self) -> str:
+        """Where new units are written first: beside the file, or in the shared folder where it is in memory."""
+        if storage.kind_of(self.path) != "memory":
+            return f"{self.path}.{uuid.uuid4().hex}"
+        from .plans.scratch import scratch
+
+        return scratch(self.spark, "unit")
+
+    def _splice(self, part: str, lo: int, hi: int, which: int = -1) -> None:
+        """Units lo .. hi - 1 give way to a unit of another file, the last one; bytes are copied some at a time."""
+        new = catalog.units(part)[which]
         if not self._units:
-            with storage.open_read(part) as f:
-                storage.write_bytes(self.path, [f.read()])
+            storage.write_bytes(self.path, storage.ranges(part, 0, storage.size_of(part)))
         else:
-            with storage.open_read(self.path) as f:
-                whole = f.read()
-            start = self._units[lo].header_offset if lo < len(self._units) else len(whole)
-            stop = self._units[hi].header_offset if hi < len(self._units) else len(whole)
-            storage.write_bytes(self.path, [whole[:start], body, whole[stop:]])
-        if storage.kind_of(part) == "local":
-            import os
-
-            os.remove(part)
+            end = self._units[-1].data_offset + self._units[-1].padded
+            start = self._units[lo].header_offset if lo < len(self._units) else end
+            stop = self._units[hi].header_offset if hi < len(self._units) else end
+
+            def chunks():
+                yield from storage.ranges(self.path, 0, start)
+                yield from storage.ranges(part, new.header_offset, new.data_offset + new.padded)
+                yield from storage.ranges(self.path, stop, end)
+
+            storage.write_bytes(self.path, chunks())
+        storage.remove(part)
         self._reload()
 
     def write_table(self, df: DataFrame, order_by=None, compress=None, ascii: bool = False, extname: str | None = None, **more) -> Unit:
         self._writable()
-        part = f"{self.path}.{uuid.uuid4().hex}.new.fits"
+        part = f"{self._part_base()}.new.fits"
         if ascii:
             from .operators.ascii import write_ascii
 
@@ -323,29 +335,11 @@ class FITS:
         from .operators.images import write_compressed, write_image
 
         self._writable()
-        part = f"{self.path}.{uuid.uuid4().hex}.new.fits"
+        part = f"{self._part_base()}.new.fits"
         if compress:
             write_compressed(pixels, part, shape, kind, compress, quantize, extname=extname, **more)
         else:
-            write_image(pixels, part, shape, kind, extname=extname, **more)
-            if self._units:
-                unit = catalog.units(part)[0]
-                with storage.open_read(part) as f:
-                    f.seek(unit.data_offset)
-                    data = f.read(unit.padded)
-                from .operators.images import image_header
-
-                storage.write_bytes(part, [image_header(shape, kind, extname, more.get("blank"), more.get("header"), False, more.get("scale")).to_bytes(), data])
-                with storage.open_read(part) as f:
-                    body = f.read()
-                with storage.open_read(self.path) as f:
-                    storage.write_bytes(self.path, [f.read(), body])
-                if storage.kind_of(part) == "local":
-                    import os
-
-                    os.remove(part)
-                self._reload()
-                return self[-1]
+            write_image(pixels, part, shape, kind, extname=extname, first=not self._units, **more)
         self._splice(part, len(self._units), len(self._units))
         return self[-1]
 

@@ -9,8 +9,8 @@ BLOCK, CARD = 2880, 80
 COMMENTARY = ("COMMENT", "HISTORY", "")
 
 #: Keywords that describe structure, integrity or compression, alone and with a number.
-PROTECTED = frozenset("SIMPLE BITPIX NAXIS EXTEND GROUPS PCOUNT GCOUNT XTENSION TFIELDS THEAP END CHECKSUM DATASUM ZIMAGE ZTABLE ZCMPTYPE ZBITPIX ZNAXIS ZSIMPLE ZEXTEND ZTENSION ZPCOUNT ZGCOUNT ZHECKSUM ZDATASUM ZQUANTIZ ZDITHER0 ZBLANK ZTILELEN ZTHEAP ZBLOCKED ZMASKCMP CONTINUE BSCALE BZERO BLANK".split())
-PROTECTED_NUMBERED = frozenset("NAXIS TTYPE TFORM TUNIT TNULL TSCAL TZERO TDIM TBCOL TDISP ZNAXIS ZTILE ZNAME ZVAL ZFORM ZCTYP".split())
+PROTECTED = frozenset("SIMPLE BITPIX NAXIS EXTEND GROUPS PCOUNT GCOUNT XTENSION TFIELDS THEAP END CHECKSUM DATASUM ZIMAGE ZTABLE ZCMPTYPE ZBITPIX ZNAXIS ZSIMPLE ZEXTEND ZTENSION ZPCOUNT ZGCOUNT ZHECKSUM ZDATASUM ZQUANTIZ ZDITHER0 ZBLANK ZTILELEN ZTHEAP ZBLOCKED ZMASKCMP CONTINUE".split())
+PROTECTED_NUMBERED = frozenset("NAXIS TTYPE TFORM TNULL TSCAL TZERO TDIM TBCOL PTYPE PSCAL PZERO ZNAXIS ZTILE ZNAME ZVAL ZFORM ZCTYP".split())
 
 _INT = re.compile(r"[+-]?\d+$")
 _FLOAT = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([EeDd][+-]?\d+)?$")

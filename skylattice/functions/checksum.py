@@ -52,9 +52,8 @@ def decode_checksum(text: str) -> int:
     return ONES - folded(sum(int.from_bytes(bytes(c - 0x30 for c in raw[i : i + 4]), "big") for i in range(0, 16, 4)))
 
 
-def verify(header_bytes: bytes, data: bytes, header) -> tuple[bool | None, bool | None]:
-    """(DATASUM holds, CHECKSUM holds); None where the card is absent."""
-    total = word_sum(data) if data else 0
+def verify(header_bytes: bytes, total: int, header) -> tuple[bool | None, bool | None]:
+    """(DATASUM holds, CHECKSUM holds), by the data's sum; None where the card is absent."""
     stored = header.get("DATASUM")
     data_ok = None if stored is None else int(str(stored).strip() or 0) == total
     whole = folded(word_sum(header_bytes) + total)

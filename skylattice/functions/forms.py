@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..sources import storage
 from ..sources.layout import ELEMENT, UNSIGNED, Column, parse_tform
 from .cards import BLOCK, Entry, Header, lines_of
-from .checksum import encode_checksum, word_sum
+from .checksum import encode_checksum, stream_sum, word_sum
 
 #: Letters of Spark's types.
 LETTERS = {T.BooleanType: "L", T.ByteType: "B", T.ShortType: "I", T.IntegerType: "J", T.LongType: "K", T.FloatType: "E", T.DoubleType: "D", T.TimestampType: "K", T.TimestampNTZType: "K", T.DateType: "J", T.StringType: "A", T.BinaryType: "A", T.DecimalType: "K"}
@@ -144,7 +144,7 @@ def table_unit(parts, columns: list[Column], extname=None, header=None, checksum
         yield bytes(-size % BLOCK)
 
     if checksum:
-        add_checksums(h, word_sum(b"".join(data())))
+        add_checksums(h, stream_sum(data()))
     yield h.to_bytes()
     yield from data()
 

@@ -161,9 +161,12 @@ def check(codec: Codec, kind: np.dtype, trick: bool, quantised: bool) -> None:
         raise ValueError("integers aren't quantised")
 
 
-def encode_tile(tile: np.ndarray, codec: Codec, quantised: Q.Quantize | None, row: int) -> dict:
-    """One tile's row: data (or fallback), scale and zero. row counts from 1."""
+def encode_tile(tile: np.ndarray, codec: Codec, quantised: Q.Quantize | None, row: int, fixed: tuple[float, float] | None = None) -> dict:
+    """One tile's row: data (or fallback), scale and zero. row counts from 1; fixed: the scale and zero to use."""
     if tile.dtype.kind == "f" and quantised is not None:
+        if fixed is not None and fixed[0]:
+            stored = Q.store(tile.reshape(-1).astype(np.float64), *fixed, quantised.number, quantised.seed, row)
+            return {"data": encode(stored, codec, tile.shape), "scale": fixed[0], "zero": fixed[1]}
         got = Q.quantise(tile, quantised, row)
         if got is None:
             return {"fallback": encode(tile, Codec("GZIP_1"))}

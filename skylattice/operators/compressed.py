@@ -12,12 +12,12 @@ from ..sources import storage
 from .tables import measured_forms, numbered
 
 
-def write_compressed_table(df: DataFrame, path: str, order_by=None, compress: str | dict | None = None, tile_rows: int | None = None, forms: dict | None = None, extname: str | None = None) -> None:
+def write_compressed_table(df: DataFrame, path: str, order_by=None, compress: str | dict | None = None, tile_rows: int | None = None, forms: dict | None = None, extname: str | None = None, units: dict | None = None) -> None:
     """compress: one codec for all columns, or codecs by name; each letter has its own otherwise."""
     if "_row" not in df.columns:
         df = numbered(df, order_by)
     forms = measured_forms(df, forms)
-    columns = columns_for(df.schema, forms)
+    columns = columns_for(df.schema, forms, units)
     asked = compress if isinstance(compress, dict) else {c.name: compress for c in columns if compress and compress in Z.ALLOWED.get(c.letter, ("GZIP_1",))}
     codecs = {c.name: Z.codec_for(c, asked.get(c.name)) for c in columns}
     rows = df.count()

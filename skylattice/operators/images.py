@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import chain
 from math import prod
 
 import numpy as np
@@ -36,9 +37,33 @@ def tile_number(shape: tuple[int, ...], tile: tuple[int, ...]):
     return out
 
 
-def encode_tiles(pixels: DataFrame, shape: tuple[int, ...], kind: str, codec: Codec, quantise: Quantize | None = None) -> tuple[DataFrame, tuple[int, ...]]:
-    """((tile, data, fallback, scale, zero), tile shape): one group for each tile, encoded where it is gathered."""
+def filled(value, kind: str, blank: int | None):
+    """A pixel's value where it may be null: NaN of floats, the physical value of BLANK of integers, an error without one."""
     stored, zero = KINDS[kind]
+    if stored in ("f4", "f8"):
+        return F.coalesce(value, F.lit(float("nan")))
+    if blank is None:
+        return F.coalesce(value, F.raise_error(F.lit("null pixels of an integer image need a BLANK")).cast("int"))
+    return F.coalesce(value, F.lit(blank + zero).cast("decimal(20,0)" if kind == "u8" else "long"))
+
+
+def in_range(values: np.ndarray, stored: str) -> np.ndarray:
+    """Values that a stored integer type holds; others are an error."""
+    if len(values) and stored[0] != "f":
+        info = np.iinfo(stored)
+        if values.dtype.kind == "f" and not np.isfinite(values).all() or values.min() < info.min or values.max() > info.max:
+            raise ValueError(f"a pixel outside of the stored type {stored}")
+    return values
+
+
+def encode_tiles(pixels: DataFrame, shape: tuple[int, ...], kind: str, codec: Codec, quantise: Quantize | None = None, blank: int | None = None, fixed: dict | None = None) -> tuple[DataFrame, tuple[int, ...]]:
+    """((tile, data, fallback, scale, zero), tile shape): one group for each tile, encoded where it is gathered.
+
+    fixed: (scale, zero) by tile, for tiles that are quantised as they were before.
+    """
+    stored, zero = KINDS[kind]
+    pixels = pixels.withColumn("value", filled(F.col("value"), kind, blank))
+    fixed = fixed or {}
     tile = codec.tile_shape or TL.default_tile(shape)
     TL.check(codec, np.dtype(stored), bool(zero), quantise is not None)
     plan = TL.Tiled(None, None, shape, tile, codec, np.dtype(stored), 0, 1, None)
@@ -52,8 +77,8 @@ def encode_tiles(pixels: DataFrame, shape: tuple[int, ...], kind: str, codec: Co
         if zero:
             values = np.array([int(v) - zero for v in values], np.int64) if values.dtype == object else values.astype(np.int64) - zero
         block = np.zeros(prod(sizes), stored)
-        block[at] = values
-        got = TL.encode_tile(block.reshape(sizes), codec, quantise, k + 1)
+        block[at] = in_range(values, stored)
+        got = TL.encode_tile(block.reshape(sizes), codec, quantise, k + 1, fixed.get(k))
         return pa.table({"tile": pa.array([k]), "data": pa.array([got.get("data")], pa.binary()), "fallback": pa.array([got.get("fallback")], pa.binary()), "scale": pa.array([got.get("scale")], pa.float64()), "zero": pa.array([got.get("zero")], pa.float64())})
 
     grouped = pixels.withColumn("__tile", tile_number(shape, tile)).groupBy("__tile")
@@ -62,7 +87,7 @@ def encode_tiles(pixels: DataFrame, shape: tuple[int, ...], kind: str, codec: Co
 
 def write_compressed(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, codec: Codec, quantise: Quantize | None = None, extname: str | None = None, blank: int | None = None, header: dict | None = None) -> None:
     """A compressed image. Tiles are encoded on executors; the driver joins their bytes in order, as one file asks."""
-    encoded, tile = encode_tiles(pixels, shape, kind, codec, quantise)
+    encoded, tile = encode_tiles(pixels, shape, kind, codec, quantise, blank)
     rows: list[dict] = [{} for _ in range(prod(-(-n // t) for n, t in zip(shape, tile, strict=True)))]
     for r in encoded.toLocalIterator():
         rows[r["tile"]] = {k: v for k, v in r.asDict().items() if v is not None and k != "tile"}
@@ -92,31 +117,33 @@ def image_header(shape: tuple[int, ...], kind: str, extname: str | None = None,
     return h
 
 
-def write_image(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, extname: str | None = None, blank: int | None = None, header: dict | None = None, scale: tuple[float, float] | None = None) -> None:
-    """A plain image: lines are gathered in order on executors and joined by the driver. With ``scale``, values are physical."""
+def write_image(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, extname: str | None = None, blank: int | None = None, header: dict | None = None, scale: tuple[float, float] | None = None, first: bool = True) -> None:
+    """A plain image (first: as a primary unit): lines are gathered in order on executors and joined by the driver. With ``scale``, values are physical."""
     stored, zero = KINDS[kind]
     value = F.col("value")
     if scale:
-        value = F.bround((value - F.lit(scale[1])) / F.lit(scale[0]), 0)
+        value = (value - F.lit(float(scale[1]))) / F.lit(float(scale[0]))
+        value = F.bround(value, 0) if stored[0] != "f" else value
+    value = filled(value, kind, blank)
     rows = pixels.select(flat_place(shape).alias("at"), value.alias("value"))
     line = max(1, prod(shape[1:]))
     size = np.dtype(stored).itemsize
     lines = max(1, (4 << 20) // (line * size))
 
     def gather(key, table):
-        first = key[0].as_py() * lines * line
-        n = min(prod(shape), first + lines * line) - first
+        first_at = key[0].as_py() * lines * line
+        n = min(prod(shape), first_at + lines * line) - first_at
         values = table.column("value").to_numpy()
         if zero:
             values = np.array([int(v) - zero for v in values], np.int64)
         block = np.zeros(n, np.dtype(stored).newbyteorder(">"))
-        block[table.column("at").to_numpy() - first] = values
+        block[table.column("at").to_numpy() - first_at] = in_range(values, stored)
         return pa.table({"part": pa.array([key[0].as_py()]), "data": pa.array([block.tobytes()], pa.binary())})
 
     parts = rows.groupBy(F.expr(f"at div {lines * line}").alias("part")).applyInArrow(gather, "part long, data binary")
 
     def chunks():
-        yield image_header(shape, kind, extname, blank, header, True, scale).to_bytes()
+        yield image_header(shape, kind, extname, blank, header, first, scale).to_bytes()
         total, each, at = prod(shape) * size, lines * line * size, 0
         for r in parts.orderBy("part").toLocalIterator():
             yield bytes(r["part"] * each - at)  # lines without a pixel are zero
@@ -125,4 +152,7 @@ def write_image(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str,
         yield bytes(total - at)
         yield bytes(-total % 2880)
 
-    storage.write_bytes(path, chunks())
+    if first:
+        storage.write_bytes(path, chunks())
+    else:
+        storage.write_bytes(path, chain([primary()], chunks()))

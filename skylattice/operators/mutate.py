@@ -105,9 +105,15 @@ def live_bytes(df: DataFrame, name: str, element: int) -> DataFrame:
 
 
 def repack(spark, source: str, target: str, hdu=None) -> None:
-    """Rewrite a table: its new heap has no orphaned cells. The source's own forms are kept."""
-    from .tables import read, write_table
+    """A copy of a file in which one unit is rewritten: a table's (or compressed image's) heap has no orphaned bytes.
 
-    df = read(spark, source, hdu)
-    forms = {f.name: f.metadata["tform"] for f in df.schema.fields if f.metadata.get("tform", " ").lstrip("1")[:1] in ("P", "Q")}
-    write_table(df, target, "_row", forms=forms)
+    Forms, codecs, names and cards of the unit stay, and all other units as they are. hdu: the first unit with data, if not given.
+    """
+    from ..api import FITS
+    from ..sources import storage
+    from ..sources.fits import default_unit
+    from .catalog import units
+
+    storage.write_bytes(target, storage.ranges(source, 0, storage.size_of(source)))
+    with FITS(spark, target, "r+") as f:
+        f[default_unit(units(target)).index if hdu is None else hdu].repack()

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import storage
 from ..sources.fits import register
 
 
 def read(spark: SparkSession, path: str, hdu=None, columns: list[str] | None = None, **options) -> DataFrame:
     """A table or image as a DataFrame with _row or axes. ``columns`` decodes no others, in the order given."""
     register(spark)
+    if storage.kind_of(path) == "memory":  # workers don't see the driver's memory
+        from ..plans.scratch import scratch_dir
+
+        path = storage.spool(path, scratch_dir(spark, "memory"))
     reader = spark.read.format("fits")
     if hdu is not None:
         reader = reader.option("hdu", str(hdu))
@@ -57,14 +62,14 @@ def ordered(df: DataFrame, by, partitions: int | None = None) -> DataFrame:
 
 
 def numbered(df: DataFrame, by, partitions: int | None = None) -> DataFrame:
-    """df with _row, from 0 in the order of ``by``: numbers within ranges, plus the ranges' sizes summed up before them.
+    """df with _row, from 0 in the order of ``by`` (of df's partitions, without): numbers within ranges, plus the ranges' sizes before them.
 
     Bounds of ranges come from a sample that another run draws anew, so the rows are written once, with their places.
     """
     from ..plans.scratch import scratch
 
     path = scratch(df.sparkSession, "numbered")
-    ordered(df, by, partitions).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    (df if by is None else ordered(df, by, partitions)).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
     placed = df.sparkSession.read.parquet(path)
     lead = F.shiftright("__at", 33)
     sizes = sorted((r[0], r[1]) for r in placed.groupBy(lead.alias("p")).count().collect())  # a row for each range

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import os
+import uuid
 from collections import OrderedDict
 from urllib.parse import unquote_to_bytes, urlsplit
 
@@ -164,20 +165,72 @@ def write_bytes(path: str, chunks) -> None:
 
         where, name = fs.FileSystem.from_uri(path)
         where.create_dir(os.path.dirname(name), recursive=True)
-        with where.open_output_stream(name + ".part") as out:
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        with where.open_output_stream(part) as out:
             for c in chunks:
                 out.write(c)
-        where.move(name + ".part", name)
+        where.move(part, name)
         return
     name = from_file_url(path) if kind == "file" else path
     os.makedirs(os.path.dirname(os.path.abspath(name)), exist_ok=True)
-    part = f"{name}.{os.getpid()}.part"
+    part = f"{name}.{uuid.uuid4().hex}.part"
     with open(part, "wb") as out:
         for c in chunks:
             out.write(c)
     os.replace(part, name)
 
 
+def ranges(path: str, lo: int, hi: int, step: int = 16 << 20):
+    """Bytes lo .. hi - 1 of a file, some at a time."""
+    with open_read(path) as f:
+        f.seek(lo)
+        while lo < hi:
+            data = f.read(min(step, hi - lo))
+            if not data:
+                raise OSError(f"{path} ends before byte {hi}")
+            yield data
+            lo += len(data)
+
+
+def size_of(path: str) -> int:
+    with open_read(path) as f:
+        return f.seek(0, 2) or f.tell()
+
+
+def remove(path: str) -> None:
+    kind = kind_of(path)
+    if kind == "memory":
+        _memory.pop(path.replace("memkeep://", "mem://", 1), None)
+    elif kind == "shared":
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        where.delete_file(name)
+    else:
+        os.remove(from_file_url(path) if kind == "file" else path)
+
+
+def spool(path: str, folder: str) -> str:
+    """A file in memory as one in a folder that workers see too, named by its bytes; any other path as it is."""
+    if kind_of(path) != "memory":
+        return path
+    import hashlib
+
+    data = _memory.get(path.replace("memkeep://", "mem://", 1), b"")
+    target = f"{folder.rstrip('/')}/{hashlib.sha256(data).hexdigest()}.fits"
+    try:
+        known = size_of(target) == len(data)
+    except OSError:
+        known = False
+    if not known:
+        write_bytes(target, [gunzipped(path, data)])
+    return target
+
+
+def gunzipped(path: str, data: bytes) -> bytes:
+    return gzip.decompress(data) if is_gzip(path) and data else data
+
+
 def paths_of(path: str) -> list[str]:
     """The FITS files of a path: itself, or those in it where it is a folder, by name."""
     kind = kind_of(path)

@@ -249,3 +249,91 @@ def test_file_urls(tmp_path):
         with pytest.raises(ValueError):
             storage.from_file_url(bad)
     assert [storage.kind_of(x) for x in ("/a", "mem://x", "s3://b/k", "https://h")] == ["local", "memory", "shared", "http"]
+
+
+def odd_table(spark):
+    """Columns of every kind of form, by name: (select, form)."""
+    return spark.range(7).selectExpr(
+        "id as k", "array(array(id, id + 1), array(id + 2, id + 3)) as m", "transform(sequence(0, 10), i -> (id + i) % 2 = 0) as bits", "cast(id + 40000 as int) as u", "id as scaled",
+        "if(id = 3, null, id) as n", "array_repeat(cast(id as int), cast(id as int)) as v", "concat('s', id) as s",
+    ), {"m": {"form": "4K", "dim": [2, 2]}, "bits": "11X", "u": {"form": "1I", "zero": 32768}, "scaled": {"form": "1K", "scale": 0.5, "zero": 10}, "n": {"form": "1K", "null": -5}, "v": "1PJ"}
+
+
+FORMS = {"k": "1K", "m": "4K", "bits": "11X", "u": "1I", "scaled": "1K", "n": "1K", "v": "1PJ", "s": "2A"}
+
+
+def about(path, unit):
+    h = read_header(path, unit)
+    n = h["TFIELDS"]
+    cards = {h[f"TTYPE{k}"]: {c: h[f"{c}{k}"] for c in ("TFORM", "TDIM", "TSCAL", "TZERO", "TNULL", "TUNIT", "TDISP") if f"{c}{k}" in h} for k in range(1, n + 1)}
+    return cards, {k: h.get(k) for k in ("EXTNAME", "EXTVER", "OBS", "BUNIT")}
+
+
+def test_updates_keep_forms_and_cards(spark, tmp_path):
+    path = str(tmp_path / "odd.fits")
+    df, forms = odd_table(spark)
+    with FITS(spark, path, "w+") as f:
+        f.write_table(df, "k", forms=forms, extname="ODD", units={"scaled": "m", "s": "name"}, header={"EXTVER": 3, "OBS": "me"})
+        f.write_table(spark.range(2), "id", extname="NEXT")
+    with FITS(spark, path, "r+") as f:
+        f[1].edit(lambda h: (h.__setitem__("TDISP5", "F8.2"), h.__setitem__("BUNIT", "Jy")))
+        cards, others = about(path, 1)
+        assert {k: v["TFORM"] for k, v in cards.items()} == FORMS and cards["scaled"] == {"TFORM": "1K", "TSCAL": 0.5, "TZERO": 10, "TUNIT": "m", "TDISP": "F8.2"}
+        before = f[1].read(mask_null=False, columns=[c for c in FORMS]).orderBy("_row").collect()
+        f[1].append(f[1].read().drop("_row").filter("k = 2").withColumn("scaled", F.lit(99.5)))
+        f[1].repack()
+        f[1][0] = {"u": 65535}
+        assert about(path, 1) == (cards, others)
+        got = f[1].read().orderBy("_row").collect()
+        assert len(got) == 8 and got[0]["u"] == 65535 and [tuple(r)[2:] for r in got[1:7]] == [tuple(r)[2:] for r in before[1:7]]
+        assert got[7]["scaled"] == 99.5 and got[7]["m"] == [[2, 3], [4, 5]]
+        f[1].delete_column("k")
+        f[1].insert_column("z", F.lit(1), position=0)
+        assert about(path, 1) == ({"z": {"TFORM": "1J"}} | {k: v for k, v in cards.items() if k != "k"}, others)
+        f[1][1] = {"s": "a longer text"}
+        assert f[1].formats[-1] == "13A" and [u.extname for u in f][2] == "NEXT" and f[2].read().count() == 2
+    target = str(tmp_path / "copy.fits")
+    mutate.repack(spark, path, target)
+    assert about(target, 1) == about(path, 1) and len(FITS(spark, target)) == 3
+
+
+def test_updates_keep_codecs(spark, tmp_path):
+    path = str(tmp_path / "z.fits")
+    write_compressed_table(spark.range(60).selectExpr("id as k", "cast(id as int) as j"), path, "k", {"j": "GZIP_1", "k": "GZIP_1"}, 20, units={"j": "s"})
+    with FITS(spark, path, "r+") as f:
+        f[1].append(spark.createDataFrame([(60, 1)], "k long, j int"), "k")
+        f[1].repack()
+        assert f[1].compression == {"k": "GZIP_1", "j": "GZIP_1"} and f[1].ztile_rows == 20 and f[1].units["j"] == "s" and f[1].n_tiles == 4
+        assert f[1].read().agg(F.sum("k")).first()[0] == 60 * 61 // 2
+
+
+def test_files_in_memory_are_read_by_workers(spark, numbers):
+    with open(numbers, "rb") as f:
+        data = f.read()
+    with FITS.from_bytes(spark, data, "r+") as f:
+        assert f["numbers"].read().agg(F.sum("k")).first()[0] == 999 * 500
+        f["numbers"].append(spark.createDataFrame([(1, 1.0, "x")], "k long, x double, name string"), "k")
+        assert f["numbers"].read().count() == 1001
+        again = FITS.from_bytes(spark, f.to_bytes())
+    assert again[1].read().count() == 1001 and again[1].header["OBS"] == "me"
+    with FITS(spark, "mem://new", "w+") as f:
+        f.write_table(spark.range(3), "id")
+        assert f[1].read().count() == 3
+
+
+def test_null_pixels_and_pixels_out_of_range(spark, tmp_path):
+    pixels = spark.range(12).select(F.expr("id div 4").alias("i0"), (F.col("id") % 4).alias("i1"), F.expr("if(id = 5, null, cast(id as int))").alias("value"))
+    path = str(tmp_path / "i.fits")
+    from skylattice.functions.codecs import Codec
+    from skylattice.operators.images import write_compressed, write_image
+
+    for unit, write in ((0, write_image), (1, lambda *a, **k: write_compressed(*a, Codec("RICE_1"), **k))):
+        for kind, blank in (("i2", -9), ("u2", 100 - 32768)):
+            write(pixels, path, (3, 4), kind, blank=blank)
+            assert [r["value"] for r in tables.read(spark, path, unit, maskNull=True).orderBy("i0", "i1").collect()] == [None if i == 5 else i for i in range(12)]
+        with pytest.raises(Exception, match="BLANK"):
+            write(pixels, path, (3, 4), "i2")
+        with pytest.raises(Exception, match="outside"):
+            write(pixels.select("i0", "i1", F.lit(70000).alias("value")), path, (3, 4), "i2")
+    write_image(pixels.withColumn("value", F.col("value").cast("float")), path, (3, 4), "f4")
+    assert tables.read(spark, path, 0).filter("isnan(value)").count() == 1
