@@ -105,11 +105,6 @@ def primary() -> bytes:
     return h.to_bytes()
 
 
-def read_all(path: str) -> bytes:
-    with storage.open_read(path) as f:
-        return f.read()
-
-
 def shifted(main: bytes, columns: list[Column], by: int) -> bytes:
     """Rows whose heap descriptors are moved by ``by`` bytes."""
     if not by or not any(c.inner for c in columns):
@@ -133,14 +128,15 @@ def table_unit(parts, columns: list[Column], extname=None, header=None, checksum
     h = table_header(columns, rows, heap, extname, header)
 
     def data():
-        before = 0
+        before, width = 0, sum(c.width for c in columns)
         for m in parts:
-            yield shifted(read_all(m.main), columns, before)
+            for chunk in storage.ranges(m.main, 0, m.rows * width, max(1, (16 << 20) // max(1, width)) * width):  # whole rows
+                yield shifted(chunk, columns, before)
             before += m.heap_bytes
         for m in parts:
             if m.heap:
-                yield read_all(m.heap)
-        size = rows * sum(c.width for c in columns) + heap
+                yield from storage.ranges(m.heap, 0, m.heap_bytes)
+        size = rows * width + heap
         yield bytes(-size % BLOCK)
 
     if checksum:

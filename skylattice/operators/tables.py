@@ -81,13 +81,16 @@ def numbered(df: DataFrame, by, partitions: int | None = None) -> DataFrame:
     return placed.withColumn("_row", F.element_at(starts, (lead + 1).cast("int")) + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
 
 
-def write_table(df: DataFrame, path: str, order_by=None, forms: dict | None = None, units: dict | None = None, extname: str | None = None, header: dict | None = None, dataset: bool = False, checksum: bool = False, measure: bool = True) -> None:
-    """df as a binary table at ``path``; rows in the order of ``order_by``, or of _row where there is one."""
+def write_table(df: DataFrame, path: str, order_by=None, forms: dict | None = None, units: dict | None = None, extname: str | None = None, header: dict | None = None, dataset: bool = False, checksum: bool = False, measure: bool = True, mode: str = "append") -> None:
+    """df as a binary table at ``path``; rows in the order of ``order_by``, or of _row where there is one.
+
+    dataset: a folder with a file for each partition; mode append adds to those that are there, overwrite replaces them.
+    """
     register(df.sparkSession)
     order_by = order_by if order_by is not None else ("_row" if "_row" in df.columns else None)
     forms = measured_forms(df, forms) if measure else forms or {}
     out = ordered(df, order_by) if order_by is not None else df
-    writer = out.write.format("fits").mode("append").option("forms", json.dumps(forms)).option("units", json.dumps(units or {})).option("header", json.dumps(header or {}))
+    writer = out.write.format("fits").mode(mode).option("forms", json.dumps(forms)).option("units", json.dumps(units or {})).option("header", json.dumps(header or {}))
     if extname:
         writer = writer.option("extname", extname)
     writer.option("dataset", str(dataset)).option("checksum", str(checksum)).save(path)

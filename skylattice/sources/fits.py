@@ -8,14 +8,17 @@ Options: hdu (number or EXTNAME), columns (JSON list or comma-separated), scale,
 remote. A path that is a folder reads the same HDU of all its files; rows are then numbered through.
 
 Writing: tasks encode their rows to part files beside the target; the driver's commit writes the header and joins the
-parts in partition order, or with ``dataset=true`` finishes each part as a file of its own in a folder, which is the
-form for large data: nothing then passes through one machine.
+parts in partition order. With ``dataset=true`` each task finishes a file of its own, and the commit only renames them
+into a folder, which is the form for large data: nothing then passes through one machine. Files of a later write follow
+those that are there, or take their place in mode overwrite.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -259,34 +262,48 @@ class FitsWriter(DataSourceArrowWriter):
         self.path, self.options, self.overwrite = options["path"], options, overwrite
         self.columns = columns_for(schema, json.loads(options.get("forms", "{}")), json.loads(options.get("units", "{}")))
         self.run = uuid.uuid4().hex
+        self.dataset, self.began = flag(options, "dataset", False), time.time_ns() // 1_000_000
+        self.about = {"extname": options.get("extname"), "header": json.loads(options.get("header", "{}")), "checksum": flag(options, "checksum", False)}
 
     def write(self, iterator):
         from pyspark import TaskContext
 
+        from ..functions.forms import table_file
+
         task = TaskContext.get()
         head = f"{self.path}.parts-{self.run}/{task.partitionId():08d}-{task.taskAttemptId()}"
-        mains, heaps, n, heap = [], [], 0, 0
-        for batch in iterator:
-            main, cells = encode_batch(batch, self.columns, heap)
-            mains.append(main.tobytes())
-            heaps.append(cells)
-            n, heap = n + batch.num_rows, heap + len(cells)
-        if n:
-            storage.write_bytes(head + ".main", mains)
-            if heap:
-                storage.write_bytes(head + ".heap", heaps)
-        return Written(task.partitionId(), n, head + ".main" if n else "", head + ".heap" if heap else "", heap)
+        n = heap = 0
+        with ExitStack() as files:
+            main_file = heap_file = None
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                main, cells = encode_batch(batch, self.columns, heap)
+                main_file = main_file or files.enter_context(storage.open_write(head + ".main"))
+                main_file.write(main.tobytes())
+                if cells:
+                    heap_file = heap_file or files.enter_context(storage.open_write(head + ".heap"))
+                    heap_file.write(cells)
+                n, heap = n + batch.num_rows, heap + len(cells)
+        done = Written(task.partitionId(), n, head + ".main" if n else "", head + ".heap" if heap else "", heap)
+        if self.dataset and n:
+            storage.write_bytes(head + ".fits", table_file([done], self.columns, **self.about))
+            return Written(done.partition, n, head + ".fits", "", heap)
+        return done
 
     def commit(self, messages):
         from ..functions.forms import table_file
 
         done = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.partition)
-        about = {"extname": self.options.get("extname"), "header": json.loads(self.options.get("header", "{}")), "checksum": flag(self.options, "checksum", False)}
-        if flag(self.options, "dataset", False):
+        if self.dataset:
+            old = storage.paths_of(self.path) if self.overwrite else []
             for m in done:
-                storage.write_bytes(f"{self.path}/part-{m.partition:08d}.fits", table_file([m], self.columns, **about))
+                storage.move(m.main, f"{self.path}/part-{self.began:014d}-{self.run[:8]}-{m.partition:08d}.fits")
+            for path in old:
+                if path != self.path:
+                    storage.remove(path)
         else:
-            storage.write_bytes(self.path, table_file(done, self.columns, **about))
+            storage.write_bytes(self.path, table_file(done, self.columns, **self.about))
         self._clean()
 
     def abort(self, messages):

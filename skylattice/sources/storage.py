@@ -192,6 +192,34 @@ def ranges(path: str, lo: int, hi: int, step: int = 16 << 20):
             lo += len(data)
 
 
+def open_write(path: str):
+    """A new file for bytes one after another; its name is the writer's own, so nothing else writes it."""
+    if kind_of(path) == "shared":
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        where.create_dir(os.path.dirname(name), recursive=True)
+        return where.open_output_stream(name)
+    name = from_file_url(path) if kind_of(path) == "file" else path
+    os.makedirs(os.path.dirname(os.path.abspath(name)), exist_ok=True)
+    return open(name, "wb")
+
+
+def move(source: str, target: str) -> None:
+    """Rename within one store."""
+    if kind_of(source) == "shared":
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(source)
+        new = fs.FileSystem.from_uri(target)[1]
+        where.create_dir(os.path.dirname(new), recursive=True)
+        where.move(name, new)
+        return
+    source, target = (from_file_url(x) if kind_of(x) == "file" else x for x in (source, target))
+    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+    os.replace(source, target)
+
+
 def size_of(path: str) -> int:
     with open_read(path) as f:
         return f.seek(0, 2) or f.tell()

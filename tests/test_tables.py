@@ -337,3 +337,38 @@ def test_null_pixels_and_pixels_out_of_range(spark, tmp_path):
             write(pixels.select("i0", "i1", F.lit(70000).alias("value")), path, (3, 4), "i2")
     write_image(pixels.withColumn("value", F.col("value").cast("float")), path, (3, 4), "f4")
     assert tables.read(spark, path, 0).filter("isnan(value)").count() == 1
+
+
+def test_dataset_appends_and_overwrites(spark, tmp_path):
+    path = str(tmp_path / "set")
+    df = spark.range(10).selectExpr("id as k", "array_repeat(cast(id as int), cast(id % 3 as int)) as v")
+    for n in (10, 20):
+        tables.write_table(df, path, "k", dataset=True, forms={"v": "1PJ"})
+        got = tables.read(spark, path).orderBy("_row").collect()
+        assert [r["k"] for r in got] == [*range(10)] * (n // 10) and got[5]["v"] == [5, 5]
+    tables.write_table(df.limit(3), path, "k", dataset=True, mode="overwrite", forms={"v": "1PJ"}, checksum=True)
+    assert tables.read(spark, path).count() == 3 and not [x for x in os.listdir(tmp_path) if "parts" in x]
+    assert all(catalog.verify(p, 1) == (True, True) for p in storage.paths_of(path))
+
+
+def test_streamed_batches_run_again_and_restart(spark, tmp_path):
+    from skylattice.streaming import TiledSink
+
+    folder = str(tmp_path / "stream")
+    lots = [spark.createDataFrame([(i * 4 + k,) for k in range(4)], "k long") for i in range(4)]
+    keys = lambda: sorted(r["k"] for r in tables.read(spark, folder).collect())
+    sink = TiledSink(folder, "k", 6)
+    sink(lots[0], 0)
+    sink(lots[1], 1)
+    sink(lots[1], 1)  # again, in this process
+    assert keys() == list(range(6))
+    again = TiledSink(folder, "k", 6)  # after a restart: the last batch may come again
+    again(lots[1], 1)
+    again(lots[2], 2)
+    assert keys() == list(range(12))
+    again(lots[3], 3)
+    for _ in range(2):
+        again.finish(spark)
+        assert keys() == list(range(16))
+    TiledSink(folder, "k", 6)(spark.createDataFrame([(k,) for k in range(16, 22)], "k long"), 4)
+    assert keys() == list(range(22))
