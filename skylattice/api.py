@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from contextlib import contextmanager
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import tiles as TL
 from .functions.cards import Header
-from .operators import catalog, mutate, rewrite, select
+from .operators import catalog, image_files, mutate, rewrite, select
 from .operators.tables import read as read_table
 from .operators.tables import write_table
 from .sources import layout as L
@@ -19,15 +23,37 @@ class Unit:
     """One unit of an open file."""
 
     def __init__(self, file: FITS, unit: L.Unit):
-        self.file, self.unit = file, unit
-
-    index = property(lambda self: self.unit.index)
-    kind = property(lambda self: self.unit.kind)
-    extname = property(lambda self: self.unit.extname)
-    extver = property(lambda self: self.unit.extver)
-    has_data = property(lambda self: self.unit.has_data)
-    header = property(lambda self: self.unit.header)
-    shape = property(lambda self: self.unit.shape)
+        self.file, self.place = file, unit.index
+
+    #: The unit as the file has it now: an update through one handle is seen by all.
+    _unit = property(lambda self: self.file._units[self.place])
+    index = property(lambda self: self.place)
+    kind = property(lambda self: self._unit.kind)
+    extname = property(lambda self: self._unit.extname)
+    extver = property(lambda self: self._unit.extver)
+    has_data = property(lambda self: self._unit.has_data)
+    header = property(lambda self: self._unit.header)
+    shape = property(lambda self: self._unit.shape)
+
+    # Decoded units kept by Spark: a cache of whole units, bounded by the bytes of their values.
+
+    def _frame(self, **options) -> DataFrame:
+        remote = {"remote": self.file.remote} if self.file.remote is not None else {}
+        df = read_table(self.file.spark, self.file.path, self.index, lenient=self.file.lenient, **remote, **options)
+        return self.file._kept_frame(self.index, tuple(sorted((k, str(v)) for k, v in options.items())), df, prod(self.shape) * max(1, len(df.columns)) * 8)
+
+    tile_cache_size = property(lambda self: self.file._cache_bytes)
+    tile_cache_used = property(lambda self: sum(n for (i, _), (_, n) in self.file._kept.items() if i == self.index))
+
+    def set_tile_cache_size(self, size: int) -> None:
+        """Units of up to ``size`` bytes together stay decoded on executors once read; 0 keeps none."""
+        if size < 0:
+            raise ValueError("a cache holds no less than nothing")
+        self.file._cache_bytes = size
+        self.file._forget(size)
+
+    def clear_tile_cache(self) -> None:
+        self.file._forget(0)
 
     def __len__(self) -> int:
         return self.shape[0] if self.shape else 0
@@ -54,7 +80,7 @@ class Unit:
 
 
 class ImageUnit(Unit):
-    image = property(lambda self: L.parse_image(self.unit))
+    image = property(lambda self: L.parse_image(self._unit))
     ndim = property(lambda self: len(self.shape))
     dtype = property(lambda self: self.image.value_type())
     bitpix = property(lambda self: self.header.get("ZBITPIX", self.header.get("BITPIX")))
@@ -62,8 +88,6 @@ class ImageUnit(Unit):
 
     @property
     def size(self) -> int:
-        from math import prod
-
         return prod(self.shape)
 
     @property
@@ -73,11 +97,54 @@ class ImageUnit(Unit):
     def read(self, scale: bool = True, mask_blank: bool = False) -> DataFrame:
         if not self.shape:
             raise ValueError("the image has no axes")
-        return read_table(self.file.spark, self.file.path, self.index, scale=scale, maskNull=mask_blank)
+        return self._frame(scale=scale, maskNull=mask_blank)
 
     def __getitem__(self, key) -> DataFrame:
         return select.section(self.read(), key, self.shape)
 
+    unit = property(lambda self: self.header.get("BUNIT"))
+    tile_shape = property(lambda self: TL.parse_tiles(self._unit).tile if self.kind == "zimage" else None)
+
+    @property
+    def quantize(self):
+        """Method and seed of the dither of a quantised image, by ZQUANTIZ and ZDITHER0."""
+        return (str(self.header["ZQUANTIZ"]).strip(), self.header.get("ZDITHER0")) if "ZQUANTIZ" in self.header else None
+
+    def _changed(self, change) -> None:
+        with self.file._changing():
+            change(image_files.ImageFile(self.file.path, self.index, lambda scale: self.read(scale=scale), lambda: f"{self.file._part_base()}.part"))
+
+    def __setitem__(self, key, value) -> None:
+        """hdu[section] = a number, or a DataFrame of just the section's pixels (axes from 0, and value)."""
+        self._changed(lambda f: f.set(key, value))
+
+    def extend(self, more: DataFrame, lines: int | None = None, start: int | None = None) -> None:
+        """More lines, after the image's own or from ``start`` on."""
+        self._changed(lambda f: f.extend(more, lines, start))
+
+    append = extend
+
+    def repack(self) -> None:
+        self._changed(lambda f: f.repack())
+
+    @contextmanager
+    def extending(self):
+        """with hdu.extending() as more: more(lines); more(lines) ...: all are added together on leaving, none after an error."""
+        lots: list[tuple[DataFrame, int]] = []
+
+        def more(pixels: DataFrame, lines: int | None = None) -> None:
+            n = lines if lines is not None else (pixels.agg(F.max("i0")).first()[0] or 0) + 1
+            lots.append((pixels, n))
+
+        with self.file._buffering():
+            yield more
+        whole, at = None, 0
+        for pixels, n in lots:
+            moved = pixels.withColumn("i0", F.col("i0") + at)
+            whole, at = moved if whole is None else whole.unionByName(moved), at + n
+        if whole is not None:
+            self.extend(whole, at)
+
 
 class TableUnit(Unit):
     @property
@@ -87,7 +154,7 @@ class TableUnit(Unit):
     def _schema(self):
         from .sources.fits import schema_of
 
-        return schema_of(self.unit, {})
+        return schema_of(self._unit, {})
 
     dtype = property(_schema)
     ncols = property(lambda self: len(self.colnames))
@@ -103,14 +170,14 @@ class TableUnit(Unit):
 
     @property
     def compression(self) -> dict:
-        return {c.name: c.codec for c in L.parse_table(self.unit).columns}
+        return {c.name: c.codec for c in L.parse_table(self._unit).columns}
 
     ztile_rows = property(lambda self: self.header.get("ZTILELEN"))
     n_tiles = property(lambda self: self.header["NAXIS2"] if self.kind == "ztable" else 1)
 
     def read(self, rows=None, columns=None, scale: bool = True, mask_null: bool = False, as_bytes: bool = False) -> DataFrame:
         """Rows (a slice, a number or a list) of columns, with _row; a list adds _pos, its order."""
-        df = read_table(self.file.spark, self.file.path, self.index, columns, scale=scale, maskNull=mask_null, asBytes=as_bytes)
+        df = self._frame(columns=columns, scale=scale, maskNull=mask_null, asBytes=as_bytes)
         if rows is None:
             return df
         if isinstance(rows, slice):
@@ -143,7 +210,24 @@ class TableUnit(Unit):
     # Updates: each makes a new table and puts it in the file.
 
     def replace(self, df: DataFrame) -> None:
-        self.file._put_table(self.index, df)
+        with self.file._changing():
+            self.file._put_table(self.index, df)
+
+    @contextmanager
+    def appending(self, order=None):
+        """with hdu.appending() as more: more(rows); more(rows) ...: all are appended together on leaving, none after an error."""
+        lots: list[DataFrame] = []
+        with self.file._buffering():
+            yield lots.append
+        if lots:
+            from .operators.tables import numbered
+
+            whole, at = None, 0
+            for rows in lots:
+                rows = rows if "_row" in rows.columns else numbered(rows, order)
+                moved = rows.withColumn("_row", F.col("_row") + at)
+                whole, at = moved if whole is None else whole.unionByName(moved), at + rows.count()
+            self.append(whole)
 
     def append(self, more: DataFrame, order=None) -> None:
         self.replace(mutate.append(self.read(), more, len(self), order))
@@ -199,7 +283,9 @@ class FITS:
         if mode not in ("r", "r+", "w+"):
             raise ValueError("modes are r, r+ and w+")
         self.spark, self.path, self.mode, self.lenient, self.remote = spark, storage.coerce(path), mode, lenient, remote
-        self.closed = False
+        self.closed = self.tainted = self.buffers = False
+        self._kept: dict = {}
+        self._cache_bytes = 0
         if mode != "r" and storage.kind_of(self.path) in ("http", "ftp"):
             raise OSError("remote files are read-only")
         if mode == "w+":
@@ -226,6 +312,53 @@ class FITS:
     def _writable(self) -> None:
         if self.closed or self.mode == "r":
             raise OSError("the file isn't open for writing")
+        if self.tainted:
+            raise OSError("a write failed midway; open the file again")
+        if self.buffers:
+            raise OSError("rows or lines are being buffered; leave that context first")
+
+    @contextmanager
+    def _changing(self):
+        """A write: decoded units are forgotten, and where it fails while the file may be half written, the handle is of no more use."""
+        self._writable()
+        before = self._stamp()
+        try:
+            yield
+        except BaseException:
+            self.tainted = self._stamp() != before
+            raise
+        self._forget(0)
+        self._reload()
+
+    def _stamp(self):
+        if storage.kind_of(self.path) != "local" or not os.path.exists(self.path):
+            return None
+        info = os.stat(self.path)
+        return info.st_mtime_ns, info.st_size, info.st_ino
+
+    @contextmanager
+    def _buffering(self):
+        self._writable()
+        self.buffers = True
+        try:
+            yield
+        finally:
+            self.buffers = False
+
+    def _kept_frame(self, index: int, options: tuple, df: DataFrame, size: int) -> DataFrame:
+        """df, kept decoded where the cache has room for it; the oldest give way."""
+        if not 0 < size <= self._cache_bytes:
+            return df
+        key = (index, options)
+        if key not in self._kept:
+            self._forget(self._cache_bytes - size)
+            self._kept[key] = (df.persist(), size)
+        return self._kept[key][0]
+
+    def _forget(self, room: int) -> None:
+        """Decoded units leave until those left have ``room`` bytes at most."""
+        while self._kept and sum(n for _, n in self._kept.values()) > room:
+            self._kept.pop(next(iter(self._kept)))[0].unpersist()
 
     @property
     def hdus(self) -> list[Unit]:
@@ -261,6 +394,7 @@ class FITS:
         """All writes are whole files that are renamed into place, so nothing waits."""
 
     def close(self) -> None:
+        self._forget(0)
         self.closed = True
 
     def _put_table(self, index: int, df: DataFrame) -> None:

@@ -25,7 +25,7 @@ def read(spark: SparkSession, path: str, hdu=None, columns: list[str] | None = N
     if columns is not None:
         reader = reader.option("columns", json.dumps(list(columns)))
     for k, v in options.items():
-        reader = reader.option(k, str(v))
+        reader = reader.option(k, v.to_json() if isinstance(v, storage.Remote) else str(v))
     return reader.load(path)
 
 

@@ -21,6 +21,21 @@ class Remote:
             raise ValueError("block_bytes must be positive and cache_bytes at least as large")
         self.ranged, self.headers, self.timeout, self.block_bytes, self.cache_bytes = ranged, dict(headers or {}), timeout, block_bytes, cache_bytes
 
+    def to_json(self) -> str:
+        """All settings as text, which an option of a scan carries to executors."""
+        import json
+
+        return json.dumps({k: getattr(self, k) for k in ("ranged", "headers", "timeout", "block_bytes", "cache_bytes")})
+
+    @classmethod
+    def of(cls, given) -> Remote | None:
+        """From a Remote, its JSON, or the word ranged."""
+        import json
+
+        if given is None or isinstance(given, Remote):
+            return given
+        return cls(ranged=True) if given == "ranged" else cls(**json.loads(given))
+
     def __repr__(self) -> str:
         return f"Remote(ranged={self.ranged}, timeout={self.timeout}, block_bytes={self.block_bytes}, cache_bytes={self.cache_bytes})"
 
@@ -113,7 +128,7 @@ def is_gzip(path: str) -> bool:
 
 def open_read(path: str, remote: Remote | str | None = None):
     """A seekable binary reader, on the driver or an executor."""
-    remote = Remote(ranged=True) if remote == "ranged" else remote
+    remote = Remote.of(remote)
     kind = kind_of(path)
     if remote is not None and kind != "http":
         raise ValueError("remote= is for http URLs")
@@ -127,10 +142,7 @@ def open_read(path: str, remote: Remote | str | None = None):
         with urlopen(Request(path, headers=remote.headers if remote else {}), timeout=remote.timeout if remote else None) as answer:
             raw = answer.read()
     elif kind == "ftp":
-        from urllib.request import urlopen
-
-        with urlopen(path.replace("ftps://", "ftp://", 1)) as answer:
-            raw = answer.read()
+        raw = ftp_bytes(path)
     elif kind == "memory":
         raw = _memory.get(path.replace("memkeep://", "mem://", 1), b"")
     elif kind == "shared":
@@ -150,6 +162,21 @@ def open_read(path: str, remote: Remote | str | None = None):
     return io.BytesIO(gzip.decompress(raw) if is_gzip(path) and raw else raw)
 
 
+def ftp_bytes(path: str) -> bytes:
+    """A file by FTP, or by FTP over TLS with a protected data connection for ftps."""
+    import ftplib
+
+    at = urlsplit(path)
+    out: list[bytes] = []
+    with (ftplib.FTP_TLS if at.scheme.lower() == "ftps" else ftplib.FTP)() as ftp:
+        ftp.connect(at.hostname or "", at.port or 21)
+        ftp.login(unquote_to_bytes(at.username or "anonymous").decode(), unquote_to_bytes(at.password or "").decode())
+        if isinstance(ftp, ftplib.FTP_TLS):
+            ftp.prot_p()
+        ftp.retrbinary("RETR " + unquote_to_bytes(at.path.lstrip("/")).decode(), out.append)
+    return b"".join(out)
+
+
 def write_bytes(path: str, chunks) -> None:
     """Write chunks of bytes under another name, then rename; gzip by suffix."""
     kind = kind_of(path)
