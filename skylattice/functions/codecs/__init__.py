@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from . import plio, rice
+from . import hcompress, plio, rice
 
 #: Names that mean the same codec.
 ALIASES = {"RICE_ONE": "RICE_1", "GZIP": "GZIP_1", "HCOMPRESS": "HCOMPRESS_1"}
@@ -55,7 +55,10 @@ def encode(values: np.ndarray, codec: Codec, shape: tuple[int, ...] | None = Non
     if name == "PLIO_1":
         return plio.encode(flat)
     if name == "HCOMPRESS_1":
-        raise NotImplementedError("HCOMPRESS_1 isn't implemented yet")
+        lines = shape if shape is not None else np.shape(values)
+        if len(lines) < 2 or any(n != 1 for n in lines[:-2]):
+            raise ValueError("HCOMPRESS_1 stores tiles of two axes")
+        return hcompress.encode(flat.reshape(lines[-2:]), codec.scale)
     return flat.astype(flat.dtype.newbyteorder(">")).tobytes()
 
 
@@ -72,7 +75,10 @@ def decode(data: bytes, codec: Codec, kind: np.dtype, count: int) -> np.ndarray:
     elif name == "PLIO_1":
         out = plio.decode(data, count).astype(kind)
     else:
-        raise NotImplementedError("HCOMPRESS_1 isn't implemented yet")
+        out = hcompress.decode(data, codec.smooth).reshape(-1)
+        if kind.kind in "iu" and codec.scale > 1:  # what was lost may lead out of the type
+            out = np.clip(out, np.iinfo(kind).min, np.iinfo(kind).max)
+        out = out.astype(kind)
     if len(out) != count:
         raise ValueError(f"{name}: a tile holds {len(out)} pixels instead of {count}")
     return out

@@ -145,12 +145,26 @@ def lines(f, unit: L.Unit, lo: int, hi: int):
         yield a, block[a - top : b - top]
 
 
-def default_tile(shape: tuple[int, ...]) -> tuple[int, ...]:
-    return (*(1 for _ in shape[:-1]), shape[-1])
-
-
-def check(codec: Codec, kind: np.dtype, trick: bool, quantised: bool) -> None:
-    """Which codecs store which pixels."""
+#: Lines of a tile of HCOMPRESS_1, by preference, the last resort, and the fewest pixels that an axis of a tile has.
+HCOMPRESS_LINES, HCOMPRESS_LAST, HCOMPRESS_LEAST = (16, 24, 20, 30, 28, 26, 22, 18, 14), 17, 4
+
+
+def default_tile(shape: tuple[int, ...], codec: Codec | None = None) -> tuple[int, ...]:
+    """A line; of HCOMPRESS_1 several whole lines, so that the last tile has enough of them too."""
+    if codec is None or codec.name != "HCOMPRESS_1" or len(shape) < 2:
+        return (*(1 for _ in shape[:-1]), shape[-1])
+    n = shape[-2]
+    lines = n if n <= max(HCOMPRESS_LINES) else next((t for t in HCOMPRESS_LINES if n % t == 0 or n % t >= HCOMPRESS_LEAST), HCOMPRESS_LAST)
+    return (*(1 for _ in shape[:-2]), lines, shape[-1])
+
+
+def check(codec: Codec, kind: np.dtype, trick: bool, quantised: bool, shape: tuple[int, ...] = (), tile: tuple[int, ...] = ()) -> None:
+    """Which codecs store which pixels, in which tiles."""
+    if codec.name == "HCOMPRESS_1":
+        if kind.itemsize == 8 and kind.kind != "f":
+            raise ValueError("HCOMPRESS_1 stores no 64-bit integers")
+        if len(shape) != 2 or any(t < HCOMPRESS_LEAST or 0 < n % t < HCOMPRESS_LEAST for n, t in zip(shape, tile, strict=True)):
+            raise ValueError(f"HCOMPRESS_1 stores images of two axes, in tiles of {HCOMPRESS_LEAST} pixels or more each way")
     if kind.kind == "f" and not quantised and codec.name not in ("GZIP_1", "GZIP_2"):
         raise ValueError(f"{codec.name} stores floats only when they are quantised")
     if codec.name == "PLIO_1" and (kind.kind == "f" and not quantised or kind.itemsize == 8 or trick):
@@ -197,6 +211,8 @@ def tile_unit(shape: tuple[int, ...], tile: tuple[int, ...], kind: np.dtype, cod
         puts += [(f"TTYPE{k}", name), (f"TFORM{k}", form % longest[name] if "%" in form else form)]
     puts += [("ZIMAGE", True), ("ZCMPTYPE", codec.name), ("ZBITPIX", BITPIX[kind.str.lstrip("<>|=")]), ("ZNAXIS", len(shape))]
     puts += [(f"ZNAXIS{k}", n) for k, n in enumerate(reversed(shape), 1)] + [(f"ZTILE{k}", n) for k, n in enumerate(reversed(tile), 1)]
+    if codec.name == "HCOMPRESS_1":
+        puts += [("ZNAME1", "SCALE"), ("ZVAL1", codec.scale), ("ZNAME2", "SMOOTH"), ("ZVAL2", int(codec.smooth))]
     if codec.name == "RICE_1":
         puts += [("ZNAME1", "BLOCKSIZE"), ("ZVAL1", codec.blocksize), ("ZNAME2", "BYTEPIX"), ("ZVAL2", 4 if floats else kind.itemsize)]
     if floats:

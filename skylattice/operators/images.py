@@ -64,8 +64,8 @@ def encode_tiles(pixels: DataFrame, shape: tuple[int, ...], kind: str, codec: Co
     stored, zero = KINDS[kind]
     pixels = pixels.withColumn("value", filled(F.col("value"), kind, blank))
     fixed = fixed or {}
-    tile = codec.tile_shape or TL.default_tile(shape)
-    TL.check(codec, np.dtype(stored), bool(zero), quantise is not None)
+    tile = codec.tile_shape or TL.default_tile(shape, codec)
+    TL.check(codec, np.dtype(stored), bool(zero), quantise is not None, shape, tile)
     plan = TL.Tiled(None, None, shape, tile, codec, np.dtype(stored), 0, 1, None)
 
     def encode(key, table):

@@ -304,6 +304,25 @@ def plio_image(spark, sf_dir):
     return compressed(spark, sf_dir, "i4", Codec("PLIO_1", tile_shape=(20, 64)), lambda v: F.expr("cast(abs(cast(value * 1000D as int)) div 300 as int)"))[0]
 
 
+@query("hcompress_image", f"SELECT i0, i1, {WHOLE} AS value FROM {PIXELS}")
+def hcompress_image(spark, sf_dir):
+    return compressed(spark, sf_dir, "i4", Codec("HCOMPRESS_1"), lambda v: F.expr("cast(value * 1000D as int)"))[0]
+
+
+@query("hcompress_image_i2", f"SELECT i0, i1, {WHOLE}::SMALLINT AS value FROM {PIXELS}")
+def hcompress_image_i2(spark, sf_dir):
+    return compressed(spark, sf_dir, "i2", Codec("HCOMPRESS_1"), lambda v: F.expr("cast(cast(value * 1000D as int) as smallint)"))[0]
+
+
+@query("hcompress_lossy", f"SELECT i0, count(*) AS n, true AS close FROM {PIXELS} GROUP BY i0")
+def hcompress_lossy(spark, sf_dir):
+    """Coefficients divided by a scale keep each pixel within some of it."""
+    got, _ = compressed(spark, sf_dir, "i4", Codec("HCOMPRESS_1", scale=8, smooth=True), lambda v: F.expr("cast(value * 1000D as int)"))
+    pixels, _ = embedding_pixels(spark, sf_dir, lambda v: F.expr("cast(value * 1000D as int)"))
+    both = got.join(pixels.withColumnRenamed("value", "v"), ["i0", "i1"])
+    return both.groupBy("i0").agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("value") - F.col("v"))) <= 16).alias("close"))
+
+
 @query("tile_pruned_section", f"SELECT i0 - 40 AS i0, i1 AS i1, {WHOLE} AS value FROM {PIXELS} WHERE i0 >= 40 AND i0 < 60")
 def tile_pruned_section(spark, sf_dir):
     df, shape = compressed(spark, sf_dir, "i4", Codec("RICE_1", tile_shape=(20, 30)), lambda v: F.expr("cast(value * 1000D as int)"))
@@ -471,14 +490,156 @@ def image_extend(spark, sf_dir):
 # Catalog
 
 
-@query("hdu_catalog")
+@query("hdu_catalog", """SELECT * FROM (VALUES (0, 'image', CAST(NULL AS VARCHAR), 1, CAST([] AS BIGINT[]), false, 2880::BIGINT, 0::BIGINT)) AS t(hdu, kind, extname, extver, shape, has_data, data_offset, data_size)
+  UNION ALL SELECT 1, 'table', 'ORDERS', 1, [count(*)], true, 5760, count(*) * (8 * 4 + max(strlen(o_orderstatus)) + max(strlen(o_orderpriority)))::BIGINT FROM orders""")
 def hdu_catalog(spark, sf_dir):
     return catalog.hdus(spark, stored(orders(spark, sf_dir), "o_orderkey", extname="ORDERS"))
 
 
-@query("header_cards")
+@query("header_cards", """WITH s AS (SELECT count(*) AS n, max(strlen(o_orderstatus)) AS a, max(strlen(o_orderpriority)) AS b FROM orders),
+  c(place, key, type, value) AS (
+    SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]), unnest(['XTENSION', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'PCOUNT', 'GCOUNT', 'TFIELDS']), unnest(['str', 'int', 'int', 'int', 'int', 'int', 'int', 'int']),
+           unnest(['BINTABLE', '8', '2', CAST(32 + a + b AS VARCHAR), CAST(n AS VARCHAR), '0', '1', '6']) FROM s
+    UNION ALL SELECT unnest([8, 10, 12, 14, 16, 18]), unnest(['TTYPE1', 'TTYPE2', 'TTYPE3', 'TTYPE4', 'TTYPE5', 'TTYPE6']), 'str', unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'])
+    UNION ALL SELECT unnest([9, 11, 13, 15, 17, 19]), unnest(['TFORM1', 'TFORM2', 'TFORM3', 'TFORM4', 'TFORM5', 'TFORM6']), 'str', unnest(['1K', '1K', a || 'A', '1D', '1K', b || 'A']) FROM s
+    UNION ALL SELECT unnest([20, 21]), unnest(['EXTNAME', 'ORIGIN']), 'str', unnest(['ORDERS', 'made here']))
+  SELECT place::INTEGER AS place, key, type, value FROM c""")
 def header_cards(spark, sf_dir):
-    return catalog.cards(spark, stored(orders(spark, sf_dir), "o_orderkey", extname="ORDERS", header={"ORIGIN": "made here"}), "orders")
+    return catalog.cards(spark, stored(orders(spark, sf_dir), "o_orderkey", extname="ORDERS", header={"ORIGIN": "made here"}), "orders").drop("comment")
+
+
+# Files that change
+
+
+def opened(spark, path: str):
+    from ..api import FITS
+
+    return FITS(spark, path, "r+")
+
+
+@query("append_keeps_cards", f"""SELECT rn AS _row, o_orderkey, 0.5 * o_custkey + 10 AS half, NULLIF(o_custkey % 10, 3) AS digit, 'TSCAL2=0.5 TZERO2=10 TNULL3=3 TUNIT2=m OBS=me' AS cards FROM
+  (SELECT rn, o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey FROM {R_ORDERS} UNION ALL SELECT rn + (SELECT count(*) FROM orders), o_orderkey, CAST(o_custkey AS DOUBLE) FROM {R_ORDERS})""")
+def append_keeps_cards(spark, sf_dir):
+    """Rows of physical values appended in the file; the table's scale, null, unit and own cards stay."""
+    df = orders(spark, sf_dir).select("o_orderkey", F.col("o_custkey").alias("half"), (F.col("o_custkey") % 10).alias("digit"))
+    path = stored(df, "o_orderkey", forms={"half": {"form": "1K", "scale": 0.5, "zero": 10}, "digit": {"form": "1K", "null": 3}}, units={"half": "m"}, header={"OBS": "me"})
+    with opened(spark, path) as f:
+        f[1].append(df.withColumn("half", F.col("half") * 0.5 + 10), "o_orderkey")
+        h = f[1].header
+        cards = " ".join(f"{k}={h.get(k)}" for k in ("TSCAL2", "TZERO2", "TNULL3", "TUNIT2", "OBS"))
+    got = tables.read(spark, path, 1, maskNull=True)
+    return got.withColumns({"digit": F.col("digit").cast("double"), "cards": F.lit(cards)})
+
+
+@query("repack_tdim", "SELECT vec_id, (j // 16)::INTEGER AS a, (j % 16)::INTEGER AS b, embedding[j + 1] AS value, '64E (16,4)' AS form FROM embeddings, range(64) AS t(j)")
+def repack_tdim(spark, sf_dir):
+    cells = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda a: F.slice("embedding", a * 16 + 1, F.lit(16)))
+    path, target = stored(table(spark, sf_dir, "embeddings").select("vec_id", cells.alias("m")), "vec_id", forms={"m": {"form": "64E", "dim": [4, 16]}}), scratch(spark, "repacked.fits")
+    mutate.repack(spark, path, target, 1)
+    with opened(spark, target) as f:
+        form = f"{f[1].header['TFORM2']} {f[1].header['TDIM2']}"
+    df = tables.read(spark, target, 1).select("vec_id", F.posexplode("m").alias("a", "line")).select("vec_id", "a", F.posexplode("line").alias("b", "value"))
+    return df.withColumn("form", F.lit(form))
+
+
+@query("dataset_append", f"SELECT rn AS _row, o_orderkey FROM {R_ORDERS} UNION ALL SELECT rn + (SELECT count(*) FROM orders), o_orderkey FROM {R_ORDERS}")
+def dataset_append(spark, sf_dir):
+    path = scratch(spark, "twice")
+    for _ in range(2):
+        tables.write_table(orders(spark, sf_dir).select("o_orderkey"), path, "o_orderkey", dataset=True)
+    return tables.read(spark, path)
+
+
+@query("image_null_fill", f"SELECT i0, i1, NULLIF({WHOLE} % 10, 3)::INTEGER AS value, {WHOLE} % 10 = 3 AS blank FROM {PIXELS}")
+def image_null_fill(spark, sf_dir):
+    """Null pixels are stored as BLANK, and are null again where that is asked for."""
+    masked = image(spark, sf_dir, "i4", lambda v: F.expr("nullif(cast(value * 1000D as int) % 10, 3)"), blank=-2000000000, options={"maskNull": True})[0]
+    return masked.withColumn("blank", F.col("value").isNull())
+
+
+@query("mem_scan", "SELECT o_orderkey, o_totalprice FROM orders")
+def mem_scan(spark, sf_dir):
+    """A file in the driver's memory, read by workers."""
+    from ..api import FITS
+    from ..sources import storage
+
+    path = stored(orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return FITS.from_bytes(spark, b"".join(storage.ranges(path, 0, storage.size_of(path))))[1].read().drop("_row")
+
+
+def image_file(spark, sf_dir, codec=None, quantise=None, kind="i4"):
+    """(path, unit) of the embeddings as an image."""
+    value = (lambda v: F.expr("cast(value * 1000D as int)")) if kind == "i4" else (lambda v: v)
+    pixels, shape = embedding_pixels(spark, sf_dir, value)
+    path = scratch(spark, "changed.fits")
+    if codec:
+        images.write_compressed(pixels, path, shape, kind, codec, quantise)
+    else:
+        images.write_image(pixels, path, shape, kind)
+    return path, 1 if codec else 0
+
+
+def set_in_file(spark, sf_dir, codec=None):
+    path, unit = image_file(spark, sf_dir, codec)
+    with opened(spark, path) as f:
+        f[unit][10:20, :8] = 9
+        f[unit][30, 4::20] = spark.createDataFrame([(k, 100 + k) for k in range(3)], "i0 long, value int")
+    return tables.read(spark, path, unit)
+
+
+SET = f"SELECT i0, i1, (CASE WHEN i0 BETWEEN 10 AND 19 AND i1 < 8 THEN 9 WHEN i0 = 30 AND i1 >= 4 AND (i1 - 4) % 20 = 0 THEN 100 + (i1 - 4) // 20 ELSE {WHOLE} END)::INTEGER AS value FROM {PIXELS}"
+TWICE = f"SELECT i0, i1, {WHOLE} AS value FROM {PIXELS} UNION ALL SELECT i0 + (SELECT count(*) FROM embeddings), i1, {WHOLE} FROM {PIXELS} WHERE i0 < 7"
+
+
+@query("image_file_set", SET)
+def image_file_set(spark, sf_dir):
+    return set_in_file(spark, sf_dir)
+
+
+@query("zimage_set", SET)
+def zimage_set(spark, sf_dir):
+    return set_in_file(spark, sf_dir, Codec("RICE_1", tile_shape=(20, 30)))
+
+
+def extended_in_file(spark, sf_dir, codec=None):
+    path, unit = image_file(spark, sf_dir, codec)
+    with opened(spark, path) as f:
+        f[unit].extend(tables.read(spark, path, unit).filter("i0 < 7"))
+    return tables.read(spark, path, unit)
+
+
+@query("image_file_extend", TWICE)
+def image_file_extend(spark, sf_dir):
+    return extended_in_file(spark, sf_dir)
+
+
+@query("zimage_extend", TWICE)
+def zimage_extend(spark, sf_dir):
+    """The last tiles are filled up, new ones follow."""
+    return extended_in_file(spark, sf_dir, Codec("GZIP_2", tile_shape=(9, 64)))
+
+
+@query("zimage_repack", f"SELECT i0, i1, CASE WHEN i0 < 5 THEN 1 ELSE {WHOLE} END AS value, true AS smaller FROM {PIXELS}")
+def zimage_repack(spark, sf_dir):
+    path, unit = image_file(spark, sf_dir, Codec("RICE_1", tile_shape=(4, 64)))
+    with opened(spark, path) as f:
+        f[unit][:5] = 1
+        before = f[unit].header["PCOUNT"]
+        f[unit].repack()
+        smaller = f[unit].header["PCOUNT"] < before
+    return tables.read(spark, path, unit).withColumn("smaller", F.lit(smaller))
+
+
+@query("zimage_set_quantised", f"SELECT i0, i1 < 8 AND i0 BETWEEN 10 AND 19 AS changed, count(*) AS n, true AS close FROM {PIXELS} GROUP BY ALL")
+def zimage_set_quantised(spark, sf_dir):
+    """Tiles of a quantised image keep their scale when some of their pixels change."""
+    path, unit = image_file(spark, sf_dir, Codec("RICE_1"), Q.Quantize(-0.01, "dither1", 5), "f4")
+    with opened(spark, path) as f:
+        f[unit][10:20, :8] = 0.25
+    pixels, _ = embedding_pixels(spark, sf_dir)
+    changed = F.col("i0").between(10, 19) & (F.col("i1") < 8)
+    both = tables.read(spark, path, unit).join(pixels.withColumn("v", F.when(changed, 0.25).otherwise(F.col("value"))).drop("value"), ["i0", "i1"])
+    return both.groupBy("i0", changed.alias("changed")).agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("value") - F.col("v"))) <= 0.0101).alias("close"))
 
 
 @query("stream_append", "SELECT event_id, value FROM events")

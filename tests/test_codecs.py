@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 
 from skylattice.functions import quantize as Q
 from skylattice.functions.checksum import decode_checksum, encode_checksum, folded, word_sum
-from skylattice.functions.codecs import Codec, decode, encode, plio, rice
+from skylattice.functions import tiles
+from skylattice.functions.codecs import Codec, decode, encode, hcompress, plio, rice
 
 KINDS = ["u1", "i2", "i4"]
 
@@ -93,3 +94,46 @@ def test_checksums(data):
 
 def test_datasum_anchor():
     assert word_sum(np.arange(64).astype(">i4").tobytes()) == 2016
+
+
+@given(st.integers(4, 40), st.integers(4, 40), st.integers(0, 9), st.integers(0, 1 << 30))
+@settings(max_examples=150, deadline=None)
+def test_hcompress_round_trip(rows, columns, digits, seed):
+    rng = np.random.default_rng(seed)
+    tile = rng.integers(-(10**digits), 10**digits + 1, (rows, columns))
+    for x in (tile, np.abs(tile), np.cumsum(tile // 50, 1)):
+        assert np.array_equal(hcompress.decode(hcompress.encode(x)), x)
+
+
+def test_hcompress_streams_by_hand():
+    head = bytes.fromhex("dd99 00000004 00000004 00000000".replace(" ", ""))
+    constant = head + (56).to_bytes(8, "big") + bytes([0, 0, 0]) + b"\0"  # a sum alone: 16 pixels of 7, times 8 over 16
+    assert hcompress.encode(np.full((4, 4), 7)) == constant and (hcompress.decode(constant) == 7).all()
+    # planes of the kind beside the sums: F, code 011 of a square whose first bit is set; F, code 111110 of none; end 0; sign -
+    bits = "1111" + "011" + "1111" + "111110" + "0000"
+    one = head + (0).to_bytes(8, "big") + bytes([0, 3, 0]) + int((bits * 1).ljust(24, "0"), 2).to_bytes(3, "big")
+    got = hcompress.Bits(one[25:])
+    assert got.plane((2, 2)).tolist() == [[1, 0], [0, 0]] and got.plane((2, 2)).tolist() == [[0, 0], [0, 0]] and got.nybbles(1)[0] == 0
+    direct = hcompress.Bits(bytes([0b0000_1010, 0b0101_0000, 0b1111_0000]))
+    assert direct.plane((2, 4)).tolist() == [[1, 0, 0, 1], [1, 0, 0, 1]]
+    for bad in (b"", constant[:20], b"xx" + constant[2:], constant[:-1], constant[:22] + b"\1" + constant[23:]):
+        with pytest.raises(ValueError, match="HCOMPRESS"):
+            hcompress.decode(bad)
+
+
+def test_hcompress_scale_and_smoothing():
+    at = np.arange(64)
+    smooth = (1000 * np.sin(at[:, None] / 9) + at * 20).astype(int)
+    lossy = hcompress.encode(smooth, 200)
+    plain, even = (np.abs(hcompress.decode(lossy, s) - smooth) for s in (False, True))
+    assert len(lossy) < len(hcompress.encode(smooth)) / 3 and plain.max() < 200 and even.mean() < plain.mean()
+    assert np.array_equal(hcompress.decode(hcompress.encode(smooth, 1)), smooth)
+
+
+def test_hcompress_tiles():
+    codec = Codec("HCOMPRESS_1")
+    assert [tiles.default_tile((n, 50), codec) for n in (9, 30, 32, 33, 35, 49)] == [(9, 50), (30, 50), (16, 50), (24, 50), (24, 50), (20, 50)]
+    for kind, shape, tile in (("i8", (8, 8), (8, 8)), ("i4", (8, 8, 8), (1, 8, 8)), ("i4", (8, 9), (4, 3)), ("i4", (9, 8), (8, 8))):
+        with pytest.raises(ValueError, match="HCOMPRESS"):
+            tiles.check(codec, np.dtype(kind), False, False, shape, tile)
+    tiles.check(codec, np.dtype("f4"), False, True, (8, 8), (4, 8))
