@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, types as T
 from pyspark.sql import functions as F
 
 from ..sources import layout as L
 from .cards import Header
+from .rows import unsigned64
 
 #: Decimals up to which F and E fields are 32-bit floats; forms of Spark's types.
 SINGLE = 7
@@ -90,21 +92,30 @@ def schema(text: Text, names, scale: bool) -> T.StructType:
     return T.StructType([T.StructField("_row", T.LongType(), False), *(T.StructField(f.name, f.spark_type(scale), True, {"tform": f.form} | ({"unit": f.unit} if f.unit else {})) for f in text.chosen(names))])
 
 
-def column(cells: list[bytes], f: Field, scale: bool, mask: bool) -> pa.Array:
-    texts = [c.decode("ascii") for c in cells]
-    hidden = [mask and f.null is not None and t.strip() == f.null for t in texts]
+def column(cells: np.ndarray, f: Field, scale: bool, mask: bool) -> pa.Array:
+    """A field of all rows. cells: (rows, bytes of the field)."""
+    n, width = cells.shape
+    if (cells >= 128).any():
+        raise ValueError(f"field {f.name}: text that isn't ASCII")
+    offsets = np.arange(n + 1, dtype=np.int32) * width
+    texts = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(cells)))
+    trimmed = pc.ascii_trim_whitespace(texts)
+    null = pc.equal(trimmed, f.null) if f.null is not None else None
+    hidden = null if mask and null is not None else None
+    masked = lambda x: x if hidden is None else pc.if_else(hidden, pa.scalar(None, x.type), x)
     if f.kind == "A":
-        return pa.array([None if x else t.rstrip(" ") for t, x in zip(texts, hidden, strict=True)], pa.string())
-    number = (lambda t: int(t)) if f.kind == "I" else (lambda t: float(t.upper().replace("D", "E")))
-    plain = [0 if f.null is not None and t.strip() == f.null and not mask else None if x else number(t.strip()) if t.strip() else 0 for t, x in zip(texts, hidden, strict=True)]
+        return masked(pc.ascii_rtrim(texts, " "))
+    empty = pc.equal(trimmed, "")
+    plain = pc.if_else(empty if null is None else pc.or_(empty, null), "0", pc.replace_substring_regex(trimmed, r"^\+", ""))
+    if f.kind == "I":
+        values = plain.cast(pa.int64())
+    else:
+        values = pc.replace_substring_regex(plain, "[Dd]", "E").cast(pa.float64())
     if scale and f.unsigned:
-        from decimal import Decimal
-
-        return pa.array([None if v is None else Decimal(v + (1 << 63)) for v in plain], pa.decimal128(20, 0))
+        return masked(unsigned64(values.to_numpy(zero_copy_only=False)))
     if scale and (f.scale != 1 or f.zero != 0):
-        return pa.array([None if v is None else v * f.scale + f.zero for v in plain], pa.float64())
-    kind = pa.int64() if f.kind == "I" else pa.float32() if isinstance(f.spark_type(), T.FloatType) else pa.float64()
-    return pa.array([v if v is None or f.kind == "I" else float(v) for v in plain], kind)
+        return masked(pa.array(values.to_numpy(zero_copy_only=False).astype(np.float64) * f.scale + f.zero))
+    return masked(values.cast(pa.float32()) if isinstance(f.spark_type(), T.FloatType) else values)
 
 
 def batches(f, unit: L.Unit, lo: int, hi: int, base: int, names, scale: bool, mask: bool):
@@ -118,7 +129,7 @@ def batches(f, unit: L.Unit, lo: int, hi: int, base: int, names, scale: bool, ma
         out = [pa.array(np.arange(base + a, base + b))]
         for c in fields:
             cells = np.ascontiguousarray(raw[:, c.start : c.start + c.width])
-            out.append(column([x.tobytes() for x in cells], c, scale, mask))
+            out.append(column(cells, c, scale, mask))
         yield pa.RecordBatch.from_arrays(out, names=["_row", *(c.name for c in fields)])
 
 

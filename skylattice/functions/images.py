@@ -35,29 +35,33 @@ def values(stored: np.ndarray, image: L.Image, scale: bool, mask: bool) -> pa.Ar
     return pa.array(native.astype(np.int16) if native.dtype == np.uint8 else native, mask=hidden)
 
 
-def pixel_batch(stored: np.ndarray, first: int, shape: tuple[int, ...], base: int, image: L.Image, scale: bool, mask: bool) -> pa.RecordBatch:
-    """Pixels first, first + 1 ... in row-major order; base: lines of files before."""
-    at = np.arange(first, first + len(stored))
-    axes = [a.astype(np.int64) for a in np.unravel_index(at, shape)]
-    axes[0] = axes[0] + base
-    return pa.RecordBatch.from_arrays([*(pa.array(a) for a in axes), values(stored, image, scale, mask)], names=[*(f"i{k}" for k in range(len(shape))), "value"])
+def pixel_batch(block: np.ndarray, origin: tuple[int, ...], image: L.Image, scale: bool, mask: bool) -> pa.RecordBatch:
+    """A block of stored pixels; origin: place of its first one."""
+    axes = np.unravel_index(np.arange(block.size), block.shape)
+    places = [pa.array(a.astype(np.int64) + o) for a, o in zip(axes, origin, strict=True)]
+    return pa.RecordBatch.from_arrays([*places, values(np.ascontiguousarray(block).reshape(-1), image, scale, mask)], names=[*(f"i{k}" for k in range(block.ndim)), "value"])
 
 
-def batches(f, unit: L.Unit, lo: int, hi: int, base: int, scale: bool, mask: bool):
+def batches(f, unit: L.Unit, lo: int, hi: int, base: int, scale: bool, mask: bool, box: tuple[tuple[int, int], ...] | None = None):
+    """Pixels of lines lo .. hi - 1; box: (start, stop) on the other axes. base: lines of files before."""
     image = L.parse_image(unit)
-    line = int(np.prod(image.shape[1:], dtype=np.int64))
+    box = box or tuple((0, n) for n in image.shape[1:])
+    starts = [a for a, _ in box]
+    if any(a >= b for a, b in box):
+        return
     if unit.kind == "zimage":
         from .tiles import lines
 
-        for first, block in lines(f, unit, lo, hi):
-            yield pixel_batch(block.reshape(-1), first * line, image.shape, base, image, scale, mask)
+        for first, block in lines(f, unit, lo, hi, box):
+            yield pixel_batch(block, (base + first, *starts), image, scale, mask)
         return
-    size = np.dtype(image.stored).itemsize
+    line, size = int(np.prod(image.shape[1:], dtype=np.int64)), np.dtype(image.stored).itemsize
     step = max(1, BATCH_PIXELS // max(1, line))
     for a in range(lo, hi, step):
-        n = (min(hi, a + step) - a) * line
+        n = min(hi, a + step) - a
         f.seek(image.data_offset + a * line * size)
-        raw = f.read(n * size)
-        if len(raw) != n * size:
+        raw = f.read(n * line * size)
+        if len(raw) != n * line * size:
             raise OSError("the file ends inside its pixels")
-        yield pixel_batch(np.frombuffer(raw, image.stored), a * line, image.shape, base, image, scale, mask)
+        block = np.frombuffer(raw, image.stored).reshape(n, *image.shape[1:])
+        yield pixel_batch(block[(slice(None), *(slice(*x) for x in box))], (base + a, *starts), image, scale, mask)

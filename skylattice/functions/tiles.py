@@ -74,14 +74,16 @@ def _descriptors(unit: L.Unit) -> L.Table:
     return L.Table(h["NAXIS2"], h["NAXIS1"], columns, unit.data_offset, heap)
 
 
-def payloads(f, tiled: Tiled, lo: int, hi: int) -> list[dict]:
-    """Of tiles lo .. hi - 1: the first filled data column by precedence, and the tile's scale, zero and blank."""
+def payloads(f, tiled: Tiled, wanted: np.ndarray) -> list[dict]:
+    """Of the wanted tiles (numbers, ascending): the first filled data column by precedence, and the tile's scale, zero and blank."""
     from ..sources.fits import heap_cells
 
-    t = tiled.table
-    f.seek(t.data_offset + lo * t.width)
-    raw = np.frombuffer(f.read((hi - lo) * t.width), np.uint8).reshape(hi - lo, t.width)
-    out: list[dict] = [{} for _ in range(hi - lo)]
+    t, parts = tiled.table, []
+    for run in np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1):
+        f.seek(t.data_offset + int(run[0]) * t.width)
+        parts.append(f.read(len(run) * t.width))
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(len(wanted), t.width)
+    out: list[dict] = [{} for _ in range(len(wanted))]
     for name in ("COMPRESSED_DATA", "GZIP_COMPRESSED_DATA", "UNCOMPRESSED_DATA"):
         c = t.by_name.get(name)
         if c is None:
@@ -100,10 +102,10 @@ def payloads(f, tiled: Tiled, lo: int, hi: int) -> list[dict]:
     return out
 
 
-def decode_tiles(f, tiled: Tiled, lo: int, hi: int) -> list[np.ndarray]:
-    """Native pixels of tiles lo .. hi - 1, each in its own shape."""
-    found = payloads(f, tiled, lo, hi)
-    boxes = [tiled.box(k) for k in range(lo, hi)]
+def decode_tiles(f, tiled: Tiled, wanted: np.ndarray) -> list[np.ndarray]:
+    """Native pixels of the wanted tiles (numbers, ascending), each in its own shape."""
+    found = payloads(f, tiled, wanted)
+    boxes = [tiled.box(int(k)) for k in wanted]
     shapes = [tuple(s.stop - s.start for s in b) for b in boxes]
     counts = np.array([prod(s) for s in shapes])
     is_float = tiled.pixel.kind == "f"
@@ -117,32 +119,41 @@ def decode_tiles(f, tiled: Tiled, lo: int, hi: int) -> list[np.ndarray]:
                     out[i] = values
                 else:
                     blank = found[i].get("blank", tiled.blank)
-                    out[i] = Q.restore(values, found[i]["scale"], found[i].get("zero", 0.0), tiled.method, lo + i + 1, tiled.seed, tiled.pixel, Q.NULL if blank is None else int(blank))
+                    out[i] = Q.restore(values, found[i]["scale"], found[i].get("zero", 0.0), tiled.method, int(wanted[i]) + 1, tiled.seed, tiled.pixel, Q.NULL if blank is None else int(blank))
     for i, p in enumerate(found):
         if out[i] is None:
             if "data" not in p:
-                raise ValueError(f"tile {lo + i} has no data")
+                raise ValueError(f"tile {int(wanted[i])} has no data")
             raw = gunzip(p["data"]) if p["from"] == "GZIP_COMPRESSED_DATA" else p["data"]
             out[i] = np.frombuffer(raw, tiled.pixel.newbyteorder(">")).astype(tiled.pixel)
     return [v.reshape(s) for v, s in zip(out, shapes, strict=True)]
 
 
-def lines(f, unit: L.Unit, lo: int, hi: int):
-    """(first line, block of lines) of lines lo .. hi - 1: only tiles that hold some of them are decoded."""
+def lines(f, unit: L.Unit, lo: int, hi: int, box: tuple[tuple[int, int], ...] | None = None):
+    """(first line, block) of lines lo .. hi - 1, cut to ``box`` on the other axes: only tiles that hold some of it are decoded."""
     tiled = parse_tiles(unit)
-    across = prod(tiled.grid[1:])
+    box = box or tuple((0, n) for n in tiled.shape[1:])
+    held = [np.arange(a // t, -(-b // t)) for (a, b), t in zip(box, tiled.tile[1:], strict=True)]  # tiles along each other axis
+    across = np.zeros(1, np.int64)
+    for own, n in zip(held, tiled.grid[1:], strict=True):
+        across = (across[:, None] * n + own).reshape(-1)
+    each = prod(tiled.grid[1:])
+    origin = [int(own[0]) * t for own, t in zip(held, tiled.tile[1:], strict=True)]
+    wide = [min(n, (int(own[-1]) + 1) * t) - o for own, t, n, o in zip(held, tiled.tile[1:], tiled.shape[1:], origin, strict=True)]
     step = tiled.tile[0]
     last = -(-hi // step)
-    together = max(1, BATCH_PIXELS // (step * prod(tiled.shape[1:])))
+    together = max(1, BATCH_PIXELS // max(1, step * prod(wide)))
+    inside = tuple(slice(a - o, b - o) for (a, b), o in zip(box, origin, strict=True))
     for row in range(lo // step, last, together):
         end = min(last, row + together)
         top, bottom = row * step, min(tiled.shape[0], end * step)
-        block = np.empty((bottom - top, *tiled.shape[1:]), tiled.pixel)
-        for k, values in zip(range(row * across, end * across), decode_tiles(f, tiled, row * across, end * across), strict=True):
-            box = tiled.box(k)
-            block[(slice(box[0].start - top, box[0].stop - top), *box[1:])] = values
+        block = np.empty((bottom - top, *wide), tiled.pixel)
+        wanted = (np.arange(row, end)[:, None] * each + across).reshape(-1)
+        for k, values in zip(wanted.tolist(), decode_tiles(f, tiled, wanted), strict=True):
+            at = tiled.box(k)
+            block[(slice(at[0].start - top, at[0].stop - top), *(slice(x.start - o, x.stop - o) for x, o in zip(at[1:], origin, strict=True)))] = values
         a, b = max(lo, top), min(hi, bottom)
-        yield a, block[a - top : b - top]
+        yield a, block[(slice(a - top, b - top), *inside)]
 
 
 #: Lines of a tile of HCOMPRESS_1, by preference, the last resort, and the fewest pixels that an axis of a tile has.

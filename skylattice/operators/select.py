@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a list that are given to the reader one by one.
+LISTED = 10_000
+
+
 def slice_rows(df: DataFrame, key: slice, rows: int, place: str | None = None) -> DataFrame:
     """Rows of a Python slice (its step may be negative), as a filter on _row that reaches the reader. No row is an error.
 
@@ -32,7 +36,8 @@ def one_row(df: DataFrame, i: int, rows: int) -> DataFrame:
 def listed_rows(df: DataFrame, wanted: list[int], rows: int, place: str = "_pos") -> DataFrame:
     """Rows of a list, each once, with their place in it; negative numbers count from the end.
 
-    The list is the caller's own, so it is small; its bounds prune partitions before the join.
+    The list is the caller's own, so it is small. Up to ``LISTED`` rows reach the reader, which reads no others; of longer
+    lists their bounds do.
     """
     if not wanted:
         raise ValueError("the list selects no rows")
@@ -41,7 +46,8 @@ def listed_rows(df: DataFrame, wanted: list[int], rows: int, place: str = "_pos"
     first = list(dict.fromkeys(i % rows for i in wanted))
     spark = df.sparkSession
     asked = spark.createDataFrame([(p, r) for p, r in enumerate(first)], f"{place} long, _row long")
-    return df.filter(F.col("_row").between(min(first), max(first))).join(F.broadcast(asked) if len(first) <= 100_000 else asked, "_row")
+    near = F.col("_row").isin(first) if len(first) <= LISTED else F.col("_row").between(min(first), max(first))
+    return df.filter(near).join(F.broadcast(asked) if len(first) <= 100_000 else asked, "_row")
 
 
 def select_columns(df: DataFrame, names: list[str], keep: tuple[str, ...] = ("_row",)) -> DataFrame:

@@ -1,8 +1,9 @@
 """The Spark data source ``fits``: tables, compressed tables, ASCII tables and images as DataFrames, and a sink.
 
 Reading: each input partition is a range of rows, tiles or image lines of one file; it seeks to its bytes and yields
-Arrow batches. ``_row`` (or the axes ``i0``, ``i1`` ...) gives each row's place. Filters on ``_row`` and ``i0`` are
-pushed down and choose partitions, and the option ``columns`` decodes no others.
+Arrow batches. ``_row`` (or the axes ``i0``, ``i1`` ...) gives each row's place. Filters on ``_row`` and on axes are pushed
+down: bounds and lists of rows or lines choose partitions and the runs read in them, bounds on other axes the tiles that are
+decoded. The option ``columns`` decodes no others.
 
 Options: hdu (number or EXTNAME), columns (JSON list or comma-separated), scale, maskNull, asBytes, lenient, rowsPerPartition,
 remote. A path that is a folder reads the same HDU of all its files; rows are then numbered through.
@@ -16,8 +17,10 @@ those that are there, or take their place in mode overwrite.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from bisect import bisect_left
 from contextlib import ExitStack
 from dataclasses import dataclass
 
@@ -33,6 +36,8 @@ from . import storage
 
 #: Bytes of rows that an input partition holds, plain and where tiles have to be decoded, and that a batch decodes at once.
 PARTITION_BYTES, PACKED_BYTES, BATCH_BYTES = 32 << 20, 4 << 20, 4 << 20
+#: Bytes between two rows of a list that are read over rather than sought past.
+GAP_BYTES = 1 << 16
 
 
 def flag(options, name: str, default: bool) -> bool:
@@ -60,56 +65,76 @@ def default_unit(units: list[L.Unit]) -> L.Unit:
 
 @dataclass
 class Part(InputPartition):
-    """Rows lo .. hi - 1 (or tiles, or lines of an image) of one file; base: the number of its first row."""
+    """Runs (lo, hi) of rows lo .. hi - 1 (or lines of an image) of one file; base: the number of its first row.
+
+    box: bounds (start, stop) on the other axes of an image.
+    """
 
     path: str
-    lo: int
-    hi: int
+    runs: list
     base: int
-    low: float
-    high: float
+    box: tuple | None
 
 
 class FitsReader(DataSourceReader):
     def __init__(self, options, schema: T.StructType):
         self.options, self.schema = {k.lower(): v for k, v in dict(options).items()}, schema
-        self.low, self.high, self.only = -np.inf, np.inf, None
+        self.bounds: dict[str, list[float]] = {}
+        self.only: list[int] | None = None
 
     def pushFilters(self, filters: list[Filter]):
-        """Bounds on _row and i0 narrow the plan; Spark applies all filters again."""
+        """Bounds on _row and on axes, and lists of rows or lines, narrow the plan; Spark applies all filters again."""
         for f in filters:
             at = getattr(f, "attribute", None)
-            if at and len(at) == 1 and at[0] in ("_row", "i0"):
+            if at and len(at) == 1 and re.fullmatch(r"_row|i\d+", at[0]):
+                bound = self.bounds.setdefault("i0" if at[0] == "_row" else at[0], [-np.inf, np.inf])
+                low, high = -np.inf, np.inf
                 if isinstance(f, (GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, f.value)
+                    low = f.value
                 if isinstance(f, (LessThanOrEqual, EqualTo)):
-                    self.high = min(self.high, f.value)
+                    high = f.value
                 if isinstance(f, GreaterThan):
-                    self.low = max(self.low, f.value + 1)
+                    low = f.value + 1
                 if isinstance(f, LessThan):
-                    self.high = min(self.high, f.value - 1)
+                    high = f.value - 1
                 if isinstance(f, In):
-                    self.only = sorted({int(v) for v in f.value if v is not None})
-                    self.low, self.high = max(self.low, min(self.only, default=np.inf)), min(self.high, max(self.only, default=-np.inf))
+                    wanted = sorted({int(v) for v in f.value if v is not None})
+                    low, high = min(wanted, default=np.inf), max(wanted, default=-np.inf)
+                    if at[0] in ("_row", "i0"):
+                        self.only = wanted if self.only is None else sorted(set(self.only) & set(wanted))
+                bound[0], bound[1] = max(bound[0], low), min(bound[1], high)
             yield f
 
+    def _runs(self, lo: int, hi: int, gap: int) -> list[tuple[int, int]]:
+        """Runs of rows that filters leave of rows lo .. hi - 1 (counted through all files); gaps of up to ``gap`` rows are read over."""
+        low, high = self.bounds.get("i0", (-np.inf, np.inf))
+        a, b = max(lo, int(low) if low > lo else lo), min(hi, int(high) + 1 if high < hi else hi)
+        if a >= b or low > high:
+            return []
+        if self.only is None:
+            return [(a, b)]
+        some = np.array(self.only[bisect_left(self.only, a) : bisect_left(self.only, b)], np.int64)
+        return [(int(r[0]), int(r[-1]) + 1) for r in np.split(some, np.flatnonzero(np.diff(some) > gap) + 1) if len(r)]
+
     def partitions(self):
         out, base = [], 0
         for path in storage.paths_of(self.options["path"]):
             with storage.open_read(path, self.options.get("remote")) as f:
                 unit = unit_of(L.walk(f, flag(self.options, "lenient", False)), self.options)
             count, size, step = extent(unit)
+            box = None
+            if unit.kind in ("image", "zimage"):
+                ends = [(n, *self.bounds.get(f"i{k}", (-np.inf, np.inf))) for k, n in enumerate(unit.shape[1:], 1)]
+                box = tuple((int(max(0, low)) if low < n else n, int(min(n - 1, high)) + 1 if high >= 0 else 0) for n, low, high in ends)
             room = PACKED_BYTES if unit.kind in ("zimage", "ztable") else PARTITION_BYTES
             lots = int(self.options.get("rowsperpartition", 0)) or max(1, room // max(1, size))
             lots = max(step, lots // step * step)
             for lo in range(0, count, lots):
-                hi = min(count, lo + lots)
-                low, high = max(self.low, base + lo), min(self.high, base + hi - 1)
-                if low > high or self.only is not None and not any(base + lo <= v < base + hi for v in self.only):
-                    continue
-                out.append(Part(path, lo, hi, base, self.low, self.high))
+                runs = self._runs(base + lo, base + min(count, lo + lots), max(step, GAP_BYTES // max(1, size)))
+                if runs:
+                    out.append(Part(path, [(a - base, b - base) for a, b in runs], base, box))
             base += count
-        return out or [Part("", 0, 0, 0, 0, 0)]
+        return out or [Part("", [], 0, None)]
 
     def read(self, part: Part):
         if not part.path:
@@ -117,9 +142,8 @@ class FitsReader(DataSourceReader):
         options = self.options
         with storage.open_read(part.path, options.get("remote")) as f:
             unit = unit_of(L.walk(f, flag(options, "lenient", False)), options)
-            lo = part.lo if part.low == -np.inf else max(part.lo, int(part.low) - part.base)
-            hi = part.hi if part.high == np.inf else min(part.hi, int(part.high) - part.base + 1)
-            yield from batches(f, unit, lo, hi, part.base, options)
+            for lo, hi in part.runs:
+                yield from batches(f, unit, lo, hi, part.base, options, part.box)
 
 
 def unit_of(units: list[L.Unit], options) -> L.Unit:
@@ -161,15 +185,15 @@ def schema_of(unit: L.Unit, options) -> T.StructType:
     raise ValueError(f"HDU {unit.index} holds no table or image")
 
 
-def batches(f, unit: L.Unit, lo: int, hi: int, base: int, options):
-    """Arrow batches of rows lo .. hi - 1."""
+def batches(f, unit: L.Unit, lo: int, hi: int, base: int, options, box=None):
+    """Arrow batches of rows lo .. hi - 1; box: bounds on an image's other axes."""
     if hi <= lo:
         return
     scale, mask, names = flag(options, "scale", True), flag(options, "maskNull", False), column_list(options)
     if unit.kind in ("image", "zimage"):
         from ..functions import images
 
-        yield from images.batches(f, unit, lo, hi, base, scale, mask)
+        yield from images.batches(f, unit, lo, hi, base, scale, mask, box)
     elif unit.kind == "ascii":
         from ..functions import ascii_table
 

@@ -372,3 +372,57 @@ def test_streamed_batches_run_again_and_restart(spark, tmp_path):
         assert keys() == list(range(16))
     TiledSink(folder, "k", 6)(spark.createDataFrame([(k,) for k in range(16, 22)], "k long"), 4)
     assert keys() == list(range(22))
+
+
+def counted(monkeypatch, module, name):
+    """How often, and with what, a function of a module is called in this process."""
+    calls, real = [], getattr(module, name)
+
+    def call(*a, **k):
+        calls.append(a)
+        return real(*a, **k)
+
+    monkeypatch.setattr(module, name, call)
+    return calls
+
+
+def test_filters_choose_tiles_and_runs(spark, tmp_path, monkeypatch, numbers):
+    import numpy as np
+
+    from skylattice.functions import tiles
+    from skylattice.functions.codecs import Codec
+    from skylattice.operators.images import write_compressed
+    from skylattice.sources import fits
+
+    shape, path = (30, 20, 10), str(tmp_path / "z.fits")
+    pixels = spark.range(6000).select(F.expr("id div 200").alias("i0"), F.expr("(id div 10) % 20").alias("i1"), (F.col("id") % 10).alias("i2"), F.col("id").cast("int").alias("value"))
+    write_compressed(pixels, path, shape, "i4", Codec("RICE_1", tile_shape=(7, 6, 4)))
+    want = np.arange(6000).reshape(shape)
+    got = tables.read(spark, path, 1).filter("i0 >= 8 AND i0 < 13 AND i1 = 13 AND i2 > 4").orderBy("i0", "i1", "i2").collect()
+    assert [r["value"] for r in got] == want[8:13, 13, 5:].reshape(-1).tolist()
+    reader = fits.FitsReader({"path": path, "hdu": "1"}, None)
+    list(reader.pushFilters([fits.GreaterThanOrEqual(("i0",), 8), fits.LessThan(("i0",), 13), fits.EqualTo(("i1",), 13), fits.GreaterThan(("i2",), 4)]))
+    calls = counted(monkeypatch, tiles, "decode_tiles")
+    rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert rows == 25 and sum(len(c[2]) for c in calls) == 2  # one tile of 4 x 3 lines across, two along the last axis
+    none = fits.FitsReader({"path": path, "hdu": "1"}, None)
+    list(none.pushFilters([fits.EqualTo(("i1",), 99)]))
+    assert sum(b.num_rows for p in none.partitions() for b in none.read(p)) == 0
+    listed = fits.FitsReader({"path": numbers}, None)
+    monkeypatch.setattr(fits, "GAP_BYTES", 1)
+    list(listed.pushFilters([fits.In(("_row",), (900, 3, 5, 4, 1500))]))
+    parts = listed.partitions()
+    assert [p.runs for p in parts] == [[(3, 6), (900, 901)]] and sum(b.num_rows for p in parts for b in listed.read(p)) == 4
+    plan = select.listed_rows(tables.read(spark, numbers), [900, 3, 900], 1000)
+    assert {r["k"] for r in plan.collect()} == {3, 900}
+
+
+def test_ascii_numbers_of_all_forms(spark, hand):
+    texts = [b"  +12", b"-0007", b"     ", b"  -99", b"00042"]
+    reals = [b" 1.5E+02", b"+2.5d-1 ", b"        ", b"    -.5 ", b"     7. "]
+    path = hand(["TBCOL1  = 1", "TBCOL2  = 6", "TNULL1  = '-99'"], [a + b for a, b in zip(texts, reals, strict=True)], "TABLE", ("I5", "D8.2"))
+    for mask, missing in ((True, None), (False, 0)):
+        rows = tables.read(spark, path, 1, maskNull=mask).collect()
+        assert [(r["col1"], r["col2"]) for r in rows] == [(12, 150.0), (-7, 0.25), (0, 0.0), (missing, -0.5), (42, 7.0)]
+    with pytest.raises(Exception, match="Failed to parse"):
+        tables.read(spark, hand(["TBCOL1  = 1"], [b"12x"], "TABLE", ("I3",)), 1).collect()
