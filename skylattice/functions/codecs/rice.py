@@ -1,7 +1,7 @@
 """Rice coding of integers: differences in blocks, each split into a unary part and low bits.
 
 The encoder places all codes of a tile at once by their lengths; the decoder goes through many tiles in step, one
-pixel of each at a time.
+pixel of each at a time, and through few tiles by a loop that only finds where codes begin.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import numpy as np
 #: Fixed values, by bytes of a pixel: bits of a block's split code, and the split that means differences stored whole.
 SPLIT_BITS = {1: 3, 2: 4, 4: 5, 8: 6}
 WHOLE = {1: 6, 2: 14, 4: 25, 8: 53}
+#: Tiles from which on all are decoded in step; fewer are decoded one by one.
+IN_STEP = 300
 
 
 def _ones(lengths: np.ndarray) -> np.ndarray:
@@ -79,12 +81,78 @@ def decode_many(parts: list[bytes], counts: np.ndarray, kind: np.dtype, blocksiz
     live = np.flatnonzero(counts > 0)
     if not len(live):
         return out
+    if len(live) < IN_STEP:
+        for i in live:
+            out[i][:] = _decode_long(parts[i], int(counts[i]), width, whole, head, blocksize).astype(f"u{size}").view(kind)
+        return out
     lots = [live[i : i + 2048] for i in range(0, len(live), 2048)]
     for lot in lots:
         _decode_lot([parts[i] for i in lot], counts[lot].astype(np.int64), [out[i] for i in lot], width, whole, head, blocksize)
     return out
 
 
+def _decode_long(part: bytes, n: int, width: int, whole: int, head: int, blocksize: int) -> np.ndarray:
+    """One tile. Where codes begin follows from the code before, so a loop finds each code's set bit; all else is array operations."""
+    raw = np.concatenate([np.frombuffer(part, np.uint8), np.zeros(16, np.uint8)])
+    end = 8 * len(part)
+    bits = np.unpackbits(raw[: len(part)])
+    following = np.where(bits, np.arange(end, dtype=np.int64), end)
+    following = np.minimum.accumulate(following[::-1])[::-1].tolist()  # the next set bit from each place
+    words = np.zeros(len(raw) - 8, np.uint64)
+    for k in range(8):
+        words |= raw[k : len(words) + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    at, tops, splits, begins = width, [], [], []
+    blocks = range(0, n, blocksize)
+    try:
+        for first in blocks:
+            split = (int.from_bytes(part[at >> 3 : (at >> 3) + 2].ljust(2, b"\0"), "big") >> (16 - head - (at & 7)) & (1 << head) - 1) - 1  # a head is 6 bits at most
+            at += head
+            size = min(blocksize, n - first)
+            splits.append(split)
+            begins.append(at)
+            if split < 0:
+                continue
+            if split >= whole:
+                at += width * size
+                continue
+            skip = 1 + split
+            for _ in range(size):
+                top = following[at]
+                tops.append(top)
+                at = top + skip
+    except IndexError:
+        at = end + 1
+    if at > end:
+        raise ValueError("a Rice tile ends inside a code")
+
+    def take(place, count):
+        """``count`` bits (57 at most, or none) at each place."""
+        count = np.asarray(count, np.uint64)
+        got = words[place >> 3] << (place & 7).astype(np.uint64)
+        return np.where(count > 0, got >> (np.uint64(64) - np.maximum(count, 1)), np.uint64(0))
+
+    split = np.repeat(np.array(splits), blocksize)[:n]
+    begin = np.repeat(np.array(begins), blocksize)[:n]
+    inside = np.arange(n) % blocksize
+    diff = np.zeros(n, np.uint64)
+    coded = (split >= 0) & (split < whole)
+    if coded.any():
+        top, low = np.array(tops, np.int64), split[coded]
+        start = np.concatenate([[0], top[:-1] + 1 + low[:-1]])
+        start = np.where(inside[coded] == 0, begin[coded], start)
+        diff[coded] = ((top - start).astype(np.uint64) << low.astype(np.uint64)) | take(np.minimum(top + 1, end), low)
+    plain = split >= whole
+    if plain.any():
+        place = begin[plain] + inside[plain] * width
+        half = np.full(len(place), min(width, 32))
+        value = take(place, half)
+        diff[plain] = value if width <= 32 else (value << np.uint64(32)) | take(place + 32, half)
+    step = np.where(diff & np.uint64(1), ~(diff >> np.uint64(1)), diff >> np.uint64(1))
+    zero = np.zeros(1, np.int64)
+    first = take(zero, [min(width, 32)]) if width <= 32 else (take(zero, [32]) << np.uint64(32)) | take(zero + 32, [32])
+    return (np.cumsum(step, dtype=np.uint64) + first[0]) & np.uint64((1 << width) - 1)
+
+
 def _decode_lot(parts, counts, out, width, whole, head, blocksize) -> None:
     starts = np.cumsum([0] + [len(p) + 16 for p in parts])
     data = np.zeros(int(starts[-1]) + 16, np.uint8)

@@ -38,6 +38,8 @@ from . import storage
 PARTITION_BYTES, PACKED_BYTES, BATCH_BYTES = 32 << 20, 4 << 20, 4 << 20
 #: Bytes between two rows of a list that are read over rather than sought past.
 GAP_BYTES = 1 << 16
+#: Rows from which on a batch goes out alone.
+BATCH_ROWS = 1000
 
 
 def flag(options, name: str, default: bool) -> bool:
@@ -142,8 +144,20 @@ class FitsReader(DataSourceReader):
         options = self.options
         with storage.open_read(part.path, options.get("remote")) as f:
             unit = unit_of(L.walk(f, flag(options, "lenient", False)), options)
+            waiting: list[pa.RecordBatch] = []
             for lo, hi in part.runs:
-                yield from batches(f, unit, lo, hi, part.base, options, part.box)
+                for batch in batches(f, unit, lo, hi, part.base, options, part.box):
+                    waiting.append(batch)
+                    if sum(b.num_rows for b in waiting[-2:]) >= BATCH_ROWS or len(waiting) >= 1000:  # short runs share a batch
+                        yield from together(waiting)
+                        waiting = []
+            yield from together(waiting)
+
+
+def together(waiting: list[pa.RecordBatch]):
+    if len(waiting) > 1:
+        waiting = pa.Table.from_batches(waiting).combine_chunks().to_batches()
+    yield from waiting
 
 
 def unit_of(units: list[L.Unit], options) -> L.Unit:
@@ -203,7 +217,7 @@ def batches(f, unit: L.Unit, lo: int, hi: int, base: int, options, box=None):
 
         yield from ztable.batches(f, unit, lo, hi, base, names, scale, mask)
     else:
-        yield from table_batches(f, L.parse_table(unit), lo, hi, base, names, scale, mask, flag(options, "asBytes", False))
+        yield from table_batches(f, unit.table, lo, hi, base, names, scale, mask, flag(options, "asBytes", False))
 
 
 def heap_cells(f, table: L.Table, c: L.Column, descriptors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

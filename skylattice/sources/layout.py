@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import prod
 
 import numpy as np
@@ -29,6 +30,11 @@ class Unit:
     data_offset: int
     data_size: int
 
+    @cached_property
+    def table(self) -> Table:
+        """The unit's columns, parsed once."""
+        return parse_table(self)
+
     @property
     def padded(self) -> int:
         return self.data_size + -self.data_size % BLOCK

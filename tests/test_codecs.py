@@ -18,6 +18,24 @@ def test_rice_round_trip(kind, values, block):
     assert rice.decode_many([rice.encode(x, block)], np.array([len(x)]), np.dtype(kind), block)[0].tolist() == x.tolist()
 
 
+@given(st.sampled_from(KINDS), st.integers(1, 400), st.integers(0, 31), st.sampled_from([8, 16, 32, 100]), st.integers(0, 1 << 30))
+@settings(max_examples=150, deadline=None)
+def test_rice_one_by_one_and_in_step_agree(kind, n, bits, block, seed):
+    rng = np.random.default_rng(seed)
+    info = np.iinfo(kind)
+    x = np.clip(rng.integers(-(1 << bits), (1 << bits) + 1, n), info.min, info.max)
+    x[: n // 3] = x[0]  # blocks without differences
+    x = x.astype(kind)
+    data = rice.encode(x, block)
+    with pytest.MonkeyPatch.context() as patch:
+        for least in (1, 300):
+            patch.setattr(rice, "IN_STEP", least)
+            assert np.array_equal(rice.decode_many([data], np.array([n]), np.dtype(kind), block)[0], x)
+        if len(data) > 8:
+            with pytest.raises(ValueError, match="ends inside"):
+                rice.decode_many([data[: len(data) // 2]], np.array([n]), np.dtype(kind), block)
+
+
 def test_rice_of_many_tiles_in_step():
     rng = np.random.default_rng(1)
     tiles = [(rng.normal(0, 10**k, n)).astype("i4") for k, n in ((0, 1), (1, 33), (3, 500), (5, 64), (8, 40), (0, 100))] + [np.zeros(70, "i4"), np.full(5, -(2**31), "i4")]
