@@ -199,43 +199,58 @@ def encode_tile(tile: np.ndarray, codec: Codec, quantised: Q.Quantize | None, ro
     return {"data": encode(tile, codec, tile.shape)}
 
 
-def tile_unit(shape: tuple[int, ...], tile: tuple[int, ...], kind: np.dtype, codec: Codec, quantised: Q.Quantize | None, rows: list[dict], zero: int = 0, extname: str | None = None, blank: int | None = None, header: dict | None = None) -> bytes:
-    """A compressed image's unit from its encoded tiles in order."""
-    floats = quantised is not None
-    names = [("COMPRESSED_DATA", "1PB(%d)")] + ([("GZIP_COMPRESSED_DATA", "1PB(%d)"), ("ZSCALE", "1D"), ("ZZERO", "1D")] if floats else [])
-    heap, main = bytearray(), bytearray()
-    longest = {"COMPRESSED_DATA": 0, "GZIP_COMPRESSED_DATA": 0}
-    for r in rows:
-        for name, key in (("COMPRESSED_DATA", "data"), ("GZIP_COMPRESSED_DATA", "fallback")):
-            if name == "COMPRESSED_DATA" or floats:
-                data = r.get(key, b"")
-                main += np.array([len(data), len(heap) if data else 0], ">i4").tobytes()
-                heap += data
-                longest[name] = max(longest[name], len(data))
-        if floats:
-            main += np.array([r.get("scale", 0.0), r.get("zero", 0.0)], ">f8").tobytes()
-    if len(heap) >= 1 << 31:
-        raise ValueError("the heap outgrows 32-bit descriptors")
-    h = Header()
-    puts = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", len(main) // max(1, len(rows))), ("NAXIS2", len(rows)), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(names))]
-    for k, (name, form) in enumerate(names, 1):
-        puts += [(f"TTYPE{k}", name), (f"TFORM{k}", form % longest[name] if "%" in form else form)]
-    puts += [("ZIMAGE", True), ("ZCMPTYPE", codec.name), ("ZBITPIX", BITPIX[kind.str.lstrip("<>|=")]), ("ZNAXIS", len(shape))]
-    puts += [(f"ZNAXIS{k}", n) for k, n in enumerate(reversed(shape), 1)] + [(f"ZTILE{k}", n) for k, n in enumerate(reversed(tile), 1)]
-    if codec.name == "HCOMPRESS_1":
-        puts += [("ZNAME1", "SCALE"), ("ZVAL1", codec.scale), ("ZNAME2", "SMOOTH"), ("ZVAL2", int(codec.smooth))]
-    if codec.name == "RICE_1":
-        puts += [("ZNAME1", "BLOCKSIZE"), ("ZVAL1", codec.blocksize), ("ZNAME2", "BYTEPIX"), ("ZVAL2", 4 if floats else kind.itemsize)]
-    if floats:
-        puts += [("ZQUANTIZ", quantised.zquantiz), ("ZDITHER0", max(1, quantised.seed)), ("ZBLANK", Q.NULL)]
-    elif blank is not None:
-        puts.append(("ZBLANK", blank))
-    if zero:
-        puts += [("BSCALE", 1), ("BZERO", zero)]
-    if extname:
-        puts.append(("EXTNAME", extname))
-    for k, v in puts:
-        h.put(k, v)
-    h.update(header or {})
-    raw = bytes(main) + bytes(heap)
-    return h.to_bytes() + raw + bytes(-len(raw) % 2880)
+class Unit:
+    """A compressed image's unit, made tile by tile in order: bytes go to its heap one after another, and only descriptors are kept."""
+
+    def __init__(self, shape: tuple[int, ...], tile: tuple[int, ...], kind: np.dtype, codec: Codec, quantised: Q.Quantize | None):
+        self.shape, self.tile, self.kind, self.codec, self.quantised = shape, tile, kind, codec, quantised
+        self.floats = quantised is not None
+        self.main, self.heap, self.tiles, self.longest = bytearray(), 0, 0, {"data": 0, "fallback": 0}
+
+    def add(self, encoded: dict) -> bytes:
+        """The heap's bytes of the next tile, as encode_tile() gives it."""
+        out = b""
+        for key in ("data", "fallback") if self.floats else ("data",):
+            data = encoded.get(key) or b""
+            self.main += np.array([len(data), self.heap if data else 0], ">i8").tobytes()
+            self.heap += len(data)
+            self.longest[key] = max(self.longest[key], len(data))
+            out += data
+        if self.floats:
+            self.main += np.array([encoded.get("scale") or 0.0, encoded.get("zero") or 0.0], ">f8").tobytes()
+        self.tiles += 1
+        return out
+
+    def chunks(self, heap, zero: int = 0, extname: str | None = None, blank: int | None = None, header: dict | None = None):
+        """The unit's bytes. heap: what add() gave, in order. Descriptors are of 32 bits where the heap allows."""
+        letter, narrow = ("P", ">i4") if self.heap < 1 << 31 else ("Q", ">i8")
+        pairs = 2 if self.floats else 1
+        rows = np.frombuffer(bytes(self.main), np.uint8).reshape(self.tiles, -1)
+        places = np.ascontiguousarray(rows[:, : 16 * pairs]).view(">i8").astype(narrow)
+        main = np.concatenate([np.ascontiguousarray(places).view(np.uint8).reshape(self.tiles, -1), rows[:, 16 * pairs :]], axis=1)
+        names = [("COMPRESSED_DATA", f"1{letter}B({self.longest['data']})")] + ([("GZIP_COMPRESSED_DATA", f"1{letter}B({self.longest['fallback']})"), ("ZSCALE", "1D"), ("ZZERO", "1D")] if self.floats else [])
+        codec, h = self.codec, Header()
+        puts = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", main.shape[1]), ("NAXIS2", self.tiles), ("PCOUNT", self.heap), ("GCOUNT", 1), ("TFIELDS", len(names))]
+        for k, (name, form) in enumerate(names, 1):
+            puts += [(f"TTYPE{k}", name), (f"TFORM{k}", form)]
+        puts += [("ZIMAGE", True), ("ZCMPTYPE", codec.name), ("ZBITPIX", BITPIX[self.kind.str.lstrip("<>|=")]), ("ZNAXIS", len(self.shape))]
+        puts += [(f"ZNAXIS{k}", n) for k, n in enumerate(reversed(self.shape), 1)] + [(f"ZTILE{k}", n) for k, n in enumerate(reversed(self.tile), 1)]
+        if codec.name == "HCOMPRESS_1":
+            puts += [("ZNAME1", "SCALE"), ("ZVAL1", codec.scale), ("ZNAME2", "SMOOTH"), ("ZVAL2", int(codec.smooth))]
+        if codec.name == "RICE_1":
+            puts += [("ZNAME1", "BLOCKSIZE"), ("ZVAL1", codec.blocksize), ("ZNAME2", "BYTEPIX"), ("ZVAL2", 4 if self.floats else self.kind.itemsize)]
+        if self.floats:
+            puts += [("ZQUANTIZ", self.quantised.zquantiz), ("ZDITHER0", max(1, self.quantised.seed)), ("ZBLANK", Q.NULL)]
+        elif blank is not None:
+            puts.append(("ZBLANK", blank))
+        if zero:
+            puts += [("BSCALE", 1), ("BZERO", zero)]
+        if extname:
+            puts.append(("EXTNAME", extname))
+        for k, v in puts:
+            h.put(k, v)
+        h.update(header or {})
+        yield h.to_bytes()
+        yield main.tobytes()
+        yield from heap
+        yield bytes(-(main.size + self.heap) % 2880)

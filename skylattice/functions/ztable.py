@@ -127,33 +127,46 @@ def encode_tile(batch: pa.RecordBatch, columns: list[L.Column], codecs: dict[str
     return out
 
 
-def table_unit(tiles: list[list[tuple[bytes, list]]], columns: list[L.Column], codecs: dict[str, Codec], rows: int, tile: int, plain: Header) -> bytes:
-    """A compressed table's unit. plain: the header it has uncompressed."""
-    main, heap, own_heap = bytearray(), bytearray(), 0
-    for t in tiles:
-        for c, (blob, cells) in zip(columns, t, strict=True):
+class Unit:
+    """A compressed table's unit, made tile by tile: bytes go to its heap one after another, and only descriptors are kept."""
+
+    def __init__(self, columns: list[L.Column], codecs: dict[str, Codec], tile: int):
+        self.columns, self.codecs, self.tile = columns, codecs, tile
+        self.main, self.heap, self.own_heap, self.rows, self.tiles = bytearray(), 0, 0, 0, 0
+
+    def add(self, rows: int, encoded: list[tuple[bytes, list]]):
+        """The heap's bytes of the next tile, as encode_tile() gives it."""
+        self.rows, self.tiles = self.rows + rows, self.tiles + 1
+        for c, (blob, cells) in zip(self.columns, encoded, strict=True):
             if c.inner:
                 mine, packed = [], []
                 for n, data in cells:
-                    mine.append((n, own_heap))
-                    own_heap += int(R.cell_bytes(c.inner, np.array([n]))[0])
-                    packed.append((len(data), len(heap) if data else 0))
-                    heap += data
+                    mine.append((n, self.own_heap))
+                    self.own_heap += int(R.cell_bytes(c.inner, np.array([n]))[0])
+                    packed.append((len(data), self.heap if data else 0))
+                    self.heap += len(data)
+                    yield data
                 blob = encode(np.frombuffer(np.array(mine, ">i4" if c.letter == "P" else ">i8").tobytes() + np.array(packed, ">i8").tobytes(), "u1"), Codec("GZIP_1"))
-            main += np.array([len(blob), len(heap) if blob else 0], ">i8").tobytes()
-            heap += blob
-    h = Header()
-    for k, v in [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 16 * len(columns)), ("NAXIS2", len(tiles)), ("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(columns)), ("ZTABLE", True), ("ZTILELEN", tile), ("ZNAXIS1", sum(c.width for c in columns)), ("ZNAXIS2", rows), ("ZPCOUNT", own_heap)]:
-        h.put(k, v)
-    for k, c in enumerate(columns, 1):
-        h.put(f"TTYPE{k}", c.name)
-        h.put(f"TFORM{k}", "1QB")
-        h.put(f"ZFORM{k}", c.format)
-        h.put(f"ZCTYP{k}", codecs[c.name].name)
-        for card in ("TDIM", "TSCAL", "TZERO", "TNULL", "TUNIT"):
-            if f"{card}{k}" in plain:
-                h.put(f"{card}{k}", plain[f"{card}{k}"])
-    if "EXTNAME" in plain:
-        h.put("EXTNAME", plain["EXTNAME"])
-    raw = bytes(main) + bytes(heap)
-    return h.to_bytes() + raw + bytes(-len(raw) % 2880)
+            self.main += np.array([len(blob), self.heap if blob else 0], ">i8").tobytes()
+            self.heap += len(blob)
+            yield blob
+
+    def chunks(self, plain: Header, heap):
+        """The unit's bytes. plain: the header it has uncompressed; heap: what add() gave, in order."""
+        columns, h = self.columns, Header()
+        for k, v in [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 16 * len(columns)), ("NAXIS2", self.tiles), ("PCOUNT", self.heap), ("GCOUNT", 1), ("TFIELDS", len(columns)), ("ZTABLE", True), ("ZTILELEN", self.tile), ("ZNAXIS1", sum(c.width for c in columns)), ("ZNAXIS2", self.rows), ("ZPCOUNT", self.own_heap)]:
+            h.put(k, v)
+        for k, c in enumerate(columns, 1):
+            h.put(f"TTYPE{k}", c.name)
+            h.put(f"TFORM{k}", "1QB")
+            h.put(f"ZFORM{k}", c.format)
+            h.put(f"ZCTYP{k}", self.codecs[c.name].name)
+            for card in ("TDIM", "TSCAL", "TZERO", "TNULL", "TUNIT"):
+                if f"{card}{k}" in plain:
+                    h.put(f"{card}{k}", plain[f"{card}{k}"])
+        if "EXTNAME" in plain:
+            h.put("EXTNAME", plain["EXTNAME"])
+        yield h.to_bytes()
+        yield bytes(self.main)
+        yield from heap
+        yield bytes(-(len(self.main) + self.heap) % 2880)

@@ -16,7 +16,10 @@ from ..functions.codecs import Codec
 from ..functions.forms import primary
 from ..functions.quantize import Quantize
 from ..sources import storage
+from .publish import Publication
 
+#: Bytes of a file of an image's dataset.
+SLAB_BYTES = 32 << 20
 #: numpy's types by name, and the offsets that store the unsigned ones (and signed bytes).
 KINDS = {"u1": ("u1", 0), "i1": ("u1", -128), "i2": ("i2", 0), "u2": ("i2", 1 << 15), "i4": ("i4", 0), "u4": ("i4", 1 << 31), "i8": ("i8", 0), "u8": ("i8", 1 << 63), "f4": ("f4", 0), "f8": ("f8", 0)}
 
@@ -85,16 +88,63 @@ def encode_tiles(pixels: DataFrame, shape: tuple[int, ...], kind: str, codec: Co
     return grouped.applyInArrow(encode, "tile long, data binary, fallback binary, scale double, zero double"), tile
 
 
-def write_compressed(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, codec: Codec, quantise: Quantize | None = None, extname: str | None = None, blank: int | None = None, header: dict | None = None) -> None:
-    """A compressed image. Tiles are encoded on executors; the driver joins their bytes in order, as one file asks."""
+def write_slabs(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, blank: int | None, step: int, unit) -> None:
+    """A dataset of slabs of lines, ``step`` lines or a multiple each. unit: the chunks of a file from a block of stored pixels."""
+    stored, zero = KINDS[kind]
+    out, line = Publication(path), max(1, prod(shape[1:]))
+    lines = max(1, SLAB_BYTES // (line * np.dtype(stored).itemsize * step)) * step
+    # a last slab too short for a codec's tiles joins the one before
+    slabs = max(1, -(-shape[0] // lines))
+    if slabs > 1 and shape[0] - (slabs - 1) * lines < min(step, TL.HCOMPRESS_LEAST):
+        slabs -= 1
+
+    def write(key, table):
+        k = key[0].as_py()
+        first, last = k * lines, shape[0] if k == slabs - 1 else (k + 1) * lines
+        values = table.column("value").to_numpy()
+        if zero:
+            values = np.array([int(v) - zero for v in values], np.int64) if values.dtype == object else values.astype(np.int64) - zero
+        block = np.zeros((last - first) * line, stored)
+        block[table.column("at").to_numpy() - first * line] = in_range(values, stored)
+        storage.write_bytes(out.part(k), unit(block.reshape(last - first, *shape[1:])))
+        return pa.table({"path": pa.array([out.part(k)])})
+
+    rows = pixels.select(flat_place(shape).alias("at"), filled(F.col("value"), kind, blank).alias("value"), F.least(F.expr(f"i0 div {lines}"), F.lit(slabs - 1)).alias("slab"))
+    out.publish(rows.groupBy("slab").applyInArrow(write, "path string"), slabs)
+
+
+def write_compressed(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, codec: Codec, quantise: Quantize | None = None, extname: str | None = None, blank: int | None = None, header: dict | None = None, dataset: bool = False) -> None:
+    """A compressed image. Tiles are encoded on executors; the driver joins their bytes in order, as one file asks.
+
+    dataset: a folder of images of some lines each, of whole tiles, written by tasks; it reads as one image.
+    """
+    if dataset:
+        tile = codec.tile_shape or TL.default_tile(shape, codec)
+        TL.check(codec, np.dtype(KINDS[kind][0]), bool(KINDS[kind][1]), quantise is not None, shape, tile)
+
+        def unit(block: np.ndarray) -> list[bytes]:
+            plan = TL.Tiled(None, None, block.shape, tile, codec, block.dtype, 0, 1, None)
+            made = TL.Unit(block.shape, tile, block.dtype, codec, quantise)
+            heap = [made.add(TL.encode_tile(np.ascontiguousarray(block[plan.box(k)]), codec, quantise, k + 1)) for k in range(prod(plan.grid))]
+            return [primary(), *made.chunks(heap, KINDS[kind][1], extname, blank, header)]
+
+        write_slabs(pixels, path, shape, kind, blank, tile[0], unit)
+        return
     encoded, tile = encode_tiles(pixels, shape, kind, codec, quantise, blank)
-    rows: list[dict] = [{} for _ in range(prod(-(-n // t) for n, t in zip(shape, tile, strict=True)))]
-    for r in encoded.toLocalIterator():
-        rows[r["tile"]] = {k: v for k, v in r.asDict().items() if v is not None and k != "tile"}
-        rows[r["tile"]] = {k: bytes(v) if isinstance(v, bytearray) else v for k, v in rows[r["tile"]].items()}
     stored, zero = KINDS[kind]
-    unit = TL.tile_unit(shape, tile, np.dtype(stored), codec, quantise, rows, zero, extname, blank, header)
-    storage.write_bytes(path, [primary(), unit])
+    made, heap, expected = TL.Unit(shape, tile, np.dtype(stored), codec, quantise), f"{path}.{Publication(path).run}.heap", 0
+    with storage.open_write(heap) as out:
+        for r in encoded.orderBy("tile").toLocalIterator():
+            if r["tile"] != expected:
+                break
+            out.write(made.add({k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.asDict().items() if v is not None}))
+            expected += 1
+    try:
+        if expected != prod(-(-n // t) for n, t in zip(shape, tile, strict=True)):
+            raise ValueError(f"no pixels of tile {expected}")
+        storage.write_bytes(path, chain([primary()], made.chunks(storage.ranges(heap, 0, made.heap), zero, extname, blank, header)))
+    finally:
+        storage.remove(heap)
 
 
 def image_header(shape: tuple[int, ...], kind: str, extname: str | None = None, blank: int | None = None, header: dict | None = None, first: bool = True, scale: tuple[float, float] | None = None) -> Header:
@@ -117,9 +167,23 @@ def image_header(shape: tuple[int, ...], kind: str, extname: str | None = None,
     return h
 
 
-def write_image(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, extname: str | None = None, blank: int | None = None, header: dict | None = None, scale: tuple[float, float] | None = None, first: bool = True) -> None:
-    """A plain image (first: as a primary unit): lines are gathered in order on executors and joined by the driver. With ``scale``, values are physical."""
+def write_image(pixels: DataFrame, path: str, shape: tuple[int, ...], kind: str, extname: str | None = None, blank: int | None = None, header: dict | None = None, scale: tuple[float, float] | None = None, first: bool = True, dataset: bool = False) -> None:
+    """A plain image (first: as a primary unit): lines are gathered in order on executors and joined by the driver. With ``scale``, values are physical.
+
+    dataset: a folder of images of some lines each, written by tasks; it reads as one image.
+    """
     stored, zero = KINDS[kind]
+    if dataset:
+        if scale:
+            pixels = pixels.withColumn("value", (F.col("value") - F.lit(float(scale[1]))) / F.lit(float(scale[0])))
+            pixels = pixels if stored[0] == "f" else pixels.withColumn("value", F.bround("value", 0))
+
+        def unit(block: np.ndarray) -> list[bytes]:
+            data = block.astype(block.dtype.newbyteorder(">")).tobytes()
+            return [image_header(block.shape, kind, extname, blank, header, True, scale).to_bytes(), data, bytes(-len(data) % 2880)]
+
+        write_slabs(pixels, path, shape, kind, blank, 1, unit)
+        return
     value = F.col("value")
     if scale:
         value = (value - F.lit(float(scale[1]))) / F.lit(float(scale[0]))

@@ -348,20 +348,7 @@ class FitsWriter(DataSourceArrowWriter):
         self._clean()
 
     def _clean(self):
-        import os
-        import shutil
-
-        folder = f"{self.path}.parts-{self.run}"
-        if storage.kind_of(folder) in ("local", "file"):
-            folder = storage.from_file_url(folder) if storage.kind_of(folder) == "file" else folder
-            if os.path.isdir(folder):
-                shutil.rmtree(folder, ignore_errors=True)
-        elif storage.kind_of(folder) == "shared":
-            from pyarrow import fs
-
-            where, name = fs.FileSystem.from_uri(folder)
-            if where.get_file_info(name).type == fs.FileType.Directory:
-                where.delete_dir(name)
+        storage.remove_folder(f"{self.path}.parts-{self.run}")
 
 
 def encode_batch(batch: pa.RecordBatch, columns: list[L.Column], heap: int) -> tuple[np.ndarray, bytes]:

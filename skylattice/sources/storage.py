@@ -265,6 +265,20 @@ def remove(path: str) -> None:
         os.remove(from_file_url(path) if kind == "file" else path)
 
 
+def remove_folder(path: str) -> None:
+    """A folder with all that is in it, where it is there."""
+    if kind_of(path) == "shared":
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        if where.get_file_info(name).type == fs.FileType.Directory:
+            where.delete_dir(name)
+        return
+    import shutil
+
+    shutil.rmtree(from_file_url(path) if kind_of(path) == "file" else path, ignore_errors=True)
+
+
 def spool(path: str, folder: str) -> str:
     """A file in memory as one in a folder that workers see too, named by its bytes; any other path as it is."""
     if kind_of(path) != "memory":

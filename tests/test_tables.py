@@ -426,3 +426,24 @@ def test_ascii_numbers_of_all_forms(spark, hand):
         assert [(r["col1"], r["col2"]) for r in rows] == [(12, 150.0), (-7, 0.25), (0, 0.0), (missing, -0.5), (42, 7.0)]
     with pytest.raises(Exception, match="Failed to parse"):
         tables.read(spark, hand(["TBCOL1  = 1"], [b"12x"], "TABLE", ("I3",)), 1).collect()
+
+
+def test_datasets_of_compressed_tables_and_images(spark, tmp_path, monkeypatch):
+    from skylattice.functions.codecs import Codec
+    from skylattice.operators import images
+
+    df = spark.range(95).selectExpr("id as k", "array_repeat(cast(id as int), cast(id % 4 as int)) as v")
+    path = str(tmp_path / "z")
+    for n in (1, 2):
+        write_compressed_table(df, path, "k", tile_rows=30, forms={"v": "1PJ"}, dataset=True)
+        got = tables.read(spark, path).orderBy("_row").collect()
+        assert [r["k"] for r in got] == [*range(95)] * n and got[7]["v"] == [7, 7, 7] and len(storage.paths_of(path)) == 4 * n
+    monkeypatch.setattr(images, "SLAB_BYTES", 400)
+    pixels = spark.range(42 * 11).select(F.expr("id div 11").alias("i0"), (F.col("id") % 11).alias("i1"), F.col("id").cast("int").alias("value"))
+    for name, write in (("plain", images.write_image), ("rice", lambda *a, **k: images.write_compressed(*a, Codec("RICE_1", tile_shape=(4, 5)), **k)), ("hcompress", lambda *a, **k: images.write_compressed(*a, Codec("HCOMPRESS_1", tile_shape=(4, 11)), **k))):
+        path, n = str(tmp_path / name), 42 if name != "hcompress" else 40
+        write(pixels.filter(f"i0 < {n}"), path, (n, 11), "u2" if name != "hcompress" else "i4", dataset=True)
+        got = tables.read(spark, path).orderBy("i0", "i1").collect()
+        assert [tuple(r) for r in got] == [(i // 11, i % 11, i) for i in range(n * 11)] and len(storage.paths_of(path)) > 2
+        assert [r["value"] for r in tables.read(spark, path).filter("i0 = 33 AND i1 > 8").orderBy("i1").collect()] == [33 * 11 + 9, 33 * 11 + 10]
+    assert not [x for x in os.listdir(tmp_path) if "parts" in x]
