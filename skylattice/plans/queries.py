@@ -490,10 +490,11 @@ def image_extend(spark, sf_dir):
 # Catalog
 
 
-@query("hdu_catalog", """SELECT * FROM (VALUES (0, 'image', CAST(NULL AS VARCHAR), 1, CAST([] AS BIGINT[]), false, 2880::BIGINT, 0::BIGINT)) AS t(hdu, kind, extname, extver, shape, has_data, data_offset, data_size)
-  UNION ALL SELECT 1, 'table', 'ORDERS', 1, [count(*)], true, 5760, count(*) * (8 * 4 + max(strlen(o_orderstatus)) + max(strlen(o_orderpriority)))::BIGINT FROM orders""")
+@query("hdu_catalog", """SELECT * FROM (VALUES (0, 'image', CAST(NULL AS VARCHAR), 1, '', false, 2880::BIGINT, 0::BIGINT)) AS t(hdu, kind, extname, extver, shape, has_data, data_offset, data_size)
+  UNION ALL SELECT 1, 'table', 'ORDERS', 1, count(*)::VARCHAR, true, 5760, count(*) * (8 * 4 + max(strlen(o_orderstatus)) + max(strlen(o_orderpriority)))::BIGINT FROM orders""")
 def hdu_catalog(spark, sf_dir):
-    return catalog.hdus(spark, stored(orders(spark, sf_dir), "o_orderkey", extname="ORDERS"))
+    units = catalog.hdus(spark, stored(orders(spark, sf_dir), "o_orderkey", extname="ORDERS"))
+    return units.withColumn("shape", F.array_join("shape", ","))
 
 
 @query("header_cards", """WITH s AS (SELECT count(*) AS n, max(strlen(o_orderstatus)) AS a, max(strlen(o_orderpriority)) AS b FROM orders),
