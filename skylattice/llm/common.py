@@ -15,9 +15,11 @@ LOCAL_SHARED = "/tmp/checkpoints/skylattice"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
         named = LOCAL_SHARED
     return named.rstrip("/")
