@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from contextlib import contextmanager
+from itertools import chain
 from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import tiles as TL
 from .functions.cards import Header
+from .functions.forms import primary
 from .operators import catalog, image_files, mutate, rewrite, select
 from .operators.tables import read as read_table
 from .operators.tables import write_table
@@ -19,6 +21,10 @@ from .sources import layout as L
 from .sources import storage
 
 
+#: Zero bytes that are written at once.
+ZEROS = 16 << 20
+
+
 class Unit:
     """One unit of an open file."""
 
@@ -238,16 +244,44 @@ class TableUnit(Unit):
         self.replace(mutate.set_rows(self.read(), changes, order))
 
     def __setitem__(self, key, value) -> None:
-        """hdu[name] = column expression; hdu[row] = {name: value}."""
-        if isinstance(key, str):
-            self.replace(mutate.set_column(self.read(), select.select_columns(self.read(), [key], ()).columns[0], value))
-        elif isinstance(key, int):
+        """hdu[name] = column expression; hdu[[names]] = {name: expression}; hdu[row, slice or list of rows] = {name: value}, or a
+        DataFrame with ``_pos``, the place in the selection, and columns to set there."""
+        if isinstance(key, (str, bytes)):
+            key, value = [key], {key.decode() if isinstance(key, bytes) else key: value}
+        if isinstance(key, (list, tuple)) and key and all(isinstance(k, (str, bytes)) for k in key):
+            names = Columns(self, list(key)).names
+            if set(value) != set(names):
+                raise ValueError(f"values of {names}")
             df = self.read()
-            for name, v in value.items():
-                df = mutate.set_where(df, name, F.col("_row") == key % len(self), v)
-            self.replace(df)
+            for n in names:
+                df = mutate.set_column(df, select.select_columns(df, [n], ()).columns[0], value[n])
+            return self.replace(df)
+        n = len(self)
+        if isinstance(key, int) and not isinstance(key, bool):
+            rows: range | list[int] = [key]
+        elif isinstance(key, slice):
+            rows = range(*key.indices(n))
+        elif isinstance(key, (list, tuple)) and key and all(isinstance(k, int) and not isinstance(k, bool) for k in key):
+            rows = list(key)
         else:
-            raise ValueError("use set_rows for several rows")
+            raise ValueError("rows by numbers or columns by names")
+        if not len(rows):
+            raise ValueError("no rows chosen")
+        if any(not -n <= r < n for r in (rows if isinstance(rows, list) else (rows[0], rows[-1]))):
+            raise IndexError("a row outside of the table")
+        if isinstance(value, DataFrame):
+            if isinstance(rows, range):
+                at = (F.col("_pos") * rows.step + rows.start).cast("long")
+            else:  # of a row that is listed twice the last value counts
+                at = F.element_at(F.array(*(F.lit(r % n).cast("long") for r in rows)), (F.col("_pos") + 1).cast("int"))
+            if value.filter((F.col("_pos") < 0) | (F.col("_pos") >= len(rows))).limit(1).count():
+                raise ValueError(f"the selection has {len(rows)} rows")
+            return self.replace(mutate.set_rows(self.read(), value.withColumn("_row", at), "_pos"))
+        here = (F.col("_row").between(min(rows), max(rows)) & (F.pmod(F.col("_row") - rows.start, F.lit(abs(rows.step))) == 0)) if isinstance(rows, range) else F.col("_row").isin([r % n for r in rows])
+        df = self.read()
+        for name, v in value.items():
+            df = mutate.set_where(df, select.select_columns(df, [name], ()).columns[0], here, v)
+        self.replace(df)
 
     def insert_column(self, name: str, value, **place) -> None:
         self.replace(mutate.insert_column(self.read(), name, value, **place))
@@ -465,6 +499,43 @@ class FITS:
         self._splice(part, len(self._units), len(self._units))
         return self[-1]
 
+    def _put_new(self, header: Header, size: int) -> Unit:
+        """A new last unit whose data are ``size`` zero bytes."""
+        part = f"{self._part_base()}.new.fits"
+        first = [] if header.get("SIMPLE") is not None else [primary()]
+        zeros = (bytes(min(ZEROS, size + -size % 2880 - at)) for at in range(0, size + -size % 2880, ZEROS))
+        storage.write_bytes(part, chain(first, [header.to_bytes()], zeros))
+        self._splice(part, len(self._units), len(self._units))
+        return self[-1]
+
+    def create_image(self, shape: tuple[int, ...], kind: str, compress=None, quantize=None, extname: str | None = None, blank: int | None = None, header: dict | None = None) -> Unit:
+        """An image whose stored bytes are zeros; its slowest axis may have no lines yet. A compressed one holds pixels of 0."""
+        from .operators.images import KINDS, image_header
+
+        self._writable()
+        if any(n <= 0 for n in shape[1:]) or shape and shape[0] < 0:
+            raise ValueError("axes but the slowest hold pixels")
+        if compress is not None:
+            pixels, rest = self.spark.range(prod(shape)), F.col("id")
+            for k in range(len(shape) - 1, -1, -1):
+                pixels, rest = pixels.withColumn(f"i{k}", F.pmod(rest, F.lit(shape[k]))), F.floor(rest / shape[k])
+            return self.write_image(pixels.select(*(f"i{k}" for k in range(len(shape))), F.lit(0).alias("value")), shape, kind, compress, quantize, extname, blank=blank, header=header)
+        import numpy as np
+
+        return self._put_new(image_header(shape, kind, extname, blank, header, not self._units), prod(shape) * np.dtype(KINDS[kind][0]).itemsize if shape else 0)
+
+    def create_table(self, schema, rows: int = 0, forms: dict | None = None, units: dict | None = None, extname: str | None = None, header: dict | None = None) -> Unit:
+        """A table of ``rows`` rows of zero bytes, with the columns of a Spark schema (or its DDL)."""
+        from pyspark.sql.types import StructType
+
+        from .functions.forms import columns_for, table_header
+
+        self._writable()
+        if rows < 0:
+            raise ValueError("a table has no less than no rows")
+        columns = columns_for(StructType.fromDDL(schema) if isinstance(schema, str) else schema, forms, units)
+        return self._put_new(table_header(columns, rows, 0, extname, header), rows * sum(c.width for c in columns))
+
     def write_image(self, pixels: DataFrame, shape: tuple[int, ...], kind: str, compress=None, quantize=None, extname: str | None = None, **more) -> Unit:
         from .operators.images import write_compressed, write_image
 

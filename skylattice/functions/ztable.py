@@ -59,8 +59,6 @@ def blobs(f, table: L.Table, tile: int, columns: list[L.Column]) -> dict[str, by
 def batches(f, unit: L.Unit, lo: int, hi: int, base: int, names, scale: bool, mask: bool):
     """Only tiles with rows lo .. hi - 1 and only chosen columns are fetched and decoded."""
     table = L.parse_table(unit)
-    if mask:
-        raise NotImplementedError("nulls of compressed tables aren't masked")
     columns = table.chosen(names)
     last_tile = -(-hi // table.tile)
     together = max(1, BATCH_ROWS // table.tile)
@@ -73,15 +71,15 @@ def batches(f, unit: L.Unit, lo: int, hi: int, base: int, names, scale: bool, ma
         out = [pa.array(np.arange(base + a, base + b))]
         for c in columns:
             if c.inner:
-                parts = [variable_column(f, table, c, g[c.name], n, scale) for g, n in zip(got, sizes, strict=True)]
+                parts = [variable_column(f, table, c, g[c.name], n, scale, mask) for g, n in zip(got, sizes, strict=True)]
                 out.append(pa.concat_arrays(parts).slice(a - first, b - a))
             else:
                 raw = unpack_tiles(c, [g[c.name] for g in got], sizes)[a - first : b - first]
-                out.append(R.fixed(np.ascontiguousarray(raw), c, scale, False, False))
+                out.append(R.fixed(np.ascontiguousarray(raw), c, scale, mask, False))
         yield pa.RecordBatch.from_arrays(out, names=["_row", *(c.name for c in columns)])
 
 
-def variable_column(f, table: L.Table, c: L.Column, blob: bytes, n: int, scale: bool) -> pa.Array:
+def variable_column(f, table: L.Table, c: L.Column, blob: bytes, n: int, scale: bool, mask: bool = False) -> pa.Array:
     """A variable-length column's tile: two lists of descriptors (of the table's own heap, and of compressed cells), gzipped."""
     raw = gunzip(blob)
     own = 8 if c.letter == "P" else 16
@@ -100,7 +98,7 @@ def variable_column(f, table: L.Table, c: L.Column, blob: bytes, n: int, scale:
         parts.append(np.frombuffer(data, np.uint8))
     heap = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
     size = R.cell_bytes(c.inner, counts)
-    return R.variable(counts, heap, np.cumsum(size) - size, c, scale, False, False)
+    return R.variable(counts, heap, np.cumsum(size) - size, c, scale, mask, False)
 
 
 def encode_tile(batch: pa.RecordBatch, columns: list[L.Column], codecs: dict[str, Codec]) -> list[tuple[bytes, list[bytes]]]:

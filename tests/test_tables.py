@@ -447,3 +447,52 @@ def test_datasets_of_compressed_tables_and_images(spark, tmp_path, monkeypatch):
         assert [tuple(r) for r in got] == [(i // 11, i % 11, i) for i in range(n * 11)] and len(storage.paths_of(path)) > 2
         assert [r["value"] for r in tables.read(spark, path).filter("i0 = 33 AND i1 > 8").orderBy("i1").collect()] == [33 * 11 + 9, 33 * 11 + 10]
     assert not [x for x in os.listdir(tmp_path) if "parts" in x]
+
+
+def test_setting_rows_by_any_key(spark, tmp_path):
+    path = str(tmp_path / "s.fits")
+    with FITS(spark, path, "w+") as f:
+        f.write_table(spark.range(10).selectExpr("id as k", "id * 2 as v"), "k")
+        u, want = f[1], [2 * i for i in range(10)]
+        u[1:8:3] = {"V": -1}
+        want[1:8:3] = [-1] * 3
+        u[[0, -1]] = {"v": 7}
+        want[0] = want[-1] = 7
+        u[9:4:-2] = spark.createDataFrame([(0, 90), (1, 70), (2, 50)], "_pos long, v long")
+        want[9:4:-2] = [90, 70, 50]
+        u[[3, 3, 2]] = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "_pos long, v long")
+        want[3], want[2] = 2, 3
+        assert [r["v"] for r in u.read().orderBy("_row").collect()] == want
+        u[["v", "k"]] = {"v": F.col("k") + 100, "k": F.col("_row") * 3}
+        assert [tuple(r) for r in u.read().orderBy("_row").collect()] == [(i, 3 * i, i + 100) for i in range(10)]
+        for key, value, why in ((slice(4, 4), {"v": 1}, ValueError), ([10], {"v": 1}, IndexError), (["v"], {"k": 1}, ValueError), (slice(0, 1), spark.createDataFrame([(1, 1)], "_pos long, v long"), ValueError), (1.5, {"v": 1}, ValueError)):
+            with pytest.raises(why):
+                u[key] = value
+
+
+def test_created_units_hold_zeros(spark, tmp_path):
+    from skylattice.functions.codecs import Codec
+
+    with FITS(spark, str(tmp_path / "c.fits"), "w+") as f:
+        f.create_image((0, 5), "i2", extname="GROWS", header={"OBS": "me"})
+        f.create_image((3, 4), "u2", extname="OFFSET")
+        f.create_image((6, 5), "i4", Codec("RICE_1"), extname="TILES")
+        f.create_table("k long, x double, s string, v array<int>", 4, {"s": "3A"}, {"x": "m"}, "ROWS")
+        assert [u.kind for u in f] == ["image", "image", "zimage", "table"] and [u.shape for u in f] == [(0, 5), (3, 4), (6, 5), (4,)]
+        assert f["GROWS"].read().count() == 0 and f["GROWS"].header["OBS"] == "me"
+        assert {r["value"] for r in f["OFFSET"].read().collect()} == {32768} and {r["value"] for r in f["TILES"].read().collect()} == {0}
+        assert [tuple(r) for r in f["ROWS"].read().orderBy("_row").collect()] == [(i, 0, 0.0, "", []) for i in range(4)]
+        f["GROWS"].extend(spark.range(10).select(F.expr("id div 5").alias("i0"), (F.col("id") % 5).alias("i1"), F.col("id").cast("smallint").alias("value")))
+        assert f["GROWS"].shape == (2, 5) and f["GROWS"].read().agg(F.sum("value")).first()[0] == 45
+        f["ROWS"][1] = {"x": 2.5}
+        assert f["ROWS"][1].first()["x"] == 2.5
+        for bad in ((3, 0), (-1,)):
+            with pytest.raises(ValueError):
+                f.create_image(bad, "i2")
+
+
+def test_nulls_of_compressed_tables(spark, tmp_path):
+    path = str(tmp_path / "n.fits")
+    write_compressed_table(spark.range(50).selectExpr("id as k", "if(id % 7 = 0, null, id) as n"), path, "k", tile_rows=20, forms={"n": {"form": "1K", "null": -1}})
+    assert [r["n"] for r in tables.read(spark, path, 1, maskNull=True).orderBy("_row").collect()] == [None if i % 7 == 0 else i for i in range(50)]
+    assert tables.read(spark, path, 1).filter("n = -1").count() == 8
