@@ -24,7 +24,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
+    """All stages over documents; each result is written as Parquet and read again.
+
+    Null and empty texts pass the classifier as any text, count as equal in deduplication (one stays, as pairs of a null and an
+    empty text are equal too), are similar to nothing, hold no benchmark passage, and are packed as an end id. Null and repeated
+    doc_ids are judged row by row, but that of rows that repeat doc_id and text one stays. Further columns go
+    along until the last stage. Empty tables give an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")

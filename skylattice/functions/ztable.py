@@ -79,24 +79,38 @@ def batches(f, unit: L.Unit, lo: int, hi: int, base: int, names, scale: bool, ma
         yield pa.RecordBatch.from_arrays(out, names=["_row", *(c.name for c in columns)])
 
 
-def variable_column(f, table: L.Table, c: L.Column, blob: bytes, n: int, scale: bool, mask: bool = False) -> pa.Array:
-    """A variable-length column's tile: two lists of descriptors (of the table's own heap, and of compressed cells), gzipped."""
+def descriptors(c: L.Column, blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(elements and own heap offsets, bytes and offsets of compressed cells) of a variable-length column's tile."""
     raw = gunzip(blob)
     own = 8 if c.letter == "P" else 16
-    counts = np.frombuffer(raw[: n * own], ">i4" if own == 8 else ">i8").reshape(-1, 2)[:, 0].astype(np.int64)
-    cells = np.frombuffer(raw[n * own :], ">i8").reshape(-1, 2)
+    return np.frombuffer(raw[: n * own], ">i4" if own == 8 else ">i8").reshape(-1, 2).astype(np.int64), np.frombuffer(raw[n * own :], ">i8").reshape(-1, 2).astype(np.int64)
+
+
+def own_cells(c: L.Column, blob: bytes, n: int) -> np.ndarray:
+    """The rows' bytes of a variable-length column as they are uncompressed: its descriptors."""
+    return np.ascontiguousarray(descriptors(c, blob, n)[0].astype(">i4" if c.letter == "P" else ">i8")).view(np.uint8).reshape(n, -1)
+
+
+def heap_of(f, table: L.Table, c: L.Column, blob: bytes, n: int) -> tuple[list[int], list[bytes]]:
+    """(own heap offsets, uncompressed bytes) of a variable-length column's cells."""
+    mine, cells = descriptors(c, blob, n)
     codec = Codec(str(c.codec or "GZIP_1").strip())
-    parts = []
-    for want, (size, at) in zip(counts.tolist(), cells.tolist(), strict=True):
-        if not size:
-            continue
-        f.seek(table.heap_offset + at)
-        data = f.read(size)
-        whole = int(R.cell_bytes(c.inner, np.array([want]))[0])
-        if size != whole:
-            data = gunzip(data) if c.inner not in NATIVE or codec.name == "GZIP_1" else decode(data, codec, np.dtype(NATIVE[c.inner]), want).astype(L.STORED[c.inner]).tobytes()
-        parts.append(np.frombuffer(data, np.uint8))
-    heap = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    out = []
+    for want, (size, at) in zip(mine[:, 0].tolist(), cells.tolist(), strict=True):
+        data = b""
+        if size:
+            f.seek(table.heap_offset + at)
+            data = f.read(size)
+            if size != int(R.cell_bytes(c.inner, np.array([want]))[0]):
+                data = gunzip(data) if c.inner not in NATIVE or codec.name == "GZIP_1" else decode(data, codec, np.dtype(NATIVE[c.inner]), want).astype(L.STORED[c.inner]).tobytes()
+        out.append(data)
+    return mine[:, 1].tolist(), out
+
+
+def variable_column(f, table: L.Table, c: L.Column, blob: bytes, n: int, scale: bool, mask: bool = False) -> pa.Array:
+    """A variable-length column's tile: two lists of descriptors (of the table's own heap, and of compressed cells), gzipped."""
+    counts = descriptors(c, blob, n)[0][:, 0]
+    heap = np.frombuffer(b"".join(heap_of(f, table, c, blob, n)[1]), np.uint8)
     size = R.cell_bytes(c.inner, counts)
     return R.variable(counts, heap, np.cumsum(size) - size, c, scale, mask, False)
 

@@ -19,6 +19,14 @@ def read(spark: SparkSession, path: str, hdu=None, columns: list[str] | None = N
         from ..plans.scratch import scratch_dir
 
         path = storage.spool(path, scratch_dir(spark, "memory"))
+    remote = storage.Remote.of(options.get("remote"))
+    if storage.kind_of(path) in ("http", "ftp") and not (remote and remote.ranged):  # once, not in every partition
+        from ..plans.scratch import scratch
+
+        options.pop("remote", None)
+        with storage.open_read(path, remote) as f:
+            path = scratch(spark, "download.fits")
+            storage.write_bytes(path, iter(lambda: f.read(16 << 20), b""))
     reader = spark.read.format("fits")
     if hdu is not None:
         reader = reader.option("hdu", str(hdu))

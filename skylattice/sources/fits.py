@@ -21,6 +21,7 @@ import re
 import time
 import uuid
 from bisect import bisect_left
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack
 from dataclasses import dataclass
 
@@ -120,9 +121,15 @@ class FitsReader(DataSourceReader):
 
     def partitions(self):
         out, base = [], 0
-        for path in storage.paths_of(self.options["path"]):
+
+        def unit_at(path: str) -> L.Unit:
             with storage.open_read(path, self.options.get("remote")) as f:
-                unit = unit_of(L.walk(f, flag(self.options, "lenient", False)), self.options)
+                return unit_of(L.walk(f, flag(self.options, "lenient", False)), self.options)
+
+        paths = storage.paths_of(self.options["path"])
+        with ThreadPoolExecutor(min(32, len(paths))) as pool:  # headers of many files at a time; reading them waits for the store
+            units = list(pool.map(unit_at, paths))
+        for path, unit in zip(paths, units, strict=True):
             count, size, step = extent(unit)
             box = None
             if unit.kind in ("image", "zimage"):

@@ -187,6 +187,14 @@ def test_sums_of_what_compressed_units_stand_for(spark, tmp_path):
     assert catalog.verify_plain_sum(z, 1) is None
     catalog.add_plain_sum(z, 1)
     assert catalog.verify_plain_sum(z, 1) and read_header(z, 1)["ZDATASUM"] == read_header(plain, 1)["DATASUM"]
+    ragged = df.select("k", F.expr("array_repeat(j, cast(k % 5 as int))").alias("v"), F.expr("repeat('x', cast(k % 3 as int))").alias("s"))
+    write_compressed_table(ragged, z, "k", tile_rows=130, forms={"v": "1PJ", "s": "1QA"})
+    catalog.add_plain_sum(z, 1)
+    assert catalog.verify_plain_sum(z, 1)
+    one = ragged.drop("s")
+    write_compressed_table(one, z, "k", tile_rows=50, forms={"v": "1PJ"})
+    tables.write_table(one, plain, "k", forms={"v": "1PJ"}, checksum=True)
+    assert str(catalog.plain_sum(z, 1)) == read_header(plain, 1)["DATASUM"]
     write_compressed(pixels, z, (7, 11), "i2", Codec("RICE_1", tile_shape=(2, 5)))
     write_image(pixels, plain, (7, 11), "i2")
     catalog.with_checksums(plain, 0)
@@ -209,9 +217,14 @@ def test_ranged_reads_over_http(spark, numbers):
 
     class Ranges(SimpleHTTPRequestHandler):
         asked: list = []
+        plain: list = []
+        who = None
 
         def do_GET(self):
             want = self.headers.get("Range")
+            Ranges.who = self.headers.get("X-Who")
+            if not want:
+                self.plain.append(self.path)
             data = open(os.path.join(self.directory, os.path.basename(self.path)), "rb").read()
             if want:
                 lo, hi = (int(x) for x in want.removeprefix("bytes=").split("-"))
@@ -234,6 +247,11 @@ def test_ranged_reads_over_http(spark, numbers):
     for remote in (None, "ranged"):
         with storage.open_read(url, remote) as f:
             assert len(walk(f)) == 2
+    before = len(Ranges.plain)
+    assert tables.read(spark, url, rowsPerPartition=100).count() == 1000 and len(Ranges.plain) == before + 1  # one download for ten partitions
+    before = len(Ranges.asked)
+    ranged = tables.read(spark, url, remote=storage.Remote(ranged=True, block_bytes=4096, cache_bytes=1 << 16, headers={"X-Who": "me"}))
+    assert ranged.filter("_row < 5").count() == 5 and len(Ranges.asked) > before and Ranges.who == "me" and len(Ranges.plain) == 2
     small = storage.RangeReader(url, storage.Remote(ranged=True, block_bytes=100, cache_bytes=1000))
     before = len(Ranges.asked)
     small.seek(150)
