@@ -36,6 +36,8 @@ from .tokens import crc, default_vocabulary, encoder
 END = 0
 #: Bytes of text in a shard on average, and ids at which a task begins another shard.
 SHARD_BYTES, SHARD_IDS = 32 << 20, 16_000_000
+#: Ids that are parted at once.
+STRETCH = 1 << 15
 #: Bits of a block: 8 KiB.
 BLOCK_BITS = 1 << 16
 #: Logarithm of the partitions in a run, whose sizes are summed together.
@@ -44,13 +46,22 @@ MAGIC, HEAD = b"SWM2", struct.Struct("<4sBBQQ")
 
 
 def planes_of(ids: np.ndarray, bits: int):
-    """(unset bits, packed bits) of each plane of a wavelet matrix, from the highest bit to the lowest."""
-    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    """(unset bits, packed bits) of each plane of a wavelet matrix, from the highest bit to the lowest. Stretches at a time stay in the cache."""
+    kind = np.uint16 if bits <= 16 else np.uint32
+    now, n = ids.astype(kind), len(ids)
+    other = np.empty_like(now)
     for b in range(bits - 1, -1, -1):
-        bit = (now >> now.dtype.type(b) & now.dtype.type(1)).astype(bool)
-        low, high = now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))
-        yield len(low), np.packbits(bit)
-        now = np.concatenate([low, high])
+        bit = (now & kind(1 << b)).astype(bool)
+        packed = np.packbits(bit)
+        zeros = n - int(np.bitwise_count(packed).sum())
+        lo, hi = 0, zeros
+        for at in range(0, n, STRETCH):
+            part, one = now[at : at + STRETCH], bit[at : at + STRETCH]
+            low, high = part.compress(~one), part.compress(one)
+            other[lo : lo + len(low)], other[hi : hi + len(high)] = low, high
+            lo, hi = lo + len(low), hi + len(high)
+        yield zeros, packed
+        now, other = other, now
 
 
 def to_bytes(ids: np.ndarray, bits: int, doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray) -> bytes:
@@ -141,13 +152,17 @@ class Shard:
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane back to the first order, with one plane unpacked at a time."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        now = np.zeros(self.n, kind)
+        now, before = np.zeros(self.n, kind), np.empty(self.n, kind)
         for b in range(self.bits):
-            bit, z = self.plane(self.bits - 1 - b), int(self.zeros[self.bits - 1 - b])
-            before = np.empty(self.n, kind)
-            before[np.flatnonzero(~bit)] = now[:z]
-            before[np.flatnonzero(bit)] = now[z:] | kind(1 << b)
-            now = before
+            bit, lo, hi = self.plane(self.bits - 1 - b), 0, int(self.zeros[self.bits - 1 - b])
+            now[hi:] |= kind(1 << b)
+            for at in range(0, self.n, STRETCH):
+                part, one = before[at : at + STRETCH], bit[at : at + STRETCH]
+                ones = np.flatnonzero(one)
+                n = len(one) - len(ones)
+                part[np.flatnonzero(~one)], part[ones] = now[lo : lo + n], now[hi : hi + len(ones)]
+                lo, hi = lo + n, hi + len(ones)
+            now, before = before, now
         return now
 
     def rank(self, plane: int, i: int) -> int:

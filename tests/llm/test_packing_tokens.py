@@ -117,6 +117,7 @@ def test_fullest_is_the_best_subset(lengths, room):
 def test_wavelet_matrix(ids, block):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(wavelet, "BLOCK_BITS", block)
+        patch.setattr(wavelet, "STRETCH", 7)
         raw = wavelet.to_bytes(np.array(ids, np.uint32), 9, np.array([7, 8]), np.array([False, True]), np.array([len(ids) // 2, len(ids)]))
         m = Shard(io.BytesIO(raw), kept=3)
         doc_ids, missing, ends = m.documents()
@@ -143,6 +144,7 @@ def test_lookups_read_a_small_part_of_the_file():
 
     ids = np.random.default_rng(4).zipf(1.3, 2_000_000) % 50_000
     raw = wavelet.to_bytes(ids, 16, np.array([1]), np.array([False]), np.array([len(ids)]))
+    assert np.array_equal(Shard(io.BytesIO(raw)).ids(), ids)
     for ask, want in ((lambda m: m.access(1_234_567), int(ids[1_234_567])), (lambda m: m.count(3, 10, 1_000_000), int((ids[10:1_000_000] == 3).sum())), (lambda m: m.select(3, 1000), int(np.flatnonzero(ids == 3)[1000]))):
         file = Counted(raw)
         assert ask(Shard(file)) == want and file.got < len(raw) / 10
