@@ -223,7 +223,8 @@ WHOLE = "CAST(trunc(value * 1000) AS INTEGER)"
 
 
 def whole(v):
-    return F.expr("cast(value * 1000D as int)") if v is not None else v
+    """WHOLE of pixels: SQL keeps the product of a float a float, rounded before it is cut; a double's isn't rounded."""
+    return (v * F.lit(1000).cast("float")).cast("int")
 
 
 def image(spark, sf_dir, kind="f4", value=lambda v: v, **more) -> tuple[DataFrame, tuple[int, int]]:
@@ -306,7 +307,7 @@ def plio_image(spark, sf_dir):
 
 @query("hcompress_image", f"SELECT i0, i1, {WHOLE} AS value FROM {PIXELS}")
 def hcompress_image(spark, sf_dir):
-    return compressed(spark, sf_dir, "i4", Codec("HCOMPRESS_1"), lambda v: F.expr("cast(value * 1000D as int)"))[0]
+    return compressed(spark, sf_dir, "i4", Codec("HCOMPRESS_1"), whole)[0]
 
 
 @query("hcompress_image_i2", f"SELECT i0, i1, {WHOLE}::SMALLINT AS value FROM {PIXELS}")
