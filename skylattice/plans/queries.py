@@ -312,7 +312,7 @@ def hcompress_image(spark, sf_dir):
 
 @query("hcompress_image_i2", f"SELECT i0, i1, {WHOLE}::SMALLINT AS value FROM {PIXELS}")
 def hcompress_image_i2(spark, sf_dir):
-    return compressed(spark, sf_dir, "i2", Codec("HCOMPRESS_1"), lambda v: F.expr("cast(cast(value * 1000D as int) as smallint)"))[0]
+    return compressed(spark, sf_dir, "i2", Codec("HCOMPRESS_1"), lambda v: whole(v).cast("smallint"))[0]
 
 
 @query("hcompress_lossy", f"SELECT i0, count(*) AS n, true AS close FROM {PIXELS} GROUP BY i0")
