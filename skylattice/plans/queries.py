@@ -265,7 +265,7 @@ def image_unsigned(spark, sf_dir):
 
 @query("image_blank", f"SELECT i0, i1, NULLIF({WHOLE} % 10, 3)::INTEGER AS value FROM {PIXELS}")
 def image_blank(spark, sf_dir):
-    return image(spark, sf_dir, "i4", lambda v: F.expr("cast(value * 1000D as int) % 10"), blank=3, options={"maskNull": True})[0]
+    return image(spark, sf_dir, "i4", lambda v: whole(v) % 10, blank=3, options={"maskNull": True})[0]
 
 
 @query("image_reverse_scale", f"SELECT i0, i1, round_even((CAST(value AS DOUBLE) - 1.0) / 0.25, 0) * 0.25 + 1.0 AS value FROM {PIXELS}")
