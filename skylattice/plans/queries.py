@@ -571,7 +571,7 @@ def mem_scan(spark, sf_dir):
 
 def image_file(spark, sf_dir, codec=None, quantise=None, kind="i4"):
     """(path, unit) of the embeddings as an image."""
-    value = (lambda v: F.expr("cast(value * 1000D as int)")) if kind == "i4" else (lambda v: v)
+    value = whole if kind == "i4" else (lambda v: v)
     pixels, shape = embedding_pixels(spark, sf_dir, value)
     path = scratch(spark, "changed.fits")
     if codec:
