@@ -555,7 +555,7 @@ def dataset_append(spark, sf_dir):
 @query("image_null_fill", f"SELECT i0, i1, NULLIF({WHOLE} % 10, 3)::INTEGER AS value, {WHOLE} % 10 = 3 AS blank FROM {PIXELS}")
 def image_null_fill(spark, sf_dir):
     """Null pixels are stored as BLANK, and are null again where that is asked for."""
-    masked = image(spark, sf_dir, "i4", lambda v: F.expr("nullif(cast(value * 1000D as int) % 10, 3)"), blank=-2000000000, options={"maskNull": True})[0]
+    masked = image(spark, sf_dir, "i4", lambda v: F.nullif(whole(v) % 10, F.lit(3)), blank=-2000000000, options={"maskNull": True})[0]
     return masked.withColumn("blank", F.col("value").isNull())
 
 
