@@ -260,7 +260,7 @@ def image_section_int(spark, sf_dir):
 
 @query("image_unsigned", f"SELECT i0, i1, ({WHOLE} + 30000)::INTEGER AS value FROM {PIXELS}")
 def image_unsigned(spark, sf_dir):
-    return image(spark, sf_dir, "u2", lambda v: F.expr("cast(value * 1000D as int) + 30000"))[0]
+    return image(spark, sf_dir, "u2", lambda v: whole(v) + 30000)[0]
 
 
 @query("image_blank", f"SELECT i0, i1, NULLIF({WHOLE} % 10, 3)::INTEGER AS value FROM {PIXELS}")
