@@ -292,7 +292,7 @@ def gzip2_image(spark, sf_dir):
 
 @query("rice_image", f"SELECT i0, i1, {WHOLE} AS value FROM {PIXELS}")
 def rice_image(spark, sf_dir):
-    return compressed(spark, sf_dir, "i4", Codec("RICE_1", tile_shape=(20, 30)), lambda v: F.expr("cast(value * 1000D as int)"))[0]
+    return compressed(spark, sf_dir, "i4", Codec("RICE_1", tile_shape=(20, 30)), whole)[0]
 
 
 @query("rice_image_i2", f"SELECT i0, i1, {WHOLE}::SMALLINT AS value FROM {PIXELS}")
