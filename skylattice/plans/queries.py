@@ -297,7 +297,7 @@ def rice_image(spark, sf_dir):
 
 @query("rice_image_i2", f"SELECT i0, i1, {WHOLE}::SMALLINT AS value FROM {PIXELS}")
 def rice_image_i2(spark, sf_dir):
-    return compressed(spark, sf_dir, "i2", Codec("RICE_1"), lambda v: F.expr("cast(cast(value * 1000D as int) as smallint)"))[0]
+    return compressed(spark, sf_dir, "i2", Codec("RICE_1"), lambda v: whole(v).cast("smallint"))[0]
 
 
 @query("plio_image", f"SELECT i0, i1, abs({WHOLE}) // 300 AS value FROM {PIXELS}")

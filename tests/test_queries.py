@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries over thousandths of floats as SQL cuts them.
-THOUSANDTHS = ["hcompress_image", "hcompress_image_i2", "image_blank", "image_file_extend", "image_file_set", "image_null_fill", "zimage_extend", "zimage_repack", "zimage_set", "image_unsigned", "rice_image"]
+THOUSANDTHS = ["hcompress_image", "hcompress_image_i2", "image_blank", "image_file_extend", "image_file_set", "image_null_fill", "zimage_extend", "zimage_repack", "zimage_set", "image_unsigned", "rice_image", "rice_image_i2"]
 
 
 @pytest.fixture(scope="module")
