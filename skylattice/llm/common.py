@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 
@@ -114,6 +115,23 @@ def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lots(offsets: np.ndarray, rows: int, size: int):
+    """(first, end) of runs of rows, one after another: at most ``rows`` and ``size`` of what offsets count, or one row that is larger."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(n, lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay for other tasks, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def segments(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices of ragged runs: for each i, starts[i] .. starts[i] + lengths[i] - 1, one after another."""
     ends = np.cumsum(lengths)

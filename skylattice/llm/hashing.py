@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _rng = np.random.default_rng(20)
 _VALUES = _rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)

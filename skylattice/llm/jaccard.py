@@ -36,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, dealt, drop_table, materialise, open_file, segments, shared_path, write_file
+from .common import byte_rows, dealt, drop_table, give_back, lots, materialise, open_file, segments, shared_path, write_file
 from .components import components
 from .hashing import hash_pieces, lower_ascii, words
 
 #: Bytes of text in a chunk; documents that one sort takes at most, by the bits left for them above a token's 53.
 CHUNK_BYTES, DOC_BITS = 8 << 20, 11
 TOKEN_BITS = 64 - DOC_BITS
+#: Bytes of text, and tokens, that are worked on at once: temporary arrays take some 20 times as much.
+LOT_BYTES, LOT_TOKENS = 1 << 20, 1 << 18
 #: Logarithm of the ranges of tokens that document frequencies are counted in, at most: a chunk sends a message to each.
 BLOCK_BITS = 19
 
@@ -64,8 +66,8 @@ def mix(x: np.ndarray, k: int) -> np.ndarray:
 def token_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of all texts, each text's in ascending order without repeats; offsets of texts in them)."""
     found, counts, most = [], [np.zeros(1, np.int64)], (1 << DOC_BITS) - 1
-    for lo in range(0, len(offsets) - 1, most):
-        own = offsets[lo : lo + most + 1]
+    for lo, hi in lots(offsets, most, LOT_BYTES):
+        own = offsets[lo : hi + 1]
         lower = lower_ascii()[data[own[0] : own[-1]]]
         starts, ends, rows = words(lower, own - own[0], _INSIDE)
         h, _ = hash_pieces(lower, starts, ends)
@@ -108,13 +110,15 @@ class Chunk:
         offsets = np.frombuffer(raw, "<i8", n, 8)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8 + 8 * n :]) if offsets[-1] else b"", np.uint8)
         lengths = offsets[rows + 1] - offsets[rows]
-        return token_sets(data[segments(lengths, offsets[rows])], np.concatenate([[0], np.cumsum(lengths)]), size)
+        data = np.concatenate([np.zeros(0, np.uint8), *(data[a:b] for a, b in zip(offsets[rows].tolist(), offsets[rows + 1].tolist(), strict=True))])
+        return token_sets(data, np.concatenate([[0], np.cumsum(lengths)]), size)
 
 
 def describe(docs: DataFrame, size: int, folder: str) -> DataFrame:
     """(doc_id, n, s1, s2, chunk, row): set sizes and 128-bit set hashes; texts go to chunks."""
 
     def run(batches):
+        give_back()  # what other steps left in this worker
         task, files = TaskContext.get(), 0
         waiting: list[tuple] = []
         total = 0
@@ -126,8 +130,10 @@ def describe(docs: DataFrame, size: int, folder: str) -> DataFrame:
             ids = pa.chunked_array([w[0] for w in waiting]).combine_chunks()
             Chunk.save(path, data, offsets)
             tokens, rows = token_sets(data, offsets, size)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens, k))]) for k in (1, 2)]
-            signs = [pa.array((s[rows[1:]] - s[rows[:-1]]).view(np.int64)) for s in sums]
+            signs = []
+            for k in (1, 2):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens, k))])
+                signs.append(pa.array((sums[rows[1:]] - sums[rows[:-1]]).view(np.int64)))
             n = len(ids)
             waiting, total, files = [], 0, files + 1
             return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(rows)), *signs, pa.array([path] * n), pa.array(np.arange(n), pa.int32())], names=["doc_id", "n", "s1", "s2", "chunk", "row"])
@@ -139,9 +145,13 @@ def describe(docs: DataFrame, size: int, folder: str) -> DataFrame:
                 waiting.append((part.column(0), data, np.diff(offsets)))
                 total += len(data)
                 if total >= CHUNK_BYTES:
-                    yield flush()
+                    del part, data
+                    row = flush()
+                    give_back()
+                    yield row
         if waiting:
             yield flush()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, chunk string, row int")
 
@@ -176,6 +186,8 @@ def frequencies(nodes: DataFrame, orders: Orders, size: int, chunks: int) -> Dat
         block = (keys >> np.uint64(orders.low_bits)).astype(np.int32)
         blocks, first = np.unique(block, return_index=True)
         lows, some = np.split((keys & low).astype("<u4"), first[1:]), np.split(np.minimum(counts, 255).astype(np.uint8), first[1:])
+        del keys, counts, block
+        give_back()
         return pa.table({"block": pa.array(blocks), "chunk": pa.array([chunk] * len(blocks), pa.string()), "lows": pa.array([x.tobytes() for x in lows[: len(blocks)]], pa.binary()), "counts": pa.array([x.tobytes() for x in some[: len(blocks)]], pa.binary())})
 
     def answer(key, table):
@@ -184,6 +196,8 @@ def frequencies(nodes: DataFrame, orders: Orders, size: int, chunks: int) -> Dat
         _, back = np.unique(np.concatenate(lows), return_inverse=True)
         df = np.minimum(np.bincount(back, counts), 255).astype(np.uint8)[back]
         parts = np.split(df, np.cumsum([len(x) for x in lows])[:-1])
+        del counts, back
+        give_back()
         return pa.table({"chunk": table.column("chunk"), "block": table.column("block"), "df": pa.array([x.tobytes() for x in parts], pa.binary())})
 
     sent = dealt(nodes.select("chunk", "row"), "chunk", chunks).groupBy("chunk").applyInArrow(send, "block int, chunk string, lows binary, counts binary")
@@ -202,8 +216,7 @@ def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, per
         keys, _ = orders.distinct(tokens)
         df = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_py(), np.uint8) for x in back.column("df"))])
         out: list[list] = [[], [], [], [], []]
-        for lo in range(0, len(at), (1 << DOC_BITS) - 1):
-            hi = min(len(at), lo + (1 << DOC_BITS) - 1)
+        for lo, hi in lots(offsets, (1 << DOC_BITS) - 1, LOT_TOKENS):
             mine = tokens[offsets[lo] : offsets[hi]]
             n = np.diff(offsets[lo : hi + 1])
             doc = np.repeat(np.arange(hi - lo), n)
@@ -217,6 +230,8 @@ def prefixes(nodes: DataFrame, counts: DataFrame, orders: Orders, size: int, per
             take = ~single & (place < (n - need(n, percent) + 1)[doc]) & (most >= need(n, percent))[doc]
             for column, value in zip(out, (mine[take].view(np.int64), node[lo:hi][doc[take]], n[doc[take]], most[doc[take]], place[take]), strict=True):
                 column.append(value)
+        del tokens, keys, df
+        give_back()
         return pa.table(dict(zip(("token", "node", "n", "most", "place"), (pa.array(np.concatenate(c)) for c in out), strict=True)))
 
     rows = nodes.select("chunk", "row", "node", F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("df"))
@@ -233,8 +248,8 @@ def parted(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
 def prefix_mask(tokens: np.ndarray, offsets: np.ndarray, k: int, percent: int) -> np.ndarray:
     """Which tokens of each set are in its prefix under hash order k."""
     keep = np.zeros(len(tokens), bool)
-    for lo in range(0, len(offsets) - 1, (1 << DOC_BITS) - 1):
-        at = offsets[lo : lo + (1 << DOC_BITS)]
+    for lo, hi in lots(offsets, (1 << DOC_BITS) - 1, LOT_TOKENS):
+        at = offsets[lo : hi + 1]
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
         order = np.argsort((doc.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (mix(tokens[at[0] : at[-1]], k) >> np.uint64(DOC_BITS)))
@@ -254,6 +269,8 @@ def fetch(nodes: DataFrame, size: int, percent: int, chunks: int) -> DataFrame:
         for k in (4, 5):
             keep = prefix_mask(tokens, offsets, k, percent)
             columns.append(parted(tokens[keep], np.bincount(doc[keep], minlength=len(n))))
+        del doc, keep
+        give_back()
         return pa.table({"node": table.column("node"), **dict(zip(("whole", "second", "third"), (c.cast(pa.binary()) for c in columns), strict=True))})
 
     rows = dealt(nodes.select("chunk", "row", "node"), "chunk", chunks)
@@ -266,9 +283,8 @@ def shared(a: pa.Array, b: pa.Array) -> np.ndarray:
     for column in (a, b):
         data, offsets = byte_rows(column)
         sides.append((np.frombuffer(data.tobytes(), np.uint64), offsets // 8))
-    most = (1 << DOC_BITS) - 1
-    for lo in range(0, len(a), most):
-        hi, keys = min(len(a), lo + most), []
+    for lo, hi in lots(sides[0][1] + sides[1][1], (1 << DOC_BITS) - 1, LOT_TOKENS):
+        keys = []
         for tokens, offsets in sides:
             pair = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(offsets[lo : hi + 1]))
             keys.append((pair << np.uint64(TOKEN_BITS)) | tokens[offsets[lo] : offsets[hi]])

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -129,3 +130,29 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (3, 2)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
+
+
+@pytest.mark.parametrize("words", [40, 400_000])
+def test_sets_of_a_chunk_take_little_memory(tmp_path, words):
+    """Temporary arrays grow with a lot, not with the chunk; a text beyond a lot counts whole."""
+    text = np.frombuffer(" ".join(map(str, np.random.default_rng(6).integers(0, 1 << 30, words))).encode(), np.uint8)
+    copies = max(1, jaccard.CHUNK_BYTES // len(text))
+    offsets = np.arange(copies + 1) * len(text)
+    path = str(tmp_path / "a.texts")
+    jaccard.Chunk.save(path, np.tile(text, copies), offsets)
+    jaccard.Chunk.sets(path, np.arange(1), 4)  # tables of the process
+    tracemalloc.start()
+    tokens, rows = jaccard.Chunk.sets(path, np.arange(copies), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.diff(rows).tolist() == [words - 3] * copies
+    if words == 40:
+        assert peak < 9 * jaccard.CHUNK_BYTES
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "LOT_BYTES", 1 << 12)
+        again, _ = jaccard.Chunk.sets(path, np.arange(min(copies, 50)), 4)
+        patch.setattr(jaccard, "LOT_TOKENS", 70)
+        some = rows[: min(copies, 50) + 1]
+        parts = jaccard.prefix_mask(again, some, 4, 85)
+    assert np.array_equal(again, tokens[: len(again)])
+    assert np.array_equal(parts, jaccard.prefix_mask(again, some, 4, 85))
