@@ -84,13 +84,14 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Write under another name, then rename: a task that is run again replaces the file as a whole."""
+def write_file(path: str, data: bytes | list[bytes]) -> None:
+    """Write bytes, or parts one after another, under another name, then rename: a task that is run again replaces the file as a whole."""
     where, name = filesystem(path)
     where.create_dir(os.path.dirname(name), recursive=True)
     part = f"{name}.{uuid.uuid4().hex}.part"
     with where.open_output_stream(part) as out:
-        out.write(data)
+        for piece in [data] if isinstance(data, bytes) else data:
+            out.write(piece)
     where.move(part, name)
 
 

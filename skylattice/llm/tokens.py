@@ -116,16 +116,23 @@ class Encoder:
             new = missed[one]
             raw = data.tobytes()
             flat, sizes = self._encode_pieces([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            source = np.concatenate([self.ids[: self.used], flat])
+            upto = self.used + len(flat)
+            if self.used < upto <= self.room:
+                if upto > len(self.ids):
+                    self.ids = np.concatenate([self.ids[: self.used], np.empty(min(self.room, 2 * upto) - self.used, np.uint32)])
+                self.ids[self.used : upto] = flat
+                source = self.ids
+            else:
+                source = np.concatenate([self.ids[: self.used], flat])
             places = self.used + np.cumsum(sizes) - sizes
             n[missed], at[missed] = sizes[back], places[back]
-            if len(source) <= self.room:
+            if upto <= self.room:
                 free = self.key[0, first[new].astype(np.int64)] == 0
                 where = np.where(free, first[new], second[new]).astype(np.int64)
                 self.key[0, where], self.key[1, where] = h[new], g[new]
                 self.at[where], self.n[where] = places, sizes
                 # of two new pieces in one slot the last written stays, as for each array alike
-                self.ids, self.used = source, len(source)
+                self.used = upto
             else:
                 self._clear(len(self.at))
         return source[segments(n, at)], n

@@ -19,7 +19,6 @@ of any length are held whole. An empty table writes no shard and gives an empty
 
 from __future__ import annotations
 
-import io
 import struct
 from collections import OrderedDict
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_rows, materialise, open_file, shared_path, write_file
+from .common import byte_rows, give_back, materialise, open_file, shared_path, write_file
 from .tokens import crc, default_vocabulary, encoder
 
 END = 0
@@ -47,9 +46,8 @@ MAGIC, HEAD = b"SWM2", struct.Struct("<4sBBQQ")
 
 def planes_of(ids: np.ndarray, bits: int):
     """(unset bits, packed bits) of each plane of a wavelet matrix, from the highest bit to the lowest. Stretches at a time stay in the cache."""
-    kind = np.uint16 if bits <= 16 else np.uint32
-    now, n = ids.astype(kind), len(ids)
-    other = np.empty_like(now)
+    kind, n = kind_of(bits), len(ids)
+    now, other = ids.astype(kind, copy=False), np.empty(n, kind)
     for b in range(bits - 1, -1, -1):
         bit = (now & kind(1 << b)).astype(bool)
         packed = np.packbits(bit)
@@ -61,33 +59,42 @@ def planes_of(ids: np.ndarray, bits: int):
             other[lo : lo + len(low)], other[hi : hi + len(high)] = low, high
             lo, hi = lo + len(low), hi + len(high)
         yield zeros, packed
-        now, other = other, now
+        now, other = other, np.empty(n, kind) if now is ids else now
+
+
+def kind_of(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
 
 
 def to_bytes(ids: np.ndarray, bits: int, doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray) -> bytes:
     """A shard's file."""
+    return b"".join(parts_of(ids, bits, doc_ids, missing, ends))
+
+
+def parts_of(ids: np.ndarray, bits: int, doc_ids: np.ndarray, missing: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """A shard's file, in parts that follow one another."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n_blocks = -(-len(ids) // BLOCK_BITS)
     at = HEAD.size + 48 + bits * (8 + 16 * n_blocks) + 8
-    directory, body = io.BytesIO(), io.BytesIO()
+    directory, body = [], []
     for raw in (doc_ids.astype("<i8").tobytes(), np.packbits(missing).tobytes() if missing.any() else b"", ends.astype("<u8").tobytes()):
         frame = pack(raw) if raw else b""
-        directory.write(struct.pack("<QQ", at, len(frame)))
-        body.write(frame)
+        directory.append(struct.pack("<QQ", at, len(frame)))
+        body.append(frame)
         at += len(frame)
     for zeros, plane in planes_of(ids, bits):
-        directory.write(struct.pack("<Q", zeros))
+        directory.append(struct.pack("<Q", zeros))
         ones = 0
         for lo in range(0, len(plane), BLOCK_BITS // 8):
             block = plane[lo : lo + BLOCK_BITS // 8]
             frame = pack(block.tobytes())
             frame = frame if len(frame) < len(block) else block.tobytes()
-            directory.write(struct.pack("<QQ", at, ones))
-            body.write(frame)
+            directory.append(struct.pack("<QQ", at, ones))
+            body.append(frame)
             at += len(frame)
             ones += int(np.bitwise_count(block).sum())
-    directory.write(struct.pack("<Q", at))
-    return HEAD.pack(MAGIC, bits, bool(missing.any()), len(ids), len(doc_ids)) + directory.getvalue() + body.getvalue()
+    directory.append(struct.pack("<Q", at))
+    return [HEAD.pack(MAGIC, bits, bool(missing.any()), len(ids), len(doc_ids)) + b"".join(directory), *body]
 
 
 class Shard:
@@ -147,11 +154,11 @@ class Shard:
         raw = self._read(int(at[0]), int(at[-1] - at[0]))
         at = (at - at[0]).tolist()
         parts = [self._unpack(raw[at[b] : at[b + 1]], b) for b in range(self.n_blocks)]
-        return np.unpackbits(np.concatenate(parts), count=self.n).astype(bool) if parts else np.zeros(0, bool)
+        return np.unpackbits(np.concatenate(parts), count=self.n).view(bool) if parts else np.zeros(0, bool)
 
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane back to the first order, with one plane unpacked at a time."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
+        kind = kind_of(self.bits)
         now, before = np.zeros(self.n, kind), np.empty(self.n, kind)
         for b in range(self.bits):
             bit, lo, hi = self.plane(self.bits - 1 - b), 0, int(self.zeros[self.bits - 1 - b])
@@ -237,6 +244,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     shards = max(1, -(-size // SHARD_BYTES))
 
     def write(batches):
+        give_back()  # what other steps left in this worker
         tool, shard = encoder(vocabulary), TaskContext.get().partitionId()
         bits = max(1, int(tool.tokenizer.get_vocab_size() - 1).bit_length(), int(end).bit_length())
         kept: list[tuple] = []
@@ -245,24 +253,31 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         def flush():
             nonlocal kept, n, files
             ids, doc_ids, missing, sizes = (np.concatenate([x[k] for x in kept]) for k in range(4))
+            kept = []
             path = f"{folder}/{shard:08d}-{files:05d}.swm"
-            write_file(path, to_bytes(ids, bits, doc_ids, missing, np.cumsum(sizes)))
+            write_file(path, parts_of(ids, bits, doc_ids, missing, np.cumsum(sizes)))
             row = pa.RecordBatch.from_arrays([pa.array([shard << 20 | files]), pa.array([path]), pa.array([len(doc_ids)]), pa.array([len(ids)])], names=["part", "path", "n_docs", "n_ids"])
-            kept, n, files = [], 0, files + 1
+            n, files = 0, files + 1
             return row
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 flat, offsets = tool.encode(*byte_rows(part.column(1)))
-                ids = np.insert(flat, offsets[1:], np.uint32(end))
+                ids = np.insert(flat.astype(kind_of(bits)), offsets[1:], end)
                 missing = np.asarray(part.column(0).is_null())
                 kept.append((ids, part.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), missing, np.diff(offsets) + 1))
                 n += len(ids)
+                del flat, ids
                 if n >= SHARD_IDS:
-                    yield flush()
+                    row = flush()
+                    give_back()
+                    yield row
         if kept:
-            yield flush()
+            batch = part = None  # texts that are encoded
+            row = flush()
+            give_back()
+            yield row
 
     dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(write, "part long, path string, n_docs long, n_ids long")
@@ -277,9 +292,11 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
                 with open_file(path) as f:
                     shard = Shard(f)
                     doc_ids, missing, ends = shard.documents()
-                    ids = shard.ids().astype("<u4")
+                    ids = shard.ids()
                 starts = np.concatenate([[0], ends[:-1]])
                 sums = [crc(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                del ids, shard
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=missing), pa.array(base + starts), pa.array(ends - starts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("path", "base").repartition(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,6 +1,8 @@
 import io
+import tracemalloc
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -166,3 +168,22 @@ def test_shards_read_back(spark, monkeypatch, rows):
     for r in got:
         assert r["start"] == at and (r["n_tokens"], r["ids_crc32"]) in want[r["doc_id"]]
         at += r["n_tokens"]
+
+
+def test_writing_a_shard_takes_little_memory(spark, monkeypatch, tmp_path):
+    frame, found = docs(spark, []), []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: found.append(f))
+    monkeypatch.setattr(wavelet, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    wavelet.write_shards(frame, str(tmp_path))
+    text = "".join(map(chr, np.random.default_rng(8).choice(np.r_[97:105, 33:40], 2_000)))
+    rows = [pa.record_batch({"doc_id": range(i, i + 100), "text": [text] * 100}) for i in range(0, 2_000, 100)]
+    list(found[0](iter(rows[:1])))  # tables of the process
+    tracemalloc.start()
+    (row,) = found[0](iter(rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = row.column(3)[0].as_py()
+    assert n > 1_000_000 and peak < 14 * n
+    with open(row.column(1)[0].as_py(), "rb") as f:
+        ids = Shard(f).ids()
+    assert (ids.reshape(2_000, -1) == [*reference([(1, text)], 0)[0][1]]).all()
