@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints/skylattice"
+#: Rows of a few numbers that one file takes, where a table's rows are known to be no more than a number.
+FILE_ROWS = 250_000
+#: Local files without checksums beside them. Hadoop sets the mode of each file it makes by a program, four times for a file with its
+#: checksum, and until that program is loaded its memory is the JVM's and is counted twice.
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +47,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
+def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, and survives lost executors.
+
+    ``rows``: that df has no more, small ones that are cheap to make. They go to as many files as they fill, or as there are cores.
+    """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    own = spark._jsc.hadoopConfiguration().get("fs.file.impl")
+    df.write.options(**({} if own else RAW_FILES)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -29,21 +29,21 @@ def with_least(links: DataFrame, n_links: int) -> DataFrame:
     return links.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): for every node of links (a, b), the smallest node that it reaches."""
+def components(links: DataFrame, n_links: int | None = None) -> DataFrame:
+    """(node, component): for every node of links (a, b), the smallest node that it reaches. n_links: their number or more, where known."""
     spark = links.sparkSession
     edges = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, seen = materialise(edges, "components"), None
+    edges, seen = materialise(edges, "components", n_links), None
     count = edges.count()
     while True:
         # large star: every neighbour above u links to the least of u and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, 2 * count).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = materialise(large.distinct(), "components")
+        large = materialise(large.distinct(), "components", count)
         # small star: u and its lower neighbours link to the least of them
         own = with_least(large, count)
         small = own.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.select("u", F.col("m").alias("v")))
-        last, edges = edges, materialise(small.distinct(), "components")
+        last, edges = edges, materialise(small.distinct(), "components", 2 * count)
         count, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(spark, last)
         drop_table(spark, large)

@@ -170,8 +170,9 @@ def annotate(docs: DataFrame) -> DataFrame:
     groups = suspects.groupBy("__dd_fp", "__dd_text").agg(F.max("doc_id").alias("__dd_keep"), F.count(F.lit(1)).alias("__dd_size"))
     groups = groups.filter("__dd_size > 1").select(F.sha2("__dd_text", 256).alias("__dd_sha"), "__dd_keep", "__dd_size")
     groups = materialise(groups, "dedup-groups")
+    n_groups = groups.count()
     # a repeated fingerprint is one group or, should prints meet, a few: so the table is as bounded as the fingerprints
-    of = F.broadcast(groups) if few and groups.count() <= BROADCAST_ROWS else groups
+    of = F.broadcast(groups) if few and n_groups <= BROADCAST_ROWS else groups
     rows = docs.drop("keep_id", "group_size", "kept", "text_sha256").withColumn("__dd_sha", F.sha2(text, 256)).join(of, "__dd_sha", "left")
     alone = F.col("__dd_size").isNull()
     rows = rows.withColumns({
@@ -184,7 +185,7 @@ def annotate(docs: DataFrame) -> DataFrame:
     # rows that repeat the doc_id that stays, and its text: one of them stays. Usually there are none, and no row moves
     last = suspects.select("doc_id", F.sha2("__dd_text", 256).alias("__dd_sha")).join(of, "__dd_sha").filter("doc_id <=> __dd_keep")
     twins = last.groupBy("__dd_sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("__dd_sha").alias("text_sha256"))
-    twins = materialise(twins, "dedup-twins")
+    twins = materialise(twins, "dedup-twins", n_groups)
     n_twins = twins.count()
     if not n_twins:
         return rows

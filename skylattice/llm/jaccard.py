@@ -327,15 +327,17 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     """(rows: doc_id, n_shingles, component_id; links: a, b between the smallest doc_ids of equal sets, enough to connect all that are connected)."""
     spark = docs.sparkSession
     found = materialise(describe(docs, size, shared_path(spark, "jaccard-texts")), "jaccard-sets")
+    count = found.count()
     known = found.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("one"))
-    nodes = materialise(nodes.select("s1", "s2", "n", F.col("one.doc_id").alias("node"), "one.chunk", "one.row"), "jaccard-nodes")
+    nodes = materialise(nodes.select("s1", "s2", "n", F.col("one.doc_id").alias("node"), "one.chunk", "one.row"), "jaccard-nodes", count)
     total, chunks = nodes.agg(F.sum("n"), F.count_distinct("chunk")).first()
     orders = Orders(int(total or 0))
     grams = materialise(prefixes(nodes, frequencies(nodes, orders, size, chunks), orders, size, percent, chunks), "jaccard-prefixes")
+    n_grams = grams.count()
     # the node with the fewest tokens of its own is the likeliest to link to the token's others
     lead = grams.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("own"), "node", "n", "most", "place")).alias("lead"), F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
-    near = materialise(grams.join(lead.select("token", "lead"), "token"), "jaccard-buckets")
+    near = materialise(grams.join(lead.select("token", "lead"), "token"), "jaccard-buckets", n_grams)
     sets = nodes.join(near.select("node").distinct(), "node", "left_semi")
     sets = materialise(fetch(sets, size, percent, chunks), "jaccard-fetched")
     first = near.filter("node <> lead.node").filter(possible(*(F.col(f"{x}{c}") for x in ("", "lead.") for c in ("n", "most", "place")), percent))
@@ -344,19 +346,19 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
 
     whole = found.filter("doc_id IS NOT NULL").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"], "left")
     again = whole.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
-    again = materialise(again.filter("rows > 1 AND (a <> b OR a <> doc_id)").select("doc_id"), "jaccard-repeats")
+    again = materialise(again.filter("rows > 1 AND (a <> b OR a <> doc_id)").select("doc_id"), "jaccard-repeats", count)
     again = whole.join(again, "doc_id", "left_semi").filter("node IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    part = components(links.union(again))
+    part = components(links.union(again), links.count() + count)
     labelled = near.join(part, "node", "left").select("token", "node", "n", "most", "place", F.col("lead.node").alias("lead"), F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    open_ = materialise(labelled.join(mixed, "token", "left_semi"), "jaccard-open")
+    open_ = materialise(labelled.join(mixed, "token", "left_semi"), "jaccard-open", n_grams)
     a, b = open_.alias("a"), open_.alias("b")
     may = possible(*(F.col(f"{x}.{c}") for x in "ab" for c in ("n", "most", "place")), percent)
     across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") != F.col("a.lead")) & (F.col("b.node") != F.col("a.lead")) & may)
     more = materialise(verify(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), sets, percent), "jaccard-links")
     links = links.union(more)
-    part = components(links.union(again)) if not more.isEmpty() else part
+    part = components(links.union(again), links.count() + count) if not more.isEmpty() else part
     for done in (grams, near, open_, sets):  # results below read none of them
         drop_table(spark, done)
     rows = found.join(nodes.select("s1", "s2", F.col("n").alias("n"), "node"), ["s1", "s2", "n"], "left")

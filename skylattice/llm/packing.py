@@ -130,10 +130,11 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAP
 def pack(docs: DataFrame, vocabulary: str | None = None, end: int = END, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset; with ``ids`` the token ids of each piece as well."""
     made = materialise(pieces(docs, vocabulary or default_vocabulary(), end, capacity, ids), "packing-pieces")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), made.count() // BUCKET_ROWS)
+    n = made.count()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_ROWS)
     dealt = made.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    counts = materialise(counts, "packing-counts")
+    counts = materialise(counts, "packing-counts", n)
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect():  # a row for each length: capacity at most
         histogram[row["length"]] = row["n"]

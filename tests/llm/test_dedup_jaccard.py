@@ -156,3 +156,45 @@ def test_sets_of_a_chunk_take_little_memory(tmp_path, words):
         parts = jaccard.prefix_mask(again, some, 4, 85)
     assert np.array_equal(again, tokens[: len(again)])
     assert np.array_equal(parts, jaccard.prefix_mask(again, some, 4, 85))
+
+
+def test_scratch_tables_start_few_programs(spark):
+    """Each local file and checksum file has its mode set by a program, whose memory is an executor's twice until it is loaded."""
+    import glob
+
+    from skylattice.llm.common import materialise
+
+    rows = spark.range(1000, numPartitions=40)
+    many, few = materialise(rows, "scratch"), materialise(rows, "scratch", 1000)
+    assert [len(glob.glob(f"{x.stored_at}/part-*.parquet")) for x in (many, few)] == [40, spark.sparkContext.defaultParallelism]
+    for x in (many, few):
+        assert sorted(r["id"] for r in x.collect()) == list(range(1000))
+        assert not glob.glob(f"{x.stored_at}/.*.crc")
+
+
+def test_components_go_to_few_files(spark, monkeypatch):
+    """Tables of a round are as small as the links, however many partitions a shuffle has."""
+    import glob
+
+    from skylattice.llm import components as module
+
+    written, real = [], module.materialise
+
+    def counted(*args):
+        out = real(*args)
+        written.append(len(glob.glob(f"{out.stored_at}/part-*.parquet")))
+        return out
+
+    monkeypatch.setattr(module, "materialise", counted)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.range(400).selectExpr("id AS a", "id + 1 AS b").filter("a % 10 <> 9")
+        got = {r["node"]: r["component"] for r in module.components(links, 400).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(400)}
+    assert max(written) <= spark.sparkContext.defaultParallelism
